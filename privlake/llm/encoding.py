@@ -18,7 +18,8 @@ import re
 
 CACHE_ENTRIES = 500_000
 _PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_ODD = re.compile(f"[{''.join(map(chr, _ODD_SPACE))}]")
 
 
 class _Cache(dict):
