@@ -1,9 +1,9 @@
 """Benchmark decontamination: broadcast hash set of normalised test n-grams.
 
-The benchmark's token windows become a small table of 64-bit window hashes; the
-documents' windows are scanned against it in a broadcast hash join, each hash
-hit is verified word by word, and only verified hits are grouped (by document).
-No document text is shuffled.
+The benchmark's token windows become a small table keyed by a 64-bit hash of
+their first words; every place of a document is looked up in it by a broadcast
+hash join, each hash hit is verified word by word over the whole window, and
+only verified hits are grouped (by document).
 
 The broadcast is used only while the benchmark's text is at most
 ``BROADCAST_CHARS`` characters in all (measured before the join); a larger
@@ -25,57 +25,61 @@ N = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same without lower-casing first, where only the number of words matters.
 ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows are looked up by the hash of their first words, then compared whole.
+ANCHOR = 5
 BROADCAST_CHARS = 64_000_000
 
 
-def _windows(words: str, length: int) -> Column:
-    """Structs (pos, len, h) of the windows of ``length`` words; ``h`` has the word hashes."""
-    ids = F.sequence(F.lit(0), F.size(words) - length)
-    at = lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(length)])
-    return F.when(F.size(words) >= length, F.transform(ids, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), at(i).alias("g"))))
+def _words(df: DataFrame, *keep: Column) -> DataFrame:
+    return df.select(*keep, split_words(ascii_lower(F.col("text")), SEPARATORS).alias("w"))
 
 
-def _hashed(df: DataFrame, *keep: Column, text: Column) -> DataFrame:
-    d = df.select(*keep, split_words(ascii_lower(text), SEPARATORS).alias("w"))
-    return d.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+def _hash(at: Column, k: int) -> Column:
+    """Hash of the ``k`` words from place ``at``."""
+    return F.xxhash64(*[F.get(F.col("w"), at + i) for i in range(k)])
+
+
+def _hash_of(k: int):
+    return lambda at: _hash(at, k)
 
 
 def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
-    """Distinct windows (g, gram, items); ``items`` are the ids, as text, that have it."""
-    b = _hashed(bench, F.col("item_id").cast("string").alias("item_id"), text=F.col("text"))
-    full = b.select("item_id", "w", F.inline(_windows("w", n)))
-    short = None
-    for k in range(1, n):
-        one = b.where(F.size("w") == k).select("item_id", "w", F.inline(_windows("w", k)))
-        short = one if short is None else short.unionByName(one)
-    rows = full.unionByName(short)
-    rows = rows.select("item_id", "g", F.slice("w", F.col("pos") + 1, F.col("len")).alias("gram"))
-    return rows.groupBy("g", "gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-
-
-def _lengths(bench: DataFrame, n: int) -> tuple[list[int], int]:
-    """The window lengths that occur (n at most) and the benchmark's characters."""
-    size = F.least(F.size(split_words(ascii_lower(F.col("text")), SEPARATORS)), F.lit(n))
+    """Distinct windows (k, g, gram, items): ``g`` hashes the first ``k`` words, at most ANCHOR; ``items``
+    are the ids, as text, that have the window."""
+    b = _words(bench, F.col("item_id").cast("string").alias("item_id")).where(F.size("w") > 0)
+    size = F.least(F.size("w"), F.lit(n))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
+    rows = b.select("item_id", F.explode(grams).alias("w")).groupBy("w").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    g = F.lit(None).cast("long")
+    for k in range(1, ANCHOR + 1):
+        g = F.when(F.size("w") >= k, _hash(F.lit(0), k)).otherwise(g)
+    return rows.select(F.least(F.size("w"), F.lit(ANCHOR)).alias("k"), g.alias("g"), F.col("w").alias("gram"), "items")
+
+
+def _anchors(bench: DataFrame) -> tuple[list[int], int]:
+    """The anchor lengths that occur (ANCHOR values at most) and the benchmark's characters."""
+    size = F.least(F.size(split_words(ascii_lower(F.col("text")), SEPARATORS)), F.lit(ANCHOR))
     rows = bench.select(size.alias("k"), F.length("text").alias("c")).groupBy("k").agg(F.sum("c").alias("c")).collect()
     return sorted(r.k for r in rows if r.k > 0), sum(r.c or 0 for r in rows)
 
 
 def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> DataFrame:
     """Per key with a hit: ``n_hit`` covered words and the sorted ``items``."""
-    lengths, chars = _lengths(bench, n)
+    lengths, chars = _anchors(bench)
     grams = benchmark_windows(bench, n)
     if chars <= BROADCAST_CHARS:
         grams = F.broadcast(grams)
     names = [f"k{i}" for i in range(len(key))]
-    d = _hashed(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)], text=F.col("text"))
+    d = _words(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)])
     found = None
     for k in lengths:
-        one = d.select(*names, "w", F.inline(_windows("w", k)))
+        places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _hash_of(k))
+        one = d.where(F.size("w") >= k).select(*names, "w", F.lit(k).alias("k"), F.posexplode(places).alias("pos", "g"))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = d.select(*names, "w", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("g")).where("false")
-    same = F.slice(F.col("w"), F.col("pos") + 1, F.col("len")) == F.col("gram")
-    found = found.join(grams, "g").where(same).select(*names, "pos", "len", "items")
+        found = d.select(*names, "w", F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).where("false")
+    same = F.slice(F.col("w"), F.col("pos") + 1, F.size("gram")) == F.col("gram")
+    found = found.join(grams, ["k", "g"]).where(same).select(*names, "pos", F.size("gram").alias("len"), "items")
     # the longest window from each position covers what the others do
     spans = found.groupBy(*names, "pos").agg(F.max("len").alias("len"), F.flatten(F.collect_set("items")).alias("items"))
     per = spans.groupBy(*names).agg(
@@ -89,15 +93,17 @@ def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> Da
     return per.select(*names, F.aggregate("s", state, step)["n"].cast("long").alias("n_hit"), "items")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFrame:
-    """``row`` (the document's columns), n_words, n_hit, items and ``contaminated``.
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None, n: int = N) -> DataFrame:
+    """``row`` (the document's columns, or those in ``keep``), n_words, n_hit, items and ``contaminated``.
 
-    ``docs`` has the columns ``id_col`` and ``text``.
+    ``docs`` has the columns ``id_col`` and ``text``.  What is kept travels in
+    the join with the hits: leave the text out where it isn't needed.
     """
+    keep = docs.columns if keep is None else keep
     key = [F.col(id_col), F.xxhash64("text"), F.length("text")]
     found = hits(docs, bench, key, n)
     n_words = F.size(split_words(F.col("text"), ANY_CASE)).cast("long")
-    d = docs.select(F.struct("*").alias("row"), n_words.alias("n_words"), *[c.alias(f"d{i}") for i, c in enumerate(key)])
+    d = docs.select(F.struct(*keep).alias("row"), n_words.alias("n_words"), *[c.alias(f"d{i}") for i, c in enumerate(key)])
     on = [F.col(f"d{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(key))]
     d = d.join(found, on, "left").select(
         "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -114,7 +120,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id")
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    d = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), keep=["doc_id"])
     return d.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
