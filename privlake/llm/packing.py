@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from privlake.llm.common import table
+from privlake.llm.common import stored, table
 
 SIZE = 2048
 END_ID = 1
@@ -97,8 +97,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_I
         return group.drop(columns="grp")
 
     groups = max(1, -(-docs.count() // GROUP_ROWS))
-    # a row's group depends on its place in the input: the same for every run over the same files
-    cut = pieces(docs, vocabulary, size, end_id, groups).withColumn("offset", F.lit(0).cast("long"))
+    # written once, as numbers: both kinds of pieces come from one pass over the texts
+    cut = stored(pieces(docs, vocabulary, size, end_id, groups)).withColumn("offset", F.lit(0).cast("long"))
     names = [x.split()[0] for x in PACKED.split(", ")]
     full = cut.where("grp < 0").select(*names)
     rest = cut.where("grp >= 0").groupBy("grp").applyInPandas(place, PACKED)
