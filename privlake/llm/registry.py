@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from privlake.llm import decontamination, packing, quality_rules, secret_scan, token_output, url_filter
+from privlake.llm import decontamination, lm_scoring, packing, pii, quality_rules, secret_scan, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_pii": pii.op2_pii,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
