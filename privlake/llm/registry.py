@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from privlake.llm import decontamination, lm_scoring, packing, pii, quality_rules, secret_scan, token_output, toxicity, url_filter
+import corpus_pipeline
+from privlake.llm import decontamination, jaccard_join, lm_scoring, packing, pii, quality_rules, secret_scan, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,10 +11,12 @@ QUERIES = {
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_output": token_output.op10_token_output,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

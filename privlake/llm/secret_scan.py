@@ -137,6 +137,13 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     return d.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """``redact`` for documents that carry their length in ``n_chars``: it follows the text where that changed."""
+    d = redact(docs.withColumn("text_before", F.length("text")))
+    n = F.when(F.length("text") == F.col("text_before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return d.withColumn("n_chars", n).select(*docs.columns) if "n_chars" in docs.columns else d.select(*docs.columns)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
