@@ -125,7 +125,8 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = DEFAU
 
 def filter_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """The rows of ``df`` that are kept, with the columns of ``df``."""
-    d = judge(df, text_col, rules).where("kept")
+    # not where("kept"): Catalyst would push that filter down and repeat all the counts inside it
+    d = judge(df, text_col, rules).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row"))
     return d.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
