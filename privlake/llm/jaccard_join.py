@@ -39,7 +39,8 @@ from privlake.llm.components import components
 N = 5
 SIMILARITY = (75, 100)
 HEAVY_LOCAL, HEAVY_ENTRIES = 3, 200_000
-LIST_PAIRS = 48
+#: A list of k sets makes k (k - 1) / 2 pairs or k - 1 ties.
+LIST_PAIRS = 16
 PART_POSTINGS = 400_000
 BITMAP_BITS = 1 << 23
 GROUP_ELEMENTS = 8_000_000
