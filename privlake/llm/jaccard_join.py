@@ -38,7 +38,8 @@ from privlake.llm.components import components
 
 N = 5
 SIMILARITY = (75, 100)
-HEAVY_LOCAL, HEAVY_ENTRIES = 3, 200_000
+#: A shingle is reported by a partition that has it in so many sets, and heavy if the reports add up to HEAVY_TOTAL.
+HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_ENTRIES = 2, 8, 200_000
 #: A list of k sets makes k (k - 1) / 2 pairs or k - 1 ties.
 LIST_PAIRS = 16
 PART_POSTINGS = 400_000
@@ -157,7 +158,7 @@ def _frequent(docs: DataFrame, similarity) -> DataFrame:
             found.append(s[: prefix(len(s), 1, similarity)])
             owner.append(np.full(len(found[-1]), sid, dtype=np.int64))
             size += len(found[-1])
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield flush()
                 found, owner, size = [], [], 0
         if found:
@@ -378,13 +379,38 @@ class _Forest:
             self.size[i] += self.size[j]
 
 
+class _Lists:
+    """Inverted lists of some sets in memory, to compare a set with all of them at once."""
+
+    def __init__(self, sets: list):
+        import numpy as np
+
+        self.sizes = np.array([len(x) for x in sets])
+        data, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(data, kind="stable")
+        self.data, self.owner = data[order], owner[order]
+
+    def linked_to(self, s, similarity) -> list[int]:
+        import numpy as np
+
+        a, b = similarity
+        sizes = self.sizes
+        fits = (b * len(s) >= a * sizes) & (b * sizes >= a * len(s))
+        if not fits.any():
+            return []
+        lo, hi = np.searchsorted(self.data, s), np.searchsorted(self.data, s, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(self.owner[at], minlength=len(sizes))
+        return np.flatnonzero(fits & (b * both >= a * (sizes + len(s) - both))).tolist()
+
+
 def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[list[int]], similarity) -> list[int]:
     """Roots (indices) of the link components: ``pairs`` are tested one by one; in each of ``groups`` all members are
     compared, except within its largest component."""
     import numpy as np
 
     f = _Forest(len(sets))
-    a, b = similarity
     for i, j in pairs:
         if f.root(i) != f.root(j) and linked(sets[i], sets[j], similarity):
             f.join(i, j)
@@ -392,10 +418,7 @@ def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[list[int]], s
         members = sorted(set(members))
         if len(members) < 2:
             continue
-        sizes = np.array([len(sets[i]) for i in members])
-        data, owner = np.concatenate([sets[i] for i in members]), np.repeat(np.arange(len(members)), sizes)
-        order = np.argsort(data, kind="stable")
-        data, owner = data[order], owner[order]
+        lists = _Lists([sets[i] for i in members])
         todo = set(range(len(members)))
         while todo:
             roots = [f.root(i) for i in members]
@@ -406,15 +429,7 @@ def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[list[int]], s
                 break
             for k in outside[:64] if largest < 0 or len(outside) > 64 else outside:
                 todo.discard(k)
-                s = sets[members[k]]
-                fits = (b * len(s) >= a * sizes) & (b * sizes >= a * len(s))
-                if fits.sum() < 2:
-                    continue
-                lo, hi = np.searchsorted(data, s), np.searchsorted(data, s, "right")
-                n = hi - lo
-                at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                both = np.bincount(owner[at], minlength=len(members))
-                for j in np.flatnonzero(fits & (b * both >= a * (sizes + len(s) - both))).tolist():
+                for j in lists.linked_to(sets[members[k]], similarity):
                     f.join(members[k], members[j])
     return [f.root(i) for i in range(len(sets))]
 
@@ -448,7 +463,7 @@ def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity) ->
 def _resolved_large(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity, path: str) -> DataFrame:
     """The same for components too large for one task: edges are verified one by one; then, in each pivot's group, the
     members that don't link to the pivot are compared with all members, in salted blocks."""
-    one = sets.select("sid", "shingles")
+    one = stored(sets.select("sid", "shingles"), f"{path}/large_sets")
     schema = "a long, b long, tie boolean, ok boolean"
 
     def verify(batches):
@@ -462,34 +477,33 @@ def _resolved_large(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similari
     e = pairs.select("a", "b", F.lit(False).alias("tie")).unionByName(ties.select("a", "b", F.lit(True).alias("tie")))
     e = e.join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b").select("a", "b", "tie", "sa", "sb")
     e = stored(e.mapInArrow(verify, schema), f"{path}/verified")
-    members = ties.select("a", "b").unionByName(ties.select("a", F.col("a").alias("b"))).distinct()
+    members = stored(ties.select("a", "b").unionByName(ties.select("a", F.col("a").alias("b"))).distinct(), f"{path}/members")
     rest = members.join(e.where("tie AND ok").select("a", "b"), ["a", "b"], "left_anti").where("a <> b")
     weight = members.join(one, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum(F.length("shingles") / 8).alias("n"))
-    weight = weight.select("a", F.ceil(F.col("n") / GROUP_ELEMENTS).cast("int").alias("salts"))
+    weight = stored(weight.select("a", F.ceil(F.col("n") / GROUP_ELEMENTS).cast("int").alias("salts")), f"{path}/salts")
     block = members.join(weight, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     block = block.join(one, F.col("b") == F.col("sid")).select("a", "salt", "sid", "shingles")
     ask = rest.join(weight, "a").withColumn("chunk", F.pmod(F.xxhash64("b", F.lit(1)), F.col("salts")).cast("int"))
     ask = ask.select("a", "b", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     ask = ask.join(one, F.col("b") == F.col("sid")).select("a", "salt", "chunk", "sid", "shingles")
-    chunks = ask.select("a", "salt", "chunk").distinct()
-    block = block.join(chunks, ["a", "salt"])
+    chunks = ask.select("a", "salt", "chunk").distinct().toDF("p", "part", "chunk")
+    block = block.join(chunks, (F.col("a") == F.col("p")) & (F.col("salt") == F.col("part"))).select("a", "salt", "chunk", "sid", "shingles")
 
     def compare(left, right):
         import numpy as np
         import pyarrow as pa
 
-        sid = left.column("sid").to_pylist() + right.column("sid").to_pylist()
-        data = [np.frombuffer(x.as_py(), dtype=np.uint64) for t in (left, right) for x in t.column("shingles")]
-        m = left.num_rows
+        sid = left.column("sid").to_pylist()
+        lists = _Lists([np.frombuffer(x.as_py(), dtype=np.uint64) for x in left.column("shingles")]) if sid else None
         u, v = [], []
-        for i in range(m, len(data)):
-            for j in range(m):
-                if sid[i] != sid[j] and linked(data[i], data[j], similarity):
-                    u.append(sid[i])
-                    v.append(sid[j])
+        for i, x in zip(right.column("sid").to_pylist(), right.column("shingles"), strict=True):
+            other = [sid[j] for j in lists.linked_to(np.frombuffer(x.as_py(), dtype=np.uint64), similarity)] if sid else []
+            v += [j for j in other if j != i]
+            u += [i] * (len(v) - len(u))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    found = block.groupBy("a", "salt", "chunk").cogroup(ask.groupBy("a", "salt", "chunk")).applyInArrow(compare, "u long, v long")
+    ask = ask.toDF("p", "part", "of", "sid", "shingles")
+    found = block.groupBy("a", "salt", "chunk").cogroup(ask.groupBy("p", "part", "of")).applyInArrow(compare, "u long, v long")
     return e.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(found)
 
 
@@ -539,7 +553,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, g
     counted = stored(_frequent(docs, similarity), f"{path}/frequent")
     total = counted.where("h IS NULL").select("c", "squares").first()
     postings, squares = (total.c, total.squares) if total else (0, 0.0)
-    top = counted.where("h IS NOT NULL").orderBy(F.desc("c"), "h").limit(HEAVY_ENTRIES).select("h", "pivot").toPandas()
+    top = counted.where(F.col("h").isNotNull() & (F.col("c") >= HEAVY_TOTAL)).orderBy(F.desc("c"), "h").limit(HEAVY_ENTRIES).select("h", "pivot").toPandas()
     known = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(known)
     heavy = spark.sparkContext.broadcast((known[order], top["pivot"].to_numpy(dtype=np.int64)[order]))
