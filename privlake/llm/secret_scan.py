@@ -28,11 +28,12 @@ W = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy of a window, in bits a character, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
-#: Candidates that aren't secrets: UUIDs, plain digits, words joined by dashes or slashes, published example keys.
+#: Candidates that aren't secrets: UUIDs, plain digits, words with a number or joined by dashes or slashes, published example keys.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9_=/+-]+$",
     r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*$",
+    r"^[A-Za-z]+[0-9]{1,4}$",
     r"EXAMPLE",
 )
 

@@ -1,0 +1,323 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from privlake.llm import dac, encoding, jaccard_join, lm_scoring, packing, pii, registry, secret_scan, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), c.execute(registry.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda d: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in d[sorted(d.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+# --- packing, encoding, codes ---
+
+
+def test_first_fit_decreasing():
+    r = random.Random(3)
+    for _ in range(200):
+        lengths = [r.randint(1, 50) for _ in range(r.randint(0, 60))]
+        bins, want = [], {}
+        for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+            b = next((i for i, used in enumerate(bins) if used + lengths[k] <= 50), None)
+            if b is None:
+                b = len(bins)
+                bins.append(0)
+            want[k] = (b, bins[b])
+            bins[b] += lengths[k]
+        assert packing.first_fit_decreasing(lengths, 50) == [want[k] for k in range(len(lengths))]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library(file, texts):
+    t = Tokenizer.from_file(public_tokenizers.path(file))
+    t.encode_special_tokens = True
+    e = encoding.Encoder(public_tokenizers.path(file), entries=300)
+    r = random.Random(5)
+    letters = [*"abzAZ\n\t .,!?_'\"-09<|>", *map(chr, (0xE9, 0xF1, 0xA0, 0xB2, 0xBD, 0x301, 0x130, 0x3A3, 0x200B, 0x3000, 0x65E5, 0x1C))]
+    fuzz = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> it's I'LL  x", *list(texts.values())[:40]]
+    for x in fuzz:
+        assert np.frombuffer(e.encode(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_packing_whole(spark, texts):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = registry.QUERIES["op1_packing"](spark, SF).toPandas()
+    for doc, text in texts.items():
+        ids, at = [*t.encode(text, add_special_tokens=False).ids, 1], 0
+        for r in out[out.doc_id == doc].sort_values("start").itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], dtype="<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *itertools.accumulate(s.length.tolist())][:-1] and s.length.sum() <= 2048
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 70_000), max_size=700), max_size=5))
+def test_codes_round_trip(docs):
+    ids = np.array(list(itertools.chain(*docs)), dtype=np.uint32)
+    s = dac.Segment(dac.encode(list(range(len(docs))), np.array(list(map(len, docs))), ids))
+    assert s.slice(0, len(ids)).tolist() == ids.tolist() and [s[i] for i in range(len(ids))] == ids.tolist()
+    if len(ids):
+        assert s.slice(len(ids) // 3, len(ids) // 2).tolist() == ids[len(ids) // 3 : len(ids) // 2].tolist()
+
+
+def test_token_output_whole(spark, texts):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    for r in registry.QUERIES["op10_token_output"](spark, SF).toPandas().sort_values("doc_id").itertuples():
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+
+
+# --- PII and secrets ---
+
+BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(BASE):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = (True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else 0, 13 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15)[k]
+            if ok:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.2@-+ ()5%é0", max_size=60))
+def test_pii_base_equals_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii_field_finds_what_patterns_miss():
+    model, found, gold, right = pii.trained(), 0, 0, 0
+    for text, spans in pii.generated(120, seed=99):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        got = {(y, tokens[i][0], tokens[j - 1][1]) for y, i, j in model.decode(text, tokens)}
+        found, gold, right = found + len(got), gold + len(spans), right + len(got & set(spans))
+    assert right / gold > 0.9 and right / found > 0.95
+
+
+def test_pii_linear_on_long_runs():
+    for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" * 100_000, "1 " * 100_000, "@" * 100_000):
+        pii.base_spans(text)
+
+
+SECRETS = (r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+
+
+def test_secret_base_equals_patterns(spark):
+    r = random.Random(11)
+    parts = ["token", "API_KEY", "password", "=", ": ", '"', "AKIA", "ABCD1234EFGH5678", "deadbeef00", "cafe", " ", "é", "zz", "\n", "abc123", "Xy9"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    want = []
+    for t in texts:
+        s = [(m.start(), 0, m.end()) for m in re.finditer(SECRETS[0], t) if len(m[2]) >= 6]
+        s += [(m.start(), 1, m.end()) for m in re.finditer(SECRETS[1], t) if len(m[0]) >= 20]
+        s += [(m.start(), 2, m.end()) for m in re.finditer(SECRETS[2], t) if len(m[0]) >= 24]
+        want.append(sorted(s))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.row.doc_id: [tuple(b) for b in x.base] for x in secret_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_entropy_windows(spark):
+    key = "qR7tYx2LmZ9pK4vB8nWc"
+    texts = [f"key is {key} ok", "id 123e4567-e89b-12d3-a456-426614174000 ok", "Donaudampfschifffahrtsgesellschaft1", f"token={key}", "aaaaaaaaaaaaaaaaaaaa1111", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).select("row.doc_id", secret_scan.joined("spans").alias("spans")).collect()}
+    assert got == {0: "entropy:7:27", 1: "", 2: "", 3: "assign:0:26", 4: "hex:0:24", 5: ""}
+
+
+# --- toxicity and LM ---
+
+
+def test_folding():
+    assert toxicity.fold("You 1D10T! $cum p@thetic 3000 x2") == " you idiot scum pathetic 3000 x2 "
+    assert toxicity.fold("id" + chr(0x456) + "ot sc" + chr(0xAD) + "um") == " idiot scum "
+
+
+def test_exceptions_spare_hits():
+    m = toxicity.Model({" scum ": 5.0}, exceptions=("pond scum",), curve=(-2.0, 1.0, 1.0, 0.0))
+    assert m.score("pond scum grows") < m.score("you scum")
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    out = registry.QUERIES["op4_toxicity"](spark, sf).toPandas()
+    labels = duckdb.connect().execute(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").df().merge(out, on="doc_id")
+    held = labels[labels.held_out]
+    assert (held.held_out == held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hit / (held.toxic == 1).sum() > 0.85 and hit / (held.predicted == 1).sum() > 0.9
+
+
+def test_lm_base_and_model(spark, texts):
+    import math
+
+    out = registry.QUERIES["op3_lm_scoring"](spark, SF).toPandas()
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
+    c = collections.Counter(itertools.chain(*(t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10)))
+    n, v = sum(c.values()), len(c)
+    for r in out.itertuples():
+        want = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[r.doc_id])
+        assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(c[w] > 0 for w in tokens[r.doc_id])
+    even = sum(8 * math.log10(0.5) * len(t.encode()) for i, t in texts.items())
+    assert out.score.sum() > 0.6 * even  # far below eight bits a byte
+
+
+def test_lm_probabilities_sum_to_one():
+    tree = lm_scoring.code_tree([1000 if b in (0, 97, 98) else 1 for b in range(256)])
+    t = lm_scoring.Tables()
+    t.add(lm_scoring.Decisions([b"ab", b"abba", b"b"], tree), [5, 3, 2])
+    m = lm_scoring.Mixer()
+    words = [b"ab"] + [b"ab" + bytes([b]) for b in range(1, 256)]
+    d = lm_scoring.Decisions(words, tree)
+    p = m.probability(*t.inputs(d), d.bit)
+    after = []
+    for i, w in enumerate(words):  # the decisions of the byte after 'ab'
+        own = p[d.word == i]
+        skip = sum(len(tree[b][0]) for b in b"ab")
+        after.append(np.prod(own[skip : skip + len(tree[w[2] if len(w) > 2 else 0][0])]))
+    assert abs(sum(after) - 1) < 1e-6
+
+
+def test_lm_decisions_don_t_depend_on_the_batch():
+    tree = lm_scoring.code_tree([1] * 256)
+    words = [b"", b"a", b"abcdefghijklmnopqrstuvwxyzabcdefgh", b"zz"]
+    whole, at = lm_scoring.Decisions(words, tree), 0
+    for w in words:
+        one = lm_scoring.Decisions([w], tree)
+        for x, y in zip(one.slots, whole.slots, strict=True):
+            assert (x == y[at : at + len(x)]).all()
+        at += len(one.bit)
+
+
+# --- n-gram Jaccard join ---
+
+
+def brute(docs):
+    sets = {}
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return sorted((i, len(s), root(i)) for i, s in sets.items())
+
+
+def near_copies(seed, groups=12, most=9):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(3))
+    passage, docs = [word() for _ in range(30)], []
+    for _ in range(groups):
+        base = [word() for _ in range(r.choice((3, 6, 9, 12, 30, 80)))] + (passage if r.random() < 0.5 else [])
+        for _ in range(r.randint(1, most)):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 1, 2, 4))):
+                w[r.randrange(len(w))] = word()
+            docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"LIST_PAIRS": 2}), (3, {"HEAVY_TOTAL": 2, "LIST_PAIRS": 1}), (4, {"group": 1}), (5, {"group": 1, "LIST_PAIRS": 1, "GROUP_ELEMENTS": 200})])
+def test_components_equal_brute_force(spark, monkeypatch, seed, limits):
+    for k in ("LIST_PAIRS", "HEAVY_TOTAL", "GROUP_ELEMENTS"):
+        if k in limits:
+            monkeypatch.setattr(jaccard_join, k, limits[k])
+    docs = near_copies(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(df, group_elements=limits.get("group", 10**6)).collect()
+    assert sorted(map(tuple, got)) == brute(docs)
+
+
+def test_op6_whole(spark, texts):
+    assert sorted(map(tuple, registry.QUERIES["op6_jaccard_join"](spark, SF).collect())) == brute(list(texts.items()))
+
+
+def test_prefix_is_complete():
+    """Sets with enough overlap share as many elements of their prefixes as promised."""
+    r = random.Random(9)
+    for _ in range(3000):
+        n = r.randint(1, 40)
+        x = set(r.sample(range(60), n))
+        y = {v for v in x if r.random() < 0.9} | {v for v in range(60, 64) if r.random() < 0.3}
+        if y and jaccard_join.linked(np.array(sorted(x)), np.array(sorted(y)), (75, 100)):
+            for k in (1, 2):
+                px, py = (sorted(s)[: jaccard_join.prefix(len(s), k, (75, 100))] for s in (x, y))
+                assert len(set(px) & set(py)) >= min(k, len(x & y))
+
+
+# --- pipeline ---
+
+
+def test_pipeline_equals_brute_force(spark, texts):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "packing"]
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    kept = {r[0] for r in c.execute(f"SELECT doc_id FROM ({registry.ORACLES['op8_quality_rules']}) WHERE kept").fetchall()}
+    first = {i for i, _, root in brute([(i, t) for i, t in texts.items() if i in kept]) if i == root}
+    bad = {r[0] for r in c.execute(f"SELECT doc_id FROM ({registry.ORACLES['op7_benchmark_decontamination']}) WHERE contaminated").fetchall()}
+    left = first - bad
+    assert left
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(out.doc_id) == left
+    spans = {r.doc_id: r.spans for r in registry.QUERIES["op9_secret_scan"](spark, SF).collect()}
+    for i in left:
+        text, pieces, at = texts[i], [], 0
+        for s, e in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans[i].split(",") if x):
+            if s >= at:
+                pieces += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        ids = [*t.encode("".join([*pieces, text[at:]]), add_special_tokens=False).ids, 1]
+        mine = out[out.doc_id == i].sort_values("start")
+        assert mine.length.sum() == len(ids)
+        assert [r.ids_crc32 for r in mine.itertuples()] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in mine.itertuples()]
+
+
+def test_digest_order():
+    assert hashlib.sha256(pii.joined([(0, 3, 10), (1, 0, 7)]).encode()).hexdigest() == hashlib.sha256(b"email:3:10,ip:0:7").hexdigest()
