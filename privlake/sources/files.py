@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,7 +52,14 @@ def list_files(spark: SparkSession, root: str, with_content: bool = True) -> Dat
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     key = F.substr("path", F.instr("path", F.lit(base)) + len(base))
     content = F.col("content") if with_content else F.lit(None).cast("binary")
-    return d.select(key.alias("cle"), F.col("length").alias("taille"), F.col("modificationTime").alias("date_modification"), F.lit(None).cast("string").alias("type_mime"), content.alias("content"))
+    none = F.lit(None).cast("string")
+    found = d.select(key.alias("cle"), F.col("length").alias("taille"), F.col("modificationTime").alias("date_modification"), none.alias("type_mime"), content.alias("content"))
+    # the source gives no row for an empty file, but its file index, which the driver holds anyway, has it
+    listed = spark.createDataFrame([(unquote(p),) for p in d.inputFiles()], "path string")
+    empty = listed.join(d.select("path"), "path", "left_anti").select(
+        key.alias("cle"), F.lit(0).cast("long").alias("taille"), F.lit(None).cast("timestamp").alias("date_modification"), none.alias("type_mime"), F.lit(b"").alias("content")
+    )
+    return found.unionByName(empty)
 
 
 def escapes(key: Column) -> Column:
