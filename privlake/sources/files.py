@@ -7,6 +7,7 @@ content's own signature; each binary format is one Arrow-free ``mapInPandas``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -55,7 +56,7 @@ def list_files(spark: SparkSession, root: str, with_content: bool = True) -> Dat
     none = F.lit(None).cast("string")
     found = d.select(key.alias("cle"), F.col("length").alias("taille"), F.col("modificationTime").alias("date_modification"), none.alias("type_mime"), content.alias("content"))
     # the source gives no row for an empty file, but its file index, which the driver holds anyway, has it
-    listed = spark.createDataFrame([(unquote(p),) for p in d.inputFiles()], "path string")
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in d.inputFiles()], "path string")
     empty = listed.join(d.select("path"), "path", "left_anti").select(
         key.alias("cle"), F.lit(0).cast("long").alias("taille"), F.lit(None).cast("timestamp").alias("date_modification"), none.alias("type_mime"), F.lit(b"").alias("content")
     )
