@@ -36,6 +36,22 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a Python worker between tasks; Spark reuses workers for other stages.
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    _KEPT.append(cache)
+    return cache
+
+
+def drop_kept(but: dict | None = None) -> None:
+    """Free what other operators have left in this worker."""
+    for cache in _KEPT:
+        if cache is not but:
+            cache.clear()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

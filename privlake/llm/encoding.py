@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_ENTRIES = 800_000
+from privlake.llm.common import kept
+
+CACHE_ENTRIES = 600_000
 _BY_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_SPACE = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ODD = re.compile(f"[{''.join(map(chr, _ODD_SPACE))}]")
@@ -90,7 +92,7 @@ class Encoder:
         return text.replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept({})
 
 
 def encoder(path: str) -> Encoder:

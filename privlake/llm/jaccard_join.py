@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from privlake.llm.common import shared_dir, stored, table
+from privlake.llm.common import drop_kept, shared_dir, stored, table
 from privlake.llm.components import components
 
 N = 5
@@ -41,7 +41,7 @@ SIMILARITY = (75, 100)
 #: A shingle is reported by a partition that has it in so many sets, and heavy if the reports add up to HEAVY_TOTAL.
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_ENTRIES = 2, 8, 200_000
 #: A list of k sets makes k (k - 1) / 2 pairs or k - 1 ties.
-LIST_PAIRS = 16
+LIST_PAIRS = 48
 PART_POSTINGS = 400_000
 BITMAP_BITS = 1 << 23
 GROUP_ELEMENTS = 8_000_000
@@ -109,6 +109,7 @@ def set_id(s) -> int:
 
 def _texts(batches) -> Iterator[tuple[object, object]]:
     """(id, set) of each row."""
+    drop_kept()
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
             yield doc, shingles(text.as_py())
