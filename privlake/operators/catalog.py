@@ -6,6 +6,7 @@ from the old one and written to a new folder by ``publish``.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,6 +113,16 @@ def schedule_changes(running: DataFrame, active: DataFrame) -> DataFrame:
     return stop.unionByName(active.join(running, "id", "left_anti").select("id", F.lit("demarrer").alias("change")))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written once below the shared folder (``spark.checkpoint.dir``, else the warehouse) and read again, where
+    several steps need it: an analysis isn't repeated, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, base: str, version: int) -> str:
     """Write a snapshot to a folder of its own; readers move to it by its name once it is whole."""
     path = f"{base}/v={version:010d}"

@@ -260,7 +260,7 @@ def access_decisions(spark, d):
 @query()
 def restituted_texts(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("texte"))
-    done = merge.analyse(detect.detect(docs, today=_today()))
+    done = catalog.materialise(merge.analyse(detect.detect(docs, today=_today())))
     known = done.select("id", F.lit("analyse").alias("statut"), "niveau_max")
     roles = F.array(F.lit("operations"), F.lit("support_n1"))
     requests = docs.select(F.explode(roles).alias("role"), F.col("id").alias("document_id"))

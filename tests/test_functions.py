@@ -73,6 +73,27 @@ def test_offsets_hold_for_any_text(text):
         assert len(offsets) == len(out) + 1 and offsets[-1] == len(text) and all(0 <= o <= len(text) for o in offsets)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[*"ab \n\r\té", "e", *map(chr, (0x301, 0x327, 0x153, 0xFB01, 0x2019, 0x212B, 0xA0))], max_size=25))
+def test_normalised_by_clusters(text):
+    import unicodedata
+
+    out, i = [], 0
+    while i < len(text):
+        j = i + 1
+        if text[i].isspace():
+            while j < len(text) and text[j].isspace():
+                j += 1
+            n = len(re.findall("\r\n|\n|\r", text[i:j]))
+            out.append([" ", "\n", "\n\n"][min(n, 2)])
+        else:
+            while j < len(text) and unicodedata.combining(text[j]):
+                j += 1
+            out.append(nz.LIGATURES.get(text[i:j], unicodedata.normalize("NFC", text[i:j])))
+        i = j
+    assert nz.normalised(text)[0] == "".join(out)
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("binetandiaye @mail .bj", "binetandiaye@mail.bj"), ("03 / 07 / 1988", "03/07/1988"), ("DK - 4521 - AB", "DK-4521-AB"), ("x @mall bJ", "x@mall.bJ"),
     ("awa@exemple domicile", "awa@exemple domicile"), ("fin . ( suite )", "fin . ( suite )"), ("", ""),
