@@ -154,3 +154,53 @@ def divergences(runs: DataFrame, gap: float = 0.01) -> DataFrame:
 def targets(summary: DataFrame) -> DataFrame:
     """Whether recall, critical recall and F2 reach their targets."""
     return summary.withColumns({f"{k}_atteint": F.col(k) >= v for k, v in TARGETS.items() if k in summary.columns})
+
+
+def scores_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Scores by any keys of the outcome rows, such as (condition, type_entite) or (condition, niveau)."""
+    return with_scores(rows.groupBy(*keys).agg(F.sum("vp").alias("vp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
+
+
+def worst_recall(by_condition_and_level: DataFrame, level: str = "critique") -> DataFrame:
+    """(pire_rappel): the lowest recall of a level over the conditions; 0 without one."""
+    return by_condition_and_level.where(F.col("niveau") == level).agg(F.coalesce(F.min("rappel"), F.lit(0.0)).alias("pire_rappel"))
+
+
+def campaign(reference: DataFrame, configurations: dict[str, DataFrame], strict: bool = True) -> DataFrame:
+    """Scores of several configurations of detectors (name -> predicted spans), with ``configuration``."""
+    out = None
+    for name, predicted in configurations.items():
+        one = scores(outcomes(reference, predicted, match(reference, predicted, strict))).withColumn("configuration", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def joined_readings(index: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Degraded readings with their annotation, by id; readings without one are left out."""
+    return index.join(annotations.select("id", F.col("texte").alias("texte_reference"), "entites"), "id")
+
+
+def with_partition(corpus: DataFrame, order: str = "id") -> DataFrame:
+    """``partition`` by place in the corpus: 70 % entrainement, 15 % validation, 15 % test.
+
+    Places come from a range sort: each partition numbers its rows and adds the sizes of those before it.
+    """
+    d = corpus.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p")
+    before = sizes.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # a row a partition
+    d = d.join(F.broadcast(before), "_p").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
+    name = F.when(F.col("_i") < F.floor(F.col("_all") * 7 / 10), "entrainement").when(F.col("_i") < F.floor(F.col("_all") * 85 / 100), "validation").otherwise("test")
+    return d.withColumn("partition", name).drop("_p", "_before", "_all", "_i")
+
+
+def confusion_totals(matrix: DataFrame) -> DataFrame:
+    """(attendu, total, exacts, autres) of each expected label; the margin of extra predictions stays out."""
+    d = matrix.where(F.col("attendu") != EXTRA).groupBy("attendu")
+    right = F.sum(F.when(F.col("attendu") == F.col("predit"), F.col("n")).otherwise(0))
+    return d.agg(F.sum("n").alias("total"), right.alias("exacts")).withColumn("autres", F.col("total") - F.col("exacts"))
+
+
+def confusion_table(matrix: DataFrame, labels: list[str]) -> DataFrame:
+    """The matrix with a column for each label and margin."""
+    return matrix.groupBy("attendu").pivot("predit", [*labels, MISSED]).sum("n").na.fill(0)

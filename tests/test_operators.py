@@ -226,6 +226,20 @@ def test_matching_and_scores(spark):
     assert [(x.attendu, x.predit) for x in under] == [("critique", "faible")]
 
 
+def test_campaign_and_tables(spark):
+    r, p = evaluation(spark, [("A", 0, 5, "moyen"), ("B", 20, 25, "critique")], [("A", 0, 5, "moyen"), ("B", 21, 25, "critique")])
+    c = {(x.configuration, x.axe, x.cle): x.rappel for x in evaluate.campaign(r, {"tout": p, "rien": p.limit(0)}).collect()}
+    assert c["tout", "global", "GLOBAL"] == 0.5 and c["rien", "global", "GLOBAL"] == 0.0
+    m = evaluate.confusion(r, p, evaluate.match_by_position(r, p), "niveau")
+    assert {(x.attendu, x.total, x.exacts, x.autres) for x in evaluate.confusion_totals(m).collect()} == {("moyen", 1, 1, 0), ("critique", 1, 1, 0)}
+    assert evaluate.confusion_table(m, ["moyen", "critique"]).columns == ["attendu", "moyen", "critique", evaluate.MISSED]
+    rows = evaluate.outcomes(r, p, evaluate.match(r, p)).withColumn("condition", F.lit("bruit"))
+    assert evaluate.worst_recall(evaluate.scores_by(rows, "condition", "niveau")).first()[0] == 0.0
+    d = evaluate.with_partition(spark.range(20).withColumn("id", F.col("id") + 5))
+    got = [x.partition for x in d.orderBy("id").collect()]
+    assert got == ["entrainement"] * 14 + ["validation"] * 3 + ["test"] * 3
+
+
 def test_value_matching(spark):
     r = spark.createDataFrame([("d", 0, "NOM", "mamadoufall"), ("d", 1, "NOM", "awa")], "doc string, i int, type_entite string, cle string")
     p = spark.createDataFrame([("d", 0, "NOM", "mamadoufali"), ("d", 1, "LOC", "awa"), ("d", 2, "NOM", "mamadoufall")], "doc string, j int, type_entite string, cle string")
