@@ -68,3 +68,46 @@ def protect(action: Column, text: Column, entities: Column, tokens: Column) -> C
     return F.when(action == "refus", F.lit(None).cast("string")).when((action == "complet") | (F.size(entities) == 0), text).when(
         action == "masque", mask(text, entities)
     ).when(action == "pseudonymise", tokens)
+
+
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_replaced(data: bytes, values: dict[str, str]) -> bytes:
+    """A DOCX file with every value replaced, in header, footer, paragraphs and tables; a changed paragraph is one run."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    ElementTree.register_namespace("w", _WORD[1:-1])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            part = old.read(name)
+            if name.endswith(".xml") and name.startswith(("word/document", "word/header", "word/footer")):
+                root = ElementTree.fromstring(part)
+                for p in root.iter(f"{_WORD}p"):
+                    runs = list(p.iter(f"{_WORD}t"))
+                    text = "".join(t.text or "" for t in runs)
+                    fresh = text
+                    for v in sorted(values, key=lambda v: (-len(v), v)):
+                        fresh = fresh.replace(v, values[v]) if v else fresh
+                    if fresh != text:
+                        for t in runs:
+                            t.text = ""
+                        runs[0].text = fresh
+                part = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+            new.writestr(name, part)
+    return out.getvalue()
+
+
+def protect_docx(files: DataFrame) -> DataFrame:
+    """``files`` (cle, content, remplacements: map of value to replacement) with the rewritten content; an empty map changes nothing."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            content = [docx_replaced(bytes(c), dict(m)) if c is not None and m is not None and len(m) else c for c, m in zip(pdf["content"], pdf["remplacements"], strict=True)]
+            yield pd.DataFrame({"cle": pdf["cle"], "content": content})
+
+    return files.select("cle", "content", "remplacements").mapInPandas(run, "cle string, content binary")

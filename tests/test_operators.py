@@ -193,6 +193,16 @@ def test_files(spark, tmp_path):
     assert [r[0] for r in keys.select(files.escapes(F.col("k"))).collect()] == [False, True, True, False]
 
 
+def test_docx_rewriting(spark):
+    d = spark.createDataFrame([("a", docx(), {"GZ-889201": "CLI-1", "Bonjour": "B••"}), ("b", docx(), {})], "cle string, content binary, remplacements map<string,string>")
+    out = {r.cle: bytes(r.content) for r in protect.protect_docx(d).collect()}
+    assert files._docx_text(out["a"]) == "Dossier CLI-1\nB••\na | b" and out["b"] == docx_bytes(d)
+
+
+def docx_bytes(d):
+    return bytes(d.where("cle = 'b'").first().content)
+
+
 def test_content_types(spark):
     rows = [(b"%PDF-1", "text/plain", "a.txt", files.PDF), (b"\xff\xd8\xff\xe0", None, None, "image/jpeg"), (b"II*\x00", None, None, "image/tiff"), (b"PK\x03\x04", None, "a.zip", files.DOCX), (b"x", "Text/HTML; charset=x", "a.csv", "text/html"), (b"x", "x/y", "a.CSV", "text/csv"), (b"x", None, None, "text/plain")]
     d = spark.createDataFrame(rows, "c binary, m string, n string, want string")
