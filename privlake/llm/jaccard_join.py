@@ -42,7 +42,8 @@ SIMILARITY = (75, 100)
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_ENTRIES = 2, 8, 200_000
 #: A list of k sets makes k (k - 1) / 2 pairs or k - 1 ties.
 LIST_PAIRS = 48
-PART_POSTINGS = 400_000
+#: A pair is told once by each part that has a list of both: few large parts repeat it less.
+PART_POSTINGS = 1_500_000
 BITMAP_BITS = 1 << 23
 GROUP_ELEMENTS = 8_000_000
 DOCS_A_BLOB = 4000
@@ -287,11 +288,12 @@ def _edges(postings: DataFrame, similarity) -> DataFrame:
             for to, kind, count, shift in ((sid, "<i8", m, 0), (size, "<i4", m, 0), (tied, "<i4", m, 0), (keys, "<u8", n, 0), (index, "<u4", n, base), (kinds, "u1", n, 0), (tp, "<i8", t, 0), (ti, "<u4", t, base)):
                 x = np.frombuffer(data, dtype=kind, count=count, offset=at)
                 at += x.nbytes
-                to.append(x.astype(np.int64) + shift if shift or kind == "<u4" else x)
+                to.append(x + np.uint32(shift) if kind == "<u4" else x)
             base += m
         sid, size, tied, keys, index, kinds, tp, ti = map(np.concatenate, (sid, size, tied, keys, index, kinds, tp, ti))
         # copies from several partitions become one
         sid, first, at = np.unique(sid, return_index=True, return_inverse=True)
+        at = at.astype(np.int32)
         size, tied, index, ti = size[first].astype(np.int64), tied[first].astype(np.int64), at[index], at[ti]
         order = np.lexsort((index, kinds, keys))
         keys, kinds, index = keys[order], kinds[order], index[order]
@@ -312,6 +314,7 @@ def _edges(postings: DataFrame, similarity) -> DataFrame:
         out = []
         if x:
             x, y, c = map(np.concatenate, (x, y, c))
+            x, y = x.astype(np.int64), y.astype(np.int64)
             a, b = similarity
             fits = (b * size[x] >= a * size[y]) & (b * size[y] >= a * size[x])
             pair, at = np.unique(x[fits] * len(sid) + y[fits], return_inverse=True)
