@@ -4,9 +4,10 @@ A candidate is a run of at least ``W`` characters of the token alphabet with bot
 letters and digits.  A window of ``W`` characters slides over it; its Shannon
 entropy is kept by incremental counts (one character leaves, one enters) and
 compared with the threshold of the candidate's character class.  The span from
-the first hot window to the last is reported as kind ``entropy``, unless it
-overlaps a base span or the allow-list knows the candidate.  Everything is a
-Spark expression: one scan, no shuffle, no user function.
+the first hot window to the last is reported as kind ``entropy``, unless the
+allow-list knows the candidate.  Where base spans touch a candidate, its parts
+beside them are candidates of their own, so no window overlaps a base span.
+Everything is a Spark expression: one scan, no shuffle, no user function.
 
 Edge cases: null and empty text have no spans; texts of any length are scanned
 whole; repeated rows and null ids are scanned one by one; an empty table gives
@@ -85,6 +86,28 @@ def _hot(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), state, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
+def _candidate(s: Column, patterns) -> Column:
+    """Whether ``s`` has letters and digits and none of the allow-list's ``patterns``."""
+    return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~F.array_contains(F.array(*[s.rlike(p) for p in patterns]), True)
+
+
+def _parts(x: Column, base: Column) -> Column:
+    """Structs (s, e, cut) of what the spans in ``base`` (in order of their starts) leave of candidate ``x``."""
+    kind = "array<struct<s:int,e:int,cut:boolean>>"
+    part = lambda s, e, cut: F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(cut).alias("cut")))
+    touching = F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    state = F.struct(x["s"].alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        more = F.when(b["s"] - a["at"] >= W, F.concat(a["out"], part(a["at"], b["s"], True))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], b["e"]).alias("at"), more.alias("out"))
+
+    def last(a: Column) -> Column:
+        return F.when(x["e"] - a["at"] >= W, F.concat(a["out"], part(a["at"], x["e"], True))).otherwise(a["out"])
+
+    return F.when(F.size(touching) > 0, F.aggregate(touching, state, step, last)).otherwise(part(x["s"], x["e"], False).cast(kind))
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``row`` with the input's columns, ``base`` and ``spans``: arrays of (s, k, e), k an index of KINDS."""
     t = F.col("t")
@@ -94,7 +117,8 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(t.contains("AKIA"), F.regexp_extract_all("t", F.lit(ACCESS), 0)).otherwise(F.array().cast("array<string>")).alias("m1"),
         F.regexp_extract_all("t", F.lit(HEX), 0).alias("m2"), F.regexp_extract_all("t", F.lit(CANDIDATE), 0).alias("m3"),
     )
-    mixed = F.transform("m3", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]") & ~F.array_contains(F.array(*[x.rlike(p) for p in ALLOW]), True))
+    # what an anchored pattern knows whole it knows in parts
+    mixed = F.transform("m3", lambda x: _candidate(x, [p for p in ALLOW if p.startswith("^")]))
     values = F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), 2), lambda x: F.length(x) >= 6)
     every = lambda m: F.transform(m, lambda x: F.lit(True))
     d = d.select(
@@ -105,9 +129,13 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         ).alias("base"),
     )
     d = d.select("row", "t", F.sort_array("base").alias("base"), F.when(F.exists("ok3", lambda x: x), _spans(t, CANDIDATE, "m3", 3, F.col("ok3"))).alias("c"))
-    free = F.filter("c", lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    parts = F.flatten(F.transform("c", lambda x: _parts(x, F.col("base"))))
+    d = d.select("row", "t", "base", F.when(F.size("c") > 0, parts).alias("c"))
+    value = lambda x: F.col("t").substr(x["s"] + 1, x["e"] - x["s"])
+    # the joint to a base span isn't part of a word list
+    free = F.filter("c", lambda x: _candidate(F.when(x["cut"], F.regexp_replace(value(x), "^[-_/=+]+|[-_/=+]+$", "")).otherwise(value(x)), ALLOW))
     d = d.select("row", "t", "base", F.when(F.col("c").isNotNull(), free).alias("c"))
-    hot = F.transform("c", lambda x: F.struct(x["s"].alias("s"), _hot(F.col("t").substr(x["s"] + 1, x["e"] - x["s"])).alias("w")))
+    hot = F.transform("c", lambda x: F.struct(x["s"].alias("s"), _hot(value(x)).alias("w")))
     d = d.select("row", "t", "base", F.when(F.size("c") > 0, hot).alias("c"))
     extra = F.transform(
         F.filter("c", lambda x: x["w"]["first"] >= 0),

@@ -1,0 +1,16 @@
+"""Cases of the review that an earlier version missed."""
+
+from privlake.llm import pii, secret_scan
+
+
+def test_secret_beside_a_base_span(spark):
+    key, hexes = "Zx9Kq2Lm8Vt4Rb7Wc1Yp6", "deadbeefdeadbeefdeadbeef0123"
+    texts = [f"{hexes}_{key}", f"{key}/{hexes}", f"{key}+{hexes}={key}", f"{hexes}_some-long-joined-words-2024", f"{hexes}_short1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.s, s.k, s.e) for s in r.spans] for r in secret_scan.scan(df).select("row.doc_id", "spans").collect()}
+    assert [k for _, k, _ in got[0]] == [2, 3] and got[0][1][2] == len(texts[0]) and got[0][1][0] in (28, 29)
+    assert [k for _, k, _ in got[1]] == [3, 2] and got[1][0][0] == 0
+    assert [k for _, k, _ in got[2]] == [3, 2, 3]
+    assert [k for _, k, _ in got[3]] == [2] and [k for _, k, _ in got[4]] == [2]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert not any(key in clean[i] for i in range(3))
