@@ -10,8 +10,9 @@ with their spans (phone numbers without a plus, addresses with " at ", dotted ca
 numbers, and look-alikes that aren't personal: dates, prices, versions, ISBNs).
 
 Only stretches of a text that hold a trigger (a run of digits and separators, or
-an at-sign in any spelling) are decoded; the rest can't hold a span.  Spans of the
-field that overlap a base span are dropped, base spans always stay.
+an at-sign in any spelling) are decoded; the rest can't hold a span.  Where base
+spans touch a trigger, the triggers in its parts beside them count.  Base spans
+always stay, and their tokens are no part of the field's spans.
 
 Edge cases: null or empty text has no spans; whole texts are read, in linear
 time; repeated rows are scanned each; null ids are kept; an empty table gives an
@@ -103,8 +104,8 @@ _CUES = {
 }
 
 
-def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
-    """Features of the segment of tokens i to j (exclusive) as a whole."""
+def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, phones: tuple[int, ...] = ()) -> list[str]:
+    """Features of the segment of tokens i to j (exclusive) as a whole; a phone's end (``phones``) with no letter since is a cue."""
     s, e = tokens[i][0], tokens[j - 1][1]
     span = text[s:e]
     digits = "".join(_DIGIT.findall(span))
@@ -113,6 +114,8 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[
     seps = "".join(sorted(set(re.sub(r"[\w]", "", span))))
     before = text[max(0, s - 24) : s].lower()
     cue = next((_CUES[w] for w in reversed(re.findall(r"[^\W\d_]+", before)[-2:]) if w in _CUES), "-")
+    if any(0 <= s - x <= 24 and not any(c.isalpha() for c in text[x:s]) for x in phones):
+        cue = "p"
     f = [f"len={min(j - i, 9)}", f"dig={n if n < 20 else 20}", f"groups={min(len(groups), 6)}", f"seps={seps}", f"cue={cue}", f"cue={cue}&dig={n // 3}"]
     f.append("ends=" + ("d" if span[0].isdigit() else "(" if span[0] in "(+" else "a" if span[0].isalpha() else "o") + ("d" if span[-1].isdigit() else "a" if span[-1].isalpha() else "o"))
     if n and any(c.isalpha() for c in span):
@@ -153,7 +156,7 @@ class SemiMarkov:
         self.weights = {k: np.asarray(v) for k, v in (weights or {}).items()}
         self.pairs = np.zeros((len(LABELS), len(LABELS))) if pairs is None else np.asarray(pairs)
 
-    def _scores(self, text: str, tokens):
+    def _scores(self, text: str, tokens, phones: tuple[int, ...] = ()):
         """scores[i][n]: of the segment of n + 1 tokens from i, by label; longer ones than a token can't be 'none'."""
         import numpy as np
 
@@ -164,7 +167,7 @@ class SemiMarkov:
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
                     break  # a span has no wide gap
-                f = _features(text, tokens, i, j)
+                f = _features(text, tokens, i, j, phones)
                 v = sum((self.weights[x] for x in f if x in self.weights), zero)
                 allowed = _possible(f)
                 allowed[0] = j == i + 1
@@ -175,11 +178,11 @@ class SemiMarkov:
             used.append(names)
         return out, used
 
-    def decode(self, text: str, tokens) -> list[tuple[int, int, int]]:
+    def decode(self, text: str, tokens, phones: tuple[int, ...] = ()) -> list[tuple[int, int, int]]:
         """(label, i, j) of the best segmentation, without 'none'."""
         import numpy as np
 
-        scores, _ = self._scores(text, tokens)
+        scores, _ = self._scores(text, tokens, phones)
         n = len(tokens)
         best, back = np.full((n + 1, len(LABELS)), -np.inf), {}
         best[0, 0] = 0.0
@@ -300,14 +303,28 @@ def trained(sentences: int = 220, rounds: int = 5) -> SemiMarkov:
     return model
 
 
+def _free_triggers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Triggers beside the sorted spans ``taken``, which cut those that they touch."""
+    k = 0
+    for m in _TRIGGER.finditer(text):
+        at, end = m.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        touching = [x for x in taken[k:] if x[0] < end and at < x[1]] if k < len(taken) and taken[k][0] < end else []
+        if not touching:
+            yield at, end
+            continue
+        for a, b in [*touching, (end, end)]:
+            if at < a:
+                yield from (p.span() for p in _TRIGGER.finditer(text, at, a))
+            at = max(at, b)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov) -> list[tuple[int, int, int]]:
     """The field's spans (kind, start, end) in the stretches around triggers, none over a base span."""
     taken = sorted((s, e) for _, s, e in base)
     stretches: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in taken):
-            continue
+    for s, e in _free_triggers(text, taken):
         if stretches and s - _REACH <= stretches[-1][1] and e - stretches[-1][0] < 400:
             stretches[-1][1] = e + _REACH
         else:
@@ -315,8 +332,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov)
     found = set()
     for s, e in stretches:
         part = text[s:e]
-        tokens = [m.span() for m in _TOKEN.finditer(part)]
-        for y, i, j in model.decode(part, tokens):
+        near = [(x - s, z - s) for x, z in taken if x < e and s < z]
+        tokens = [m.span() for m in _TOKEN.finditer(part) if not any(x < m.end() and m.start() < z for x, z in near)]
+        phones = tuple(z - s for k, _, z in base if k == 3 and s < z < e)
+        for y, i, j in model.decode(part, tokens, phones):
             a, b = s + tokens[i][0], s + tokens[j - 1][1]
             if not any(x < b and a < z for x, z in taken):
                 found.add((y - 1, a, b))

@@ -14,3 +14,16 @@ def test_secret_beside_a_base_span(spark):
     assert [k for _, k, _ in got[3]] == [2] and [k for _, k, _ in got[4]] == [2]
     clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
     assert not any(key in clean[i] for i in range(3))
+
+
+def test_numbers_beside_a_base_span():
+    model = pii.trained()
+    for text, kind, value in (
+        ("call +33 1 23 45 67 89 / 01 98 76 54 32 today", 3, "01 98 76 54 32"), ("+33 1 23 45 67 89 / 415-555-0100", 3, "415-555-0100"),
+        ("tel (415) 555-0100 192.168.10.20 ok", 3, "(415) 555-0100"),
+    ):
+        base = pii.base_spans(text)
+        added = pii.added_spans(text, base, model)
+        assert len(base) == 1 and [(k, text[s:e]) for k, s, e in added] == [(kind, value)]
+    for text in ("call +33 1 23 45 67 89 today", "mail a.b@c.com", "host 192.168.10.20"):
+        assert len(pii.base_spans(text)) == 1 and pii.added_spans(text, pii.base_spans(text), model) == []
