@@ -4,7 +4,9 @@ Folding maps look-alike letters of other scripts and full-width forms to Latin,
 digits and signs that stand for letters inside a word to those letters, lowers
 the case and drops soft hyphens and zero-width marks.  Lexicon entries are
 words or word beginnings; an automaton finds all of them in one pass.  Hits
-inside an exception phrase don't count.  The weights found, in sum and for each
+inside an exception phrase don't count: ``EXCEPTIONS``, and pairs of neighbouring
+words that hold a lexicon entry and are as typical of the rows that aren't toxic
+as an entry is of those that are.  The weights found, in sum and for each
 word of the text, go through a logistic curve.
 
 The lexicon and its weights are learnt from labelled rows: every word beginning
@@ -32,6 +34,15 @@ MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 MAX_ENTRIES = 2000
 MIN_SUPPORT, MIN_WEIGHT = 4, 2.2
 THRESHOLD = 0.7
+MAX_EXCEPTIONS = 2000
+
+#: Harmless phrases of words that also insult.
+EXCEPTIONS = (
+    "pond scum", "soap scum", "idiot proof", "idiot light", "april fool", "april fools", "fool proof", "fool s gold", "dumb terminal", "dumb waiter",
+    "dumb bell", "dumb bells", "guinea pig", "guinea pigs", "pig iron", "lab rat", "lab rats", "rat race", "trash can", "trash cans", "trash bin", "trash bag",
+    "trash bags", "trash collection", "garbage collector", "garbage collection", "garbage can", "garbage truck", "kill switch", "killer whale", "killer whales",
+    "clown fish", "circus clown", "pathetic fallacy", "losers bracket", "loser s bracket",
+)
 
 #: Look-alikes of Latin letters: Greek and Cyrillic (fixed pairs, from, to).
 _LOOKALIKE = (
@@ -162,15 +173,38 @@ def learn(texts: list[str | None], labels: list[int], exceptions: tuple[str, ...
         best = sorted(found, key=lambda e: (-found[e][0], e))[:MAX_ENTRIES]
         return {e: round(found[e][1], 4) for e in best}
 
+    def benign(rows: list[int], weights: dict[str, float]) -> tuple[str, ...]:
+        """The exceptions given, and those learnt from ``rows``."""
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        split = {i: folded[i].split() for i in rows}
+        held = {w for w in set().union(*split.values()) if any(e in weights for e in entries(w))}
+        for i, words in split.items():
+            if held.isdisjoint(words):
+                continue
+            at = {j for k, w in enumerate(words) if w in held for j in (k - 1, k)}
+            seen[int(y[i])].update({f"{words[j]} {words[j + 1]}" for j in at if 0 <= j < len(words) - 1})
+        n = [max(1, sum(1 for i in rows if y[i] == c)) for c in (0, 1)]
+        found = {}
+        for p, k in seen[0].items():
+            w = math.log((k + 0.5) / (n[0] + 1) / ((seen[1][p] + 0.5) / (n[1] + 1)))
+            if k >= MIN_SUPPORT and w >= MIN_WEIGHT:
+                found[p] = w * math.sqrt(k)
+        return (*exceptions, *sorted(found, key=lambda p: (-found[p], p))[:MAX_EXCEPTIONS])
+
+    def model(rows: list[int]) -> Model:
+        weights = lexicon(rows)
+        return Model(weights, benign(rows, weights))
+
     half = [zlib.crc32(t.encode()) & 1 for t in folded]
     x = np.zeros((len(folded), 3))
     for side in (0, 1):
-        m = Model(lexicon([i for i, h in enumerate(half) if h != side]), exceptions)
+        m = model([i for i, h in enumerate(half) if h != side])
         for i, h in enumerate(half):
             if h == side:
                 x[i] = m.features(folded[i])
     curve = _logistic(x, y)
-    return Model(lexicon(list(range(len(folded)))), exceptions, tuple(curve))
+    whole = model(list(range(len(folded))))
+    return Model(whole.weights, whole.exceptions, tuple(curve))
 
 
 def _logistic(x, y):
@@ -199,7 +233,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sorted((r.text or "", r.toxic) for r in sample(docs, labels).collect())  # at most MAX_POSITIVE + MAX_NEGATIVE
-    return learn([t for t, _ in rows], [c for _, c in rows])
+    return learn([t for t, _ in rows], [c for _, c in rows], EXCEPTIONS)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

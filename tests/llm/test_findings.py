@@ -1,6 +1,6 @@
 """Cases of the review that an earlier version missed."""
 
-from privlake.llm import pii, secret_scan
+from privlake.llm import pii, secret_scan, toxicity
 
 
 def test_secret_beside_a_base_span(spark):
@@ -27,3 +27,17 @@ def test_numbers_beside_a_base_span():
         assert len(base) == 1 and [(k, text[s:e]) for k, s, e in added] == [(kind, value)]
     for text in ("call +33 1 23 45 67 89 today", "mail a.b@c.com", "host 192.168.10.20"):
         assert len(pii.base_spans(text)) == 1 and pii.added_spans(text, pii.base_spans(text), model) == []
+
+
+def test_exceptions_of_the_trained_model(spark):
+    """Built-in phrases reach the model that the query uses, and phrases of harmless rows are learnt."""
+    text = lambda i: f"you scum number{i} go away" if i % 5 == 0 else f"the sea scum drifts by w{i}" if i % 20 == 1 else f"plain words w{i} of no weight"
+    rows = [(i, text(i), int(i % 5 == 0)) for i in range(1200)]
+    extra = [(i, f"you scum again{i}", 1) for i in range(1200, 9000)]
+    d = spark.createDataFrame(rows + extra, "doc_id long, text string, toxic int")
+    model = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert any(e.startswith(" scum") for e in model.weights) and set(toxicity.EXCEPTIONS) <= set(model.exceptions)
+    assert {"sea scum", "scum drifts"} <= set(model.exceptions) and "you scum" not in model.exceptions
+    for phrase in ("pond scum", "sea scum"):
+        assert model.features(toxicity.fold(phrase)) == (0.0, 0.0, 0.0)
+    assert model.features(toxicity.fold("you scum"))[0] > 0
