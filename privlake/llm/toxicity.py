@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding maps look-alike letters of other scripts and full-width forms to Latin,
-digits and signs that stand for letters inside a word to those letters, lowers
-the case and drops soft hyphens and zero-width marks.  Lexicon entries are
+digits and signs that stand for letters inside a word or at its end (but for
+final exclamation marks) to those letters, lowers the case and drops soft hyphens and zero-width marks.  Lexicon entries are
 words or word beginnings; an automaton finds all of them in one pass.  Hits
 inside an exception phrase don't count: ``EXCEPTIONS``, and pairs of neighbouring
 words that hold a lexicon entry and are as typical of the rows that aren't toxic
@@ -65,6 +65,8 @@ def fold(text: str) -> str:
         text = text.translate(_FOLD)
     if _fold_re().search(text):
         text = re.sub(r"(?<![^\W_])[^\W\d_]*[0-9@$!]+[^\W\d_][^\W_@$!]*(?:[@$!]+[^\W_]+)*|[^\W\d_]+[0-9@$!]+[^\W\d_](?:[^\W_]|[@$!](?=[^\W_]))*", lambda m: m[0].translate(_LEET), text)
+    if _end_gate_re().search(text):
+        text = _end_re().sub(lambda m: m[0].translate(_LEET), text)
     return " " + " ".join(_words_re().findall(text)) + " "
 
 
@@ -74,6 +76,19 @@ def _fold_re():
     return _CACHED.setdefault("leet", re.compile(r"[0-9@$!][^\W\d_]"))
 
 
+def _end_gate_re():
+    import re
+
+    return _CACHED.setdefault("end gate", re.compile(r"[^\W\d_][0-9@$!]"))
+
+
+def _end_re():
+    """Digits and signs from a letter to the word's end."""
+    import re
+
+    return _CACHED.setdefault("end", re.compile(r"(?<=[^\W\d_])(?:[013457@$]|!++(?=[013457@$]))++(?![^\W_])"))
+
+
 def _words_re():
     import re
 

@@ -41,3 +41,10 @@ def test_exceptions_of_the_trained_model(spark):
     for phrase in ("pond scum", "sea scum"):
         assert model.features(toxicity.fold(phrase)) == (0.0, 0.0, 0.0)
     assert model.features(toxicity.fold("you scum"))[0] > 0
+
+
+def test_folding_at_the_end_of_a_word():
+    assert toxicity.fold("dumba55 a$$! shi7, moron5!! sh!7") == " dumbass ass shit morons shit "
+    assert toxicity.fold("3000 x2 b12 $5 wow! in 1999") == " 3000 x2 b12 5 wow in 1999 "
+    for text in ("a" + "!" * 200_000 + "z", "a" + "5" * 200_000 + "_", "a!" * 100_000, "a" + "!5" * 100_000):
+        toxicity.fold(text)  # linear
