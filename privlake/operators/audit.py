@@ -1,10 +1,11 @@
 """Hash-chained audit log: append, verify, search.
 
 Verification is parallel: before the first break every stored hash is the one
-expected, so each row needs only its predecessor's hash.  Rows are range
-partitioned by id, the predecessor comes from within the partition, and the
-last hash of each partition (one row a partition) bridges the borders; no task
-sees the whole log.
+expected, so each row needs only its predecessor's hash.  Rows are dealt by
+blocks of ids (a function of the id, so every use of a row sees it in the same
+block); the predecessor comes from within the block, and the first and the last
+row of each block bridge the borders.  No task sees more than a block, or one
+row for each block.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from privlake.functions.validators import card_valid
+
 GENESIS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of nothing
 _HASHED = ("utilisateur_id", "role_effectif", "document_id", "action", "politique_appliquee")
+#: Ids of a block, which one task verifies in order.
+BLOCK = 1 << 16
 
 
 def iso_time(t: Column) -> Column:
@@ -57,27 +62,32 @@ def append(rows: DataFrame, last_id: int = 0, last_hash: str | None = None) -> D
     return rows.select(*columns).coalesce(1).sortWithinPartitions("ordre").mapInPandas(run, schema)
 
 
-def _with_previous(log: DataFrame) -> DataFrame:
-    d = log.repartitionByRange("id").withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy("id")
-    d = d.withColumn("_lag", F.lag("empreinte").over(within)).withColumn("_first", F.row_number().over(within) == 1)
-    ends = d.groupBy("_part").agg(F.max_by("empreinte", "id").alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.orderBy("_part"))).select("_part", "_before")
-    return d.join(F.broadcast(before), "_part").withColumn("precedent", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))).drop("_part", "_lag", "_first", "_before")
-
-
-def verify(log: DataFrame) -> DataFrame:
-    """One row (intact, premiere_rupture, nb_entrees): the first row that doesn't follow, and the rows up to it."""
-    d = _with_previous(log)
-    expected = link_hash(F.coalesce("precedent", F.lit(GENESIS)))
-    bad = ~F.col("empreinte_precedente").eqNullSafe(F.col("precedent")) | ~F.col("empreinte").eqNullSafe(expected)
-    d = d.select("id", bad.alias("bad"))
-    first = d.agg(F.min(F.when(F.col("bad"), F.col("id"))).alias("premiere_rupture"))
-    n = d.crossJoin(F.broadcast(first)).agg(  # the right side is one row
-        F.count_if(F.col("premiere_rupture").isNull() | (F.col("id") <= F.col("premiere_rupture"))).alias("nb_entrees"),
-        F.max("premiere_rupture").alias("premiere_rupture"),
+def verify(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row (intact, premiere_rupture, nb_entrees): the first row that doesn't follow, and the rows up to it.
+
+    One shuffle; ids are unique, so a block has at most ``block`` rows.  An empty log is intact.
+    """
+    d = log.select("id", "horodatage", *_HASHED, "empreinte_precedente", "empreinte").withColumn("bloc", F.floor(F.col("id") / block))
+    place = Window.partitionBy("bloc").orderBy("id")
+    d = d.withColumns({"precedent": F.lag("empreinte").over(place), "rang": F.row_number().over(place)})
+    broken = (F.col("rang") > 1) & _breaks(F.col("precedent"))
+    blocks = d.groupBy("bloc").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(broken, F.struct("id", "rang"))).alias("rupture"),
+        F.min(F.struct("id", "empreinte_precedente", "empreinte", "horodatage", *_HASHED)).alias("premier"), F.max_by("empreinte", "id").alias("fin"),
     )
-    return n.select(F.col("premiere_rupture").isNull().alias("intact"), "premiere_rupture", "nb_entrees")
+    # from here on a row for each block
+    border = Window.orderBy("bloc")
+    e = blocks.select("n", "rupture", "bloc", "premier.*", F.lag("fin").over(border).alias("precedent"), (F.sum("n").over(border) - F.col("n")).alias("avant"))
+    first = F.when(_breaks(F.col("precedent")), F.struct("id", F.lit(1).alias("rang"))).otherwise(F.col("rupture"))
+    e = e.select("n", F.when(first.isNotNull(), F.struct(first["id"].alias("id"), (F.col("avant") + first["rang"]).alias("rang"))).alias("rupture"))
+    e = e.agg(F.min("rupture").alias("r"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return e.select(F.col("r").isNull().alias("intact"), F.col("r.id").alias("premiere_rupture"), F.coalesce(F.col("r.rang"), F.col("n")).cast("long").alias("nb_entrees"))
+
+
+def _breaks(previous: Column) -> Column:
+    """Whether a row doesn't follow a row with the hash ``previous`` (null: none)."""
+    expected = link_hash(F.coalesce(previous, F.lit(GENESIS)))
+    return ~F.col("empreinte_precedente").eqNullSafe(previous) | ~F.col("empreinte").eqNullSafe(expected)
 
 
 def search(log: DataFrame, document: str | None = None, user: str | None = None, since=None, until=None, page: int = 1, size: int = 50) -> DataFrame:
@@ -90,6 +100,8 @@ def search(log: DataFrame, document: str | None = None, user: str | None = None,
 
 
 def leaks(log: DataFrame) -> DataFrame:
-    """Rows that break the log's invariants: personal data in the details, or a malformed hash."""
+    """Rows that break the log's invariants: an address, an IBAN or a card number in the details, or a malformed hash."""
     mail, iban = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
-    return log.where(F.coalesce("details", F.lit("")).rlike(f"{mail}|{iban}") | ~F.col("empreinte").rlike("^[0-9a-f]{64}$"))
+    details = F.coalesce("details", F.lit(""))
+    cards = F.exists(F.regexp_extract_all(details, F.lit("[0-9]{13,19}"), 0), card_valid)
+    return log.where(details.rlike(f"{mail}|{iban}") | cards | ~F.coalesce("empreinte", F.lit("")).rlike("^[0-9a-f]{64}$"))

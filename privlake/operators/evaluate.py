@@ -9,6 +9,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from privlake.operators.catalog import materialise
+
 MATCHES = "doc string, i int, j int"
 TARGETS = {"rappel": 0.90, "rappel_critique": 0.95, "f2": 0.90}
 MISSED, EXTRA = "(manquée)", "(superflue)"
@@ -183,12 +185,13 @@ def joined_readings(index: DataFrame, annotations: DataFrame) -> DataFrame:
 def with_partition(corpus: DataFrame, order: str = "id") -> DataFrame:
     """``partition`` by place in the corpus: 70 % entrainement, 15 % validation, 15 % test.
 
-    Places come from a range sort: each partition numbers its rows and adds the sizes of those before it.
+    Places come from a range sort, written once with the number of each row's range: each range numbers its rows and
+    adds the sizes of those before it.
     """
-    d = corpus.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    d = materialise(corpus.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p")
-    before = sizes.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # a row a partition
+    before = sizes.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # a row a range
     d = d.join(F.broadcast(before), "_p").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
     name = F.when(F.col("_i") < F.floor(F.col("_all") * 7 / 10), "entrainement").when(F.col("_i") < F.floor(F.col("_all") * 85 / 100), "validation").otherwise("test")
     return d.withColumn("partition", name).drop("_p", "_before", "_all", "_i")

@@ -280,13 +280,13 @@ def _log_rows(spark, d) -> DataFrame:
 
 @query("SELECT true AS intact, NULL::bigint AS premiere_rupture, count(*)::bigint AS nb_entrees FROM events")
 def audit_chain(spark, d):
-    return audit.verify(audit.append(_log_rows(spark, d)))
+    return audit.verify(catalog.materialise(audit.append(_log_rows(spark, d))))
 
 
 @query("""SELECT false AS intact, min(id)::bigint AS premiere_rupture, min(id)::bigint AS nb_entrees FROM
 (SELECT event_type, row_number() OVER (ORDER BY event_id) AS id FROM events) WHERE event_type = (SELECT max(event_type) FROM events) AND id > 100""")
 def audit_chain_tampered(spark, d):
-    log = audit.append(_log_rows(spark, d))
+    log = catalog.materialise(audit.append(_log_rows(spark, d)))
     last = log.agg(F.max("action").alias("m"))
     changed = log.join(F.broadcast(last), F.lit(True)).withColumn("utilisateur_id", F.when((F.col("action") == F.col("m")) & (F.col("id") > 100), "x").otherwise(F.col("utilisateur_id")))
     return audit.verify(changed.drop("m"))

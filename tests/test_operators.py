@@ -149,6 +149,71 @@ def test_audit_verification_equals_a_fold(spark):
     assert tuple(audit.verify(log.limit(0)).first()) == (True, None, 0)
 
 
+@pytest.mark.parametrize(("parts", "adaptive"), [(4, "true"), (200, "true"), (200, "false")])
+def test_audit_verification_of_a_long_log(spark, parts, adaptive):
+    """Every block border, whatever the partitions: the queries at the larger scale, equal to their SQL."""
+    sf = "/root/testdata/sf0.1"
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        for name in ("audit_chain", "audit_chain_tampered"):
+            got = queries.QUERIES[name](spark, sf).first()
+            want = c.execute(queries.ORACLES[name]).df().iloc[0]
+            assert got.intact == want.intact and got.nb_entrees == want.nb_entrees
+            assert (got.premiere_rupture is None) if got.intact else got.premiere_rupture == want.premiere_rupture
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_audit_blocks(spark):
+    """A break at each place of a log that spans many blocks."""
+    rows = chain([("u", "L")] * 23)
+    for i in range(23):
+        cut = [(*r[:1], "pirate", *r[2:]) if k == i else r for k, r in enumerate(rows)]
+        log = spark.createDataFrame(cut, "id long, utilisateur_id string, action string, empreinte_precedente string, empreinte string")
+        log = log.withColumns({c: F.lit(None).cast("string") for c in ("role_effectif", "document_id", "politique_appliquee")}).withColumn("horodatage", F.lit("2024-01-01").cast("timestamp"))
+        assert tuple(audit.verify(log, block=5).first()) == (False, i + 1, i + 1)
+
+
+def test_audit_million_rows(spark):
+    """A chain of a million rows, whole and with one row of the middle changed (its fields don't enter the hash of others)."""
+    link = lambda previous, user: hashlib.sha256("|".join([previous or audit.GENESIS, user, "", "", "L", "", "2024-01-01T00:00:00.000Z"]).encode()).hexdigest()
+    n = 1_000_000
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            previous, out = None, []
+            for i in range(1, n + 1):
+                digest = link(previous, "u")
+                out.append((i, previous, digest))
+                previous = digest
+                if len(out) == 50_000:
+                    yield pd.DataFrame(out, columns=["id", "empreinte_precedente", "empreinte"])
+                    out = []
+
+    log = spark.range(1, numPartitions=1).mapInPandas(run, "id long, empreinte_precedente string, empreinte string")
+    log = log.withColumns({c: F.lit(None).cast("string") for c in ("role_effectif", "document_id", "politique_appliquee")})
+    log = log.withColumns({"utilisateur_id": F.lit("u"), "action": F.lit("L"), "horodatage": F.lit("2024-01-01").cast("timestamp")})
+    log = queries.catalog.materialise(log)
+    assert tuple(audit.verify(log).first()) == (True, None, n)
+    bad = log.withColumn("utilisateur_id", F.when(F.col("id") == 700_001, "x").otherwise(F.col("utilisateur_id")))
+    assert tuple(audit.verify(bad.repartition(50)).first()) == (False, 700_001, 700_001)
+
+
+def test_partition_of_a_large_corpus(spark):
+    """Places don't depend on how the rows lie: wide rows, many partitions."""
+    n = 60_000
+    d = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.repeat(F.lit("x"), 50).alias("texte"), F.lit(1).alias("k")).repartition(23)
+    got = evaluate.with_partition(d).groupBy("partition").agg(F.min("id"), F.max("id"), F.count(F.lit(1))).collect()
+    assert {tuple(r) for r in got} == {("entrainement", 0, 41_999, 42_000), ("validation", 42_000, 50_999, 9_000), ("test", 51_000, 59_999, 9_000)}
+
+
 def resource(spark, rows):
     return spark.createDataFrame([("s", k, len(c or b""), None, c) for k, c in rows], "source_id string, cle string, taille long, type_mime string, content binary")
 
