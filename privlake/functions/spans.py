@@ -7,24 +7,53 @@ from pyspark.sql import Column, functions as F
 SPAN = "array<struct<debut:int,fin:int,valeur:string>>"
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
+#: Elements that one inner fold appends one by one; the blocks are then joined, so appending stays near linear.
+BLOCK = 256
+
+
+def folded(rows: Column, start: Column, step, out_type: str) -> Column:
+    """The elements that ``step`` gives along ``rows``, in order.
+
+    ``step(state, row)`` returns (new state, element, whether it is kept).  Spark's fold copies what it has
+    gathered at every step; gathering by blocks keeps the copies short, for texts with any number of matches.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, element, keep = step(acc["at"], x)
+        return F.struct(state.alias("at"), F.when(keep, F.concat(acc["out"], F.array(element))).otherwise(acc["out"]).alias("out"))
+
+    def of(r: Column) -> Column:
+        def outer(acc: Column, k: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), F.array().cast(out_type).alias("out"))
+            whole = lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out"))
+            return F.aggregate(F.slice(r, k, F.lit(BLOCK)), begin, inner, whole)
+
+        none = F.struct(start.alias("at"), F.array().cast(f"array<{out_type}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(r), F.lit(BLOCK)), none, outer, lambda acc: F.flatten(acc["out"]))
+
+    # a lambda's argument is computed once, an expression at each use
+    bound = F.element_at(F.transform(F.array(rows), lambda r: F.when(F.size(r) > 0, of(r))), 1)
+    return F.coalesce(bound, F.array().cast(out_type))
+
+
+def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
     """Array of (debut, fin, valeur) of all matches of ``pattern``; of its last group if ``group`` is its number,
     which must end where the match ends.
 
     A match starts after the pieces and matches before it.  Texts without a match
-    cost one search.
+    cost one search, and those without the string ``needs``, which every match holds, not even that.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     value = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("all"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["gap"]) + F.length(x["all"])
-        one = F.array(F.struct((end - F.length(x["value"])).alias("debut"), end.alias("fin"), x["value"].alias("valeur")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["all"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        end = at + F.length(x["gap"]) + F.length(x["all"])
+        one = F.struct((end - F.length(x["value"])).alias("debut"), end.alias("fin"), x["value"].alias("valeur"))
+        return F.coalesce(end, at), one, x["all"].isNotNull()
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    any_ = text.rlike(pattern) if needs is None else text.contains(needs) & text.rlike(pattern)
+    return F.when(any_, folded(rows, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def trimmed(found: Column, chars: str) -> Column:
