@@ -92,18 +92,24 @@ def _at_most_255(part: str) -> bool:
 # --- the field ---
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-_TRIGGER = re.compile(
-    r"[0-9(][0-9() ./-]{5,}[0-9]|[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+"
-)
+_NUMBERS = re.compile(r"[0-9() ./-]{7,}+")
+_AT = re.compile(r"@|\(at\)|\[at\]| at(?= )")
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)+")
+#: A longer segment is no span of any kind.
+MAX_CHARS = 320
 _REACH = 30
 _CUES = {
-    "phone": "p", "tel": "p", "telephone": "p", "call": "p", "mobile": "p", "fax": "p", "cell": "p", "téléphone": "p", "teléfono": "p", "telefon": "p",
+    "phone": "p", "tel": "p", "telephone": "p", "call": "p", "mobile": "p", "fax": "p", "cell": "p", "number": "p", "ring": "p", "dial": "p", "tél": "p", "téléphone": "p", "teléfono": "p", "telefon": "p",
     "mail": "m", "email": "m", "contact": "m", "write": "m", "card": "c", "visa": "c", "mastercard": "c", "carte": "c", "karte": "c", "tarjeta": "c",
     "ip": "i", "host": "i", "server": "i", "address": "i", "isbn": "x", "version": "x", "page": "x", "pages": "x", "order": "x", "invoice": "x",
     "no": "x", "on": "x", "from": "x", "price": "x", "figure": "x", "ref": "x",
 }
 
 
+#: A single token that is too long for any span.
+LONG = ["dig=0", "at=False,False,False", "long"]
+
+
 def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, phones: tuple[int, ...] = ()) -> list[str]:
     """Features of the segment of tokens i to j (exclusive) as a whole; a phone's end (``phones``) with no letter since is a cue."""
     s, e = tokens[i][0], tokens[j - 1][1]
@@ -147,6 +153,11 @@ def _possible(f: list[str]) -> list[bool]:
     return [True, "at=True,True,True" in has, "quad=True" in has and plain, "luhn=True" in has and plain, 8 <= digits <= 15 and plain]
 
 
+def _plausible(span: str) -> bool:
+    """Whether a segment can be a span at all, before its features are worked out: what ``_possible`` asks at least."""
+    return 8 <= len(_DIGIT.findall(span)) <= 19 or "@" in span or "at" in span.lower() or span.count(".") == 3
+
+
 class SemiMarkov:
     """Weights by feature (rows of one score a label) and by pair of neighbouring labels."""
 
@@ -156,58 +167,55 @@ class SemiMarkov:
         self.weights = {k: np.asarray(v) for k, v in (weights or {}).items()}
         self.pairs = np.zeros((len(LABELS), len(LABELS))) if pairs is None else np.asarray(pairs)
 
-    def _scores(self, text: str, tokens, phones: tuple[int, ...] = ()):
-        """scores[i][n]: of the segment of n + 1 tokens from i, by label; longer ones than a token can't be 'none'."""
+    def _segments(self, text: str, tokens, i: int, phones: tuple[int, ...] = ()):
+        """(scores by label, features) of the segments of 1, 2, ... tokens from i; longer ones than a token can't be 'none'."""
         import numpy as np
 
-        out, used = [], []
-        zero = np.zeros(len(LABELS))
-        for i in range(len(tokens)):
-            row, names = [], []
-            for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-                if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
-                    break  # a span has no wide gap
-                f = _features(text, tokens, i, j, phones)
-                v = sum((self.weights[x] for x in f if x in self.weights), zero)
-                allowed = _possible(f)
-                allowed[0] = j == i + 1
-                v = np.where(allowed, v, -np.inf)
-                row.append(v)
-                names.append(f)
-            out.append(row)
-            used.append(names)
-        return out, used
+        zero, none = np.zeros(len(LABELS)), np.full(len(LABELS), -np.inf)
+        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+            long = tokens[j - 1][1] - tokens[i][0] > MAX_CHARS
+            if j > i + 1 and (long or tokens[j - 1][0] - tokens[j - 2][1] > 1):
+                break  # a span has no wide gap
+            if j > i + 1 and not _plausible(text[tokens[i][0] : tokens[j - 1][1]]):
+                yield none, []
+                continue
+            f = LONG if long else _features(text, tokens, i, j, phones)
+            v = sum((self.weights[x] for x in f if x in self.weights), zero)
+            allowed = _possible(f)
+            allowed[0] = j == i + 1
+            yield np.where(allowed, v, -np.inf), f
 
     def decode(self, text: str, tokens, phones: tuple[int, ...] = ()) -> list[tuple[int, int, int]]:
         """(label, i, j) of the best segmentation, without 'none'."""
         import numpy as np
 
-        scores, _ = self._scores(text, tokens, phones)
         n = len(tokens)
-        best, back = np.full((n + 1, len(LABELS)), -np.inf), {}
+        best = np.full((n + 1, len(LABELS)), -np.inf)
+        came, was = np.zeros(best.shape, dtype=np.int32), np.zeros(best.shape, dtype=np.int8)
         best[0, 0] = 0.0
         for i in range(n):
             come = best[i][:, None] + self.pairs
             top, arg = come.max(0), come.argmax(0)
-            for k, v in enumerate(scores[i]):
+            for k, (v, _) in enumerate(self._segments(text, tokens, i, phones)):
                 total = top + v
                 for y in np.flatnonzero(total > best[i + k + 1]):
                     best[i + k + 1, y] = total[y]
-                    back[i + k + 1, y] = (i, int(arg[y]))
+                    came[i + k + 1, y], was[i + k + 1, y] = i, arg[y]
         out, at, y = [], n, int(best[n].argmax())
         while at > 0:
-            i, was = back[at, y]
+            i = int(came[at, y])
             if y:
                 out.append((y, i, at))
-            at, y = i, was
+            at, y = i, int(was[at, y])
         return out[::-1]
 
     def step(self, text: str, tokens, gold: set[tuple[int, int, int]], rate: float) -> None:
         """One step up the gradient of the log likelihood of ``gold``: observed less expected features."""
         import numpy as np
 
-        scores, used = self._scores(text, tokens)
         n, k = len(tokens), len(LABELS)
+        rows = [list(self._segments(text, tokens, i)) for i in range(n)]
+        scores, used = ([[x[c] for x in row] for row in rows] for c in (0, 1))
         alpha, beta = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
         alpha[0, 0] = 0.0
         beta[n] = 0.0
@@ -259,7 +267,8 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
         return r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"+{num(2)} {num(3)} {num(6)}"))
 
     def mail() -> str:
-        return r.choice((" at ", " [at] ", "@", " @ ", "(at)")).join((word(), word())) + r.choice((" dot ", ".", "[dot]")) + r.choice(("com", "org", "net", "fr", "de"))
+        local = word() + r.choice(("", "", "." + word(), "_" + word()))
+        return r.choice((" at ", " [at] ", "@", " @ ", "(at)")).join((local, word())) + r.choice((" dot ", ".", "[dot]", " [dot] ")) + r.choice(("com", "org", "net", "fr", "de"))
 
     ip = lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))
     plain = (
@@ -269,7 +278,7 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
         lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"2024-{num(2)}-{num(2)} 10:{num(2)}:00", lambda: f"{word()} at {word()}", lambda: f"ref {num(12)}", lambda: f"{num(16)}",
         lambda: 'token = "' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice((12, 24, 40)))) + '"', lambda: f"key {word()}{num(9)}{word()}",
     )
-    cues = ("", "mail", "contact", "write to"), ("", "ip", "host", "server"), ("", "card", "visa", "pay with card"), ("call", "tel", "phone", "tel:", "mobile", "fax")
+    cues = ("", "mail", "contact", "write to"), ("", "ip", "host", "server"), ("", "card", "visa", "pay with card"), ("call", "tel", "phone", "tel:", "mobile", "fax", "ring", "my number is")
     out = []
     for _ in range(n):
         text, spans = " ".join(word() for _ in range(r.randint(0, 2))), []
@@ -303,25 +312,66 @@ def trained(sentences: int = 220, rounds: int = 5) -> SemiMarkov:
     return model
 
 
+def _triggers(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Stretches of ``text`` between two places that may hold a span, in order and apart: runs of digits, brackets and
+    separators from their first digit or bracket to their last digit, and what surrounds an at-sign in any spelling.
+
+    Every run is walked once: no part of a run is tried again from a later start.
+    """
+    end = len(text) if end is None else end
+    found = []
+    for m in _NUMBERS.finditer(text, start, end):
+        left = m.end() - len(m[0].lstrip(" )./-"))
+        right = m.start() + len(m[0].rstrip(" ()./-"))
+        if right - left >= 7:
+            found.append((left, right))
+    last = start
+    for m in _AT.finditer(text, start, end):
+        after = _AFTER_AT.match(text, m.end() + (m[0] == " at"), end)
+        if after is None or m.start() < last:
+            continue
+        s = m.start()
+        s -= s > last and text[s - 1] == " "
+        stop = s
+        while s > last and _LOCAL.match(text[s - 1]):
+            s -= 1
+        if s < stop:
+            found.append((s, after.end()))
+            last = after.end()
+    found.sort()
+    out: list[tuple[int, int]] = []
+    for s, e in found:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _free_triggers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Triggers beside the sorted spans ``taken``, which cut those that they touch."""
     k = 0
-    for m in _TRIGGER.finditer(text):
-        at, end = m.span()
+    for at, end in _triggers(text):
         while k < len(taken) and taken[k][1] <= at:
             k += 1
-        touching = [x for x in taken[k:] if x[0] < end and at < x[1]] if k < len(taken) and taken[k][0] < end else []
-        if not touching:
-            yield at, end
-            continue
-        for a, b in [*touching, (end, end)]:
+        i = k
+        while i < len(taken) and taken[i][0] < end:
+            a, b = taken[i]
             if at < a:
-                yield from (p.span() for p in _TRIGGER.finditer(text, at, a))
+                yield from _triggers(text, at, a)
             at = max(at, b)
+            i += 1
+        if i == k:
+            yield at, end
+        elif at < end:
+            yield from _triggers(text, at, end)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov) -> list[tuple[int, int, int]]:
     """The field's spans (kind, start, end) in the stretches around triggers, none over a base span."""
+    from bisect import bisect_left, bisect_right
+    from itertools import accumulate
+
     taken = sorted((s, e) for _, s, e in base)
     stretches: list[list[int]] = []
     for s, e in _free_triggers(text, taken):
@@ -329,15 +379,24 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov)
             stretches[-1][1] = e + _REACH
         else:
             stretches.append([max(0, s - _REACH), e + _REACH])
+    if not stretches:
+        return []
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    phone_ends = sorted(z for k, _, z in base if k == 3)
+    over = lambda a, b: [(x, z) for x, z in taken[bisect_right(ends, a) : bisect_left(starts, b)] if z > a]
     found = set()
     for s, e in stretches:
-        part = text[s:e]
-        near = [(x - s, z - s) for x, z in taken if x < e and s < z]
-        tokens = [m.span() for m in _TOKEN.finditer(part) if not any(x < m.end() and m.start() < z for x, z in near)]
-        phones = tuple(z - s for k, _, z in base if k == 3 and s < z < e)
+        part, near, k, tokens = text[s:e], over(s, e), 0, []
+        for m in _TOKEN.finditer(part):
+            a, b = s + m.start(), s + m.end()
+            while k < len(near) and near[k][1] <= a:
+                k += 1
+            if not any(x < b and a < z for x, z in near[k : k + 8]):
+                tokens.append(m.span())
+        phones = tuple(z - s for z in phone_ends[bisect_right(phone_ends, s) : bisect_left(phone_ends, e)])
         for y, i, j in model.decode(part, tokens, phones):
             a, b = s + tokens[i][0], s + tokens[j - 1][1]
-            if not any(x < b and a < z for x, z in taken):
+            if not over(a, b):
                 found.add((y - 1, a, b))
     return sorted(found)
 
@@ -360,7 +419,7 @@ def scan(docs: DataFrame, model: SemiMarkov, id_col: str = "doc_id", text_col: s
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                every = sorted([*base, *added_spans(text, base, model)]) if _TRIGGER.search(text) else base
+                every = sorted([*base, *added_spans(text, base, model)])
                 kinds = [k for k, _, _ in base]
                 for column, x in zip(rows, (*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)), strict=True):
                     column.append(x)
