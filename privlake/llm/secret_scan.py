@@ -2,8 +2,8 @@
 
 A candidate is a run of at least ``W`` characters of the token alphabet with both
 letters and digits.  A window of ``W`` characters slides over it; its Shannon
-entropy is kept by incremental counts (one character leaves, one enters) and
-compared with the threshold of the candidate's character class.  The span from
+entropy is kept by incremental counts (one character leaves, one enters; the
+counts of the alphabet are packed into a few longs) and compared with the threshold of the candidate's character class.  The span from
 the first hot window to the last is reported as kind ``entropy``, unless the
 allow-list knows the candidate.  Where base spans touch a candidate, its parts
 beside them are candidates of their own, so no window overlaps a base span.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from privlake.functions.spans import folded
 from privlake.llm.common import table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,51 +40,75 @@ ALLOW = (
 )
 
 
+SPANS = "array<struct<s:int,k:int,e:int>>"
+#: The token alphabet; a window's counts take BITS bits a character, PACKED characters a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+BITS, PACKED = 5, 12
+
+
 def _spans(text: Column, pattern: str, matches: str, kind: int, keep) -> Column:
     """Structs (s, k, e) of the matches in column ``matches``; ``keep`` filters by index.
 
     The start of match i is the length of the pieces and matches before it.
     """
-    gaps = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
-    both = F.arrays_zip(gaps.alias("g"), F.col(matches).alias("m"), keep.alias("ok"))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.col(matches).alias("m"), keep.alias("ok"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["g"])
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        s = at + F.length(x["g"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return e, F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")), F.coalesce(x["ok"], F.lit(False))
 
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return F.when(F.size(matches) > 0, F.aggregate(both, state, step)["out"]).otherwise(none)
+    return F.when(F.size(matches) > 0, folded(both, F.lit(0), step, SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def _hot(s: Column) -> Column:
-    """(first, last) start of the windows of candidate ``s`` at or above its class's threshold; -1 without one."""
+    """(first, last) start of the windows of candidate ``s`` at or above its class's threshold; -1 without one.
+
+    The state holds the number of each character in the window and sum(n log n) over them; a step moves both by
+    the character that leaves and the one that enters, so the cost is linear in the candidate's length.
+    """
     bar = (
         F.when(s.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"])
         .when(s.rlike(r"^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     )
-    g = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
-    number = lambda window, c: (F.length(window) - F.length(F.replace(window, c, F.lit("")))).cast("double")
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("win"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(a: Column, i: Column) -> Column:
-        full = F.length(a["win"]) == W
-        out = F.substring(a["win"], 1, 1)
-        n_out = number(a["win"], out)
-        rest = F.when(full, F.substring(a["win"], 2, W)).otherwise(a["win"])
-        c = s.substr(i + 1, F.lit(1))
-        n_in = number(rest, c)
-        total = a["sum"] + F.when(full, g(n_out - 1) - g(n_out)).otherwise(0.0) + g(n_in + 1) - g(n_in)
-        hot = (i >= W - 1) & (F.log2(F.lit(float(W))) - total / W >= bar)
-        at = i - (W - 1)
-        return F.struct(
-            total.alias("sum"), F.concat(rest, c).alias("win"),
-            F.when(hot & (a["first"] < 0), at).otherwise(a["first"]).alias("first"), F.when(hot, at).otherwise(a["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), state, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    places = F.map_from_arrays(F.array(*map(F.lit, ALPHABET)), F.array(*[F.lit(i) for i in range(len(ALPHABET))]))
+    codes = F.transform(F.array_remove(F.split(s, ""), ""), lambda c: F.element_at(places, c))
+    g = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
+    held = [f"c{j}" for j in range(-(-len(ALPHABET) // PACKED))]
+
+    def run(x: Column) -> Column:
+        """``x``: the candidate's codes and its bar, computed once."""
+        zero = F.lit(0).cast("long")
+        state = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), *[zero.alias(c) for c in held])
+
+        def moved(a: Column, code: Column, by: int) -> Column:
+            """The state with one more (or less) of a character; null leaves it as it is."""
+            word, shift = F.floor(code / PACKED).cast("int"), (code % PACKED) * BITS
+            mine = F.element_at(F.array(*[a[c] for c in held]), word + 1)
+            n = F.call_function("shiftright", mine, shift).bitwiseAND(F.lit((1 << BITS) - 1))
+            unit = F.call_function("shiftleft", F.lit(by).cast("long"), shift)
+            total = a["sum"] + g(n + by) - g(n)
+            fields = [F.when(word == j, a[c] + unit).otherwise(a[c]).alias(c) for j, c in enumerate(held)]
+            return F.when(code.isNull(), a).otherwise(F.struct(a["i"].alias("i"), total.alias("sum"), a["first"].alias("first"), a["last"].alias("last"), *fields))
+
+        def step(a: Column, code: Column) -> Column:
+            gone = F.when(a["i"] >= W, F.get(x["codes"], a["i"] - W))
+            left = F.transform(F.array(a), lambda b: moved(b, gone, -1))
+            both = F.transform(left, lambda b: moved(b, code, 1))
+
+            def judged(b: Column) -> Column:
+                at = b["i"] - (W - 1)
+                hot = (at >= 0) & (F.log2(F.lit(float(W))) - b["sum"] / W >= x["bar"])
+                return F.struct(
+                    (b["i"] + 1).alias("i"), b["sum"].alias("sum"), F.when(hot & (b["first"] < 0), at).otherwise(b["first"]).alias("first"),
+                    F.when(hot, at).otherwise(b["last"]).alias("last"), *[b[c].alias(c) for c in held],
+                )
+
+            return F.element_at(F.transform(both, judged), 1)
+
+        return F.aggregate(x["codes"], state, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    return F.element_at(F.transform(F.array(F.struct(codes.alias("codes"), bar.alias("bar"))), run), 1)
 
 
 def _candidate(s: Column, patterns) -> Column:
@@ -141,7 +166,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter("c", lambda x: x["w"]["first"] >= 0),
         lambda x: F.struct((x["s"] + x["w"]["first"]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["w"]["last"] + W).alias("e")),
     )
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    none = F.array().cast(SPANS)
     return d.select("row", "t", "base", F.sort_array(F.concat("base", F.coalesce(extra, none))).alias("spans"))
 
 
@@ -173,7 +198,12 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_chars", n).select(*docs.columns) if "n_chars" in docs.columns else d.select(*docs.columns)
 
 
-def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the numbers of base spans by kind, their digest, and all spans as text, of every row (doc_id, text)."""
+    d = scan(docs)
     number = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return d.select("row.doc_id", number(0), number(1), number(2), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
