@@ -9,10 +9,9 @@ Ways to cut, each at places where the vocabulary's own rule cuts too:
 - prose of Latin letters, commas and full stops: by splitting;
 - texts of plain Latin letters, digits and signs: the rule itself, in ``re``;
 - other texts: before each run of ASCII white space;
-- texts with other white space than ASCII: not at all.
-
-``encode_special_tokens`` is set: strings such as <|endoftext|> in a text are
-ordinary text.
+- texts with other white space than ASCII, or with the string of one of the
+  vocabulary's added tokens (<|endoftext|>): not at all, so the ids are the
+  library's own, that token's id included.
 """
 
 from __future__ import annotations
@@ -65,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._cache = _Cache(tokenizer, entries)
         one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         # what the vocabulary does with case and white space, asked of itself
@@ -75,6 +74,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self._added):
+            return self._cache.encode(text)
         if not _NOT_PROSE.search(text) and not any(x in text for x in _TOUCHING):
             pieces = self._prose(text.lower() if self._lower else text)
         elif not _NOT_PLAIN.search(text):
@@ -85,7 +86,6 @@ class Encoder:
             return self._cache.encode(text)
         return b"".join(map(self._cache.__getitem__, pieces))
 
-
     def _prose(self, text: str) -> list[str]:
         if self._drops:
             return text.replace(",", " , ").replace(".", " . ").split()
