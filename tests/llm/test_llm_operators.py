@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from privlake.llm import dac, encoding, jaccard_join, lm_scoring, packing, pii, registry, secret_scan, toxicity
+from privlake.llm import dac, encoding, jaccard_join, lm_scoring, packing, pii, registry, secret_scan, token_output, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,11 +56,10 @@ def test_first_fit_decreasing():
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(file, texts):
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
     e = encoding.Encoder(public_tokenizers.path(file), entries=300)
     r = random.Random(5)
     letters = [*"abzAZ\n\t .,!?_'\"-09<|>", *map(chr, (0xE9, 0xF1, 0xA0, 0xB2, 0xBD, 0x301, 0x130, 0x3A3, 0x200B, 0x3000, 0x65E5, 0x1C))]
-    fuzz = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> it's I'LL  x", *list(texts.values())[:40]]
+    fuzz = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> it's I'LL  x", "a<|endoftext|>b", "a <|startoftext|> b\n", "<|ENDOFTEXT|> <|endoftext|", *list(texts.values())[:40]]
     for x in fuzz:
         assert np.frombuffer(e.encode(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
@@ -97,6 +96,25 @@ def test_token_output_whole(spark, texts):
         at += len(ids)
 
 
+def test_single_tokens(spark, texts, tmp_path):
+    """Any id of any document from the files, and no row group but those of its range."""
+    import pyarrow.parquet as pq
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    t, path = Tokenizer.from_file(vocabulary), str(tmp_path / "ids")
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    token_output.write(df, path, vocabulary, segment_ids=4000)
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "ids").glob("*.parquet")]
+    assert all(m.num_row_groups == m.num_rows for m in groups) and sum(m.num_rows for m in groups) > 5
+    r = random.Random(6)
+    for doc in r.sample(sorted(texts), 4):
+        ids = [*t.encode(texts[doc], add_special_tokens=False).ids, 2]
+        i = r.randrange(len(ids))
+        assert token_output.token(spark, path, doc, i) == ids[i] and token_output.token(spark, path, doc, len(ids)) is None
+        assert [x.token for x in token_output.tokens(spark, path, doc).orderBy("place").collect()] == ids
+    assert token_output.token(spark, path, -5, 0) is None
+
+
 # --- PII and secrets ---
 
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
