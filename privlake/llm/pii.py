@@ -132,10 +132,15 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, phones:
         f.append("quad=" + str(all(_at_most_255(g) for g in groups)))
     if n:
         f.append("shape=" + "-".join(str(min(len(g), 5)) for g in groups[:5]))
-    at, dot = re.search(r"@|\bat\b", lower), re.search(r"\.(?=\S)|\bdot\b", lower)
-    f.append(f"at={bool(at)},{bool(dot and at and dot.start() > at.start())},{bool(at and 0 < at.start() < len(span) - 3)}")
+    at = re.search(r"@|\bat\b", lower)
+    dot = at and re.search(r"\.(?=\S)|\bdot\b", lower[at.end() :])
+    f.append(f"at={bool(at)},{bool(dot)},{bool(at and 0 < at.start() < len(span) - 3)}")
     if at and re.search(r"(\.|\bdot\b)[\])]?\s*[a-z]{2,4}$", lower):
         f.append("tld")
+    if at:
+        local, joined_left = lower[: at.start()].strip(" (["), s > 0 and text[s - 1] in "._-+%"
+        f.append(f"local={' ' in local},{joined_left},{local[:1].isalnum()}")
+        f.append(f"domain={len(re.findall('[^.]+', re.sub(r'[^a-z0-9.-]+dot[^a-z0-9.-]+', '.', lower[at.end() :].strip(' )]'))))},{lower.rstrip()[-1:].isalnum()}")
     touch = (s > 0 and not text[s - 1].isspace() and text[s - 1] not in "(:\"'") or (e < len(text) and (text[e].isalnum() or text[e] in "-/@" or text[e] == "." and text[e + 1 : e + 2].isalnum()))
     f.append(f"cut={touch}")
     if j < len(tokens) and n and text[e : tokens[j][1]].strip(" .-)").isdigit() and tokens[j][0] - e < 2:
@@ -267,7 +272,7 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
         return r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"+{num(2)} {num(3)} {num(6)}"))
 
     def mail() -> str:
-        local = word() + r.choice(("", "", "." + word(), "_" + word()))
+        local = word() + r.choice(("", "." + word(), "." + word(), "_" + word()))
         return r.choice((" at ", " [at] ", "@", " @ ", "(at)")).join((local, word())) + r.choice((" dot ", ".", "[dot]", " [dot] ")) + r.choice(("com", "org", "net", "fr", "de"))
 
     ip = lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))
@@ -296,6 +301,9 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
     return out
 
 
+RATE = 0.1
+
+
 @lru_cache(maxsize=1)
 def trained(sentences: int = 220, rounds: int = 5) -> SemiMarkov:
     model = SemiMarkov()
@@ -306,10 +314,16 @@ def trained(sentences: int = 220, rounds: int = 5) -> SemiMarkov:
         gold = {(y, starts[s], ends[e]) for y, s, e in spans}
         inside = {t for _, a, b in gold for t in range(a, b)}
         data.append((text, tokens, gold | {(0, t, t + 1) for t in range(len(tokens)) if t not in inside}))
+    total, pairs, seen = {}, 0.0, 0
     for k in range(rounds):
-        for row in data:
-            model.step(*row, 0.2 / (1 + 0.3 * k))
-    return model
+        for i, row in enumerate(data):
+            model.step(*row, RATE / (1 + 0.3 * k))
+            if k >= rounds // 2 and i % 20 == 19:  # the mean of the weights along the way
+                seen += 1
+                pairs = pairs + model.pairs
+                for x, v in model.weights.items():
+                    total[x] = total.get(x, 0.0) + v
+    return SemiMarkov({x: v / seen for x, v in total.items()}, pairs / seen) if seen else model
 
 
 def _triggers(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
