@@ -200,18 +200,107 @@ def test_toxicity_held_out(spark):
     assert hit / (held.toxic == 1).sum() > 0.85 and hit / (held.predicted == 1).sum() > 0.9
 
 
-def test_lm_base_and_model(spark, texts):
+def test_lm_base_and_model(spark):
+    """The base score by its formula; held out, the model beats it a token."""
     import math
 
-    out = registry.QUERIES["op3_lm_scoring"](spark, SF).toPandas()
-    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
+    sf = "/root/testdata/sf0.01"
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    out = registry.QUERIES["op3_lm_scoring"](spark, sf).toPandas()
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts.items()}
     c = collections.Counter(itertools.chain(*(t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10)))
     n, v = sum(c.values()), len(c)
     for r in out.itertuples():
         want = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[r.doc_id])
-        assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(c[w] > 0 for w in tokens[r.doc_id])
-    even = sum(8 * math.log10(0.5) * len(t.encode()) for i, t in texts.items())
-    assert out.score.sum() > 0.6 * even  # far below eight bits a byte
+        assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(c[w] > 0 for w in tokens[r.doc_id]) and r.n_tokens == len(tokens[r.doc_id])
+        assert r.n_bytes == len((texts[r.doc_id] or "").encode()) and abs(r.score_bits * math.log10(2) + r.score) < 1e-6 * abs(r.score)
+    held = out[out.held_out]
+    assert held.score.sum() > held.base_score.sum() and held.score_bits.sum() / held.n_bytes.sum() < 2.5
+    twice = {t for t, k in collections.Counter(texts.values()).items() if k > 1}
+    per = (out.score / out.n_tokens)[out.n_tokens > 50]
+    copied = out.doc_id.map(lambda i: texts[i] in twice)[out.n_tokens > 50]
+    assert per[copied].median() > per[~copied].quantile(0.9)
+
+
+def test_lm_doesn_t_depend_on_partitions(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm_scoring.score(df.repartition(n)).collect()} for n in (1, 9))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 * abs(one[i]) for i in one)
+
+
+def test_lm_reads_words_in_order(spark, texts):
+    """A copy of a training document scores far above the same words in another order."""
+    r, rows = random.Random(12), list(texts.items())
+    doc = max((i for i, t in rows if zlib.crc32(str(i).encode()) % 10 and len(t.split()) < 900), key=lambda i: len(texts[i]))
+    held = [i for i in range(10_000, 12_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    words = texts[doc].split()
+    r.shuffle(words)
+    df = spark.createDataFrame([*rows, (held[0], texts[doc]), (held[1], " ".join(words))], "doc_id long, text string")
+    out = {x.doc_id: x for x in lm_scoring.score(df).collect()}
+    assert abs(out[held[0]].base_score - out[held[1]].base_score) < 1e-6 * abs(out[held[0]].base_score)
+    assert out[held[0]].score > 0.6 * out[held[1]].score
+
+
+def brute_foretold(anchor, seqs, t, d):
+    """(row, depth, candidate's documents, all documents, hit) of both readings, by counting anew at every place."""
+    out = ([], [])
+    for i, s in enumerate(seqs):
+        for reading in (0, 1):
+            if not (t[i] > 0 if reading == 0 else d[i] > t[i]):
+                continue
+            for j in range(len(s)):
+                after = collections.Counter()
+                for k, other in enumerate(seqs):
+                    if anchor[k] == anchor[i] and other[:j] == s[:j] and len(other) > j:
+                        after[other[j]] += t[k] - (reading == 0 and k == i)
+                after = +after
+                if after:
+                    best = min(after, key=lambda w: (-after[w], w))
+                    out[reading].append((i, j, after[best], sum(after.values()), best == s[j]))
+    return out
+
+
+def test_foretold_equals_brute_force():
+    r = random.Random(17)
+    for _ in range(300):
+        found = {(r.randrange(3), tuple(r.randrange(3) for _ in range(r.randint(1, 6)))) for _ in range(r.randint(1, 14))}
+        anchor, seqs = [a for a, _ in sorted(found)], [s for _, s in sorted(found)]
+        t = [r.choice((0, 1, 1, 2, 5)) for _ in seqs]
+        d = [max(1, x + r.choice((0, 0, 1))) for x in t]
+        flat = np.array(list(itertools.chain(*seqs)), dtype=np.uint32)
+        got = lm_scoring.foretold(np.array(anchor), flat, np.array(list(map(len, seqs))), np.array(t), np.array(d), np.zeros(3, dtype=np.int64))
+        for (rows, depth, cell, hit), want in zip(got, brute_foretold(anchor, seqs, t, d), strict=True):
+            of = np.unravel_index(cell.astype(int), lm_scoring._SHAPE)
+            have = sorted((int(i), int(j), int(b), int(a), bool(h)) for i, j, a, b, h in zip(rows, depth, of[0], of[1], hit, strict=True))
+            assert have == sorted((i, j, int(np.searchsorted(lm_scoring._OTHERS, n - m)), int(np.searchsorted(lm_scoring._COUNTS, n)), h) for i, j, m, n, h in want)
+
+
+def test_segments_follow_the_text():
+    """Segments cover every word once, and equal texts are cut alike wherever they stand."""
+    r = np.random.default_rng(3)
+    passage, lengths = r.integers(0, 50, 700), []
+    docs = [np.concatenate([r.integers(0, 50, k), passage, r.integers(0, 50, 9)]) for k in (0, 5, 321)] + [np.zeros(500, dtype=np.int64), np.array([7])]
+    lengths = np.array(list(map(len, docs)))
+    begin, of, number, anchor, h, segment, off = lm_scoring.cut(np.concatenate(docs), lengths)
+    ends = np.append(begin[1:], lengths.sum())
+    assert (ends - begin <= lm_scoring.LONGEST).all() and (ends > begin).all() and (begin[segment] + off == np.arange(lengths.sum())).all()
+    assert all((number[of == k] == np.arange((of == k).sum())).all() for k in range(len(docs)))
+    shared = [set(h[(of == k) & (number > 0)].tolist()) for k in range(3)]
+    assert len(shared[0] & shared[1] & shared[2]) > 20
+    costs = lm_scoring.phrase_costs(np.zeros(2 * lm_scoring.CELLS))
+    assert np.allclose((10 ** costs.reshape(-1, 2)).sum(1), 1)
+
+
+def test_lm_words_sum_to_one(spark):
+    """Known words and what is left for new ones."""
+    words = spark.createDataFrame([(bytearray(w), c, c) for w, c in ((b"a", 5), (b"b", 2), (b"c", 1), (b"d", 1), (b"", 3))], "word binary, c_train long, c_all long")
+    from privlake.llm.common import shared_dir
+
+    scored, n, v = lm_scoring.scored_words(words, shared_dir(spark))
+    rows = {bytes(r.word): r for r in scored.collect()}
+    d = (2 + 1) / (2 + 2 * 1 + 2)
+    assert (n, v) == (12, 5) and abs(sum(10**r.lp_held for r in rows.values()) + d * v / n - 1) < 1e-9
+    assert abs(10 ** rows[b"a"].lp_train - (4 - d) / 12) < 1e-9 and rows[b"c"].lp_train < rows[b"c"].lp_held
 
 
 def test_lm_probabilities_sum_to_one():
