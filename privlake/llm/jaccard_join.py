@@ -9,18 +9,24 @@ sets with enough overlap share some of their first elements.
   lists, which are scanned: the number of lists two sets share must reach what
   the filter promises for their sizes.  The boundary is the size up to which the
   subsets cost less than the scan, from the corpus's own list lengths.
-- The order puts *heavy* shingles last (a bounded dictionary of those frequent
-  within an input partition), so shared passages rarely enter a prefix.
+- The order puts *heavy* shingles last, the most frequent at the very end (a
+  bounded dictionary of those frequent within an input partition), so shared
+  passages enter a prefix only where they make up most of a set.
 - A heavy shingle's list, or any list beyond ``LIST_PAIRS`` sets, isn't turned
   into pairs: its members are tied to one pivot.  Within a pivot's group, what
   links to the pivot is one component already; only the others are compared with
-  all members, in memory, and nothing but links leaves the worker.
-- Candidates' components are resolved together, each set shipped once.  One
-  beyond ``GROUP_ELEMENTS`` is resolved by edges and salted blocks instead.
-
-Every link is verified on the whole sets.  Shingles and sets are told apart by
-64-bit hashes.  The driver holds the heavy dictionary and a bitmap of candidate
-sets, both of fixed size.
+  the members, through a prefix filter in the group's own order of frequency, and
+  nothing but links leaves the worker.
+- Candidates' components are resolved in blocks of about ``BLOCK_ELEMENTS``:
+  each edge belongs to the block of its second set, so a component of any size
+  is dealt to as many tasks as it needs.  Members of a split group that don't link
+  to their pivot are compared with the group's other blocks in a second step.
+
+Texts are shingled once; the sets are kept in the shared folder.  Every link is
+verified on the whole sets.  Shingles and sets are told apart by 64-bit hashes
+(k sets have k * k / 2^65 expected pairs with one hash).  The driver holds the
+heavy dictionary and a bitmap of candidate sets, both bounded; a full bitmap only
+ships more sets than needed.
 
 Edge cases: null or empty text is an empty set, linked with nothing; fewer than
 five words are one shingle; repeated rows and copies share a vertex; a null
@@ -44,8 +50,10 @@ HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_ENTRIES = 2, 8, 200_000
 LIST_PAIRS = 48
 #: A pair is told once by each part that has a list of both: few large parts repeat it less.
 PART_POSTINGS = 1_500_000
-BITMAP_BITS = 1 << 23
-GROUP_ELEMENTS = 8_000_000
+#: Bits of the bitmap of candidate sets, by their number and at most.
+BITS_A_SET, MOST_BITS = 32, 1 << 28
+#: Elements of a block of a component, and of a block that members beside their pivot are compared with.
+BLOCK_ELEMENTS, GROUP_ELEMENTS = 100_000, 4_000_000
 DOCS_A_BLOB = 4000
 
 # --- sets ---
@@ -108,12 +116,39 @@ def set_id(s) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batches) -> Iterator[tuple[object, object]]:
-    """(id, set) of each row."""
-    drop_kept()
+def _shingled(docs: DataFrame) -> DataFrame:
+    """(doc_id, sid, n, shingles) of all rows; ``shingles`` once a partition for each set, null for its copies there."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        drop_kept()
+        seen: set[int] = set()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                sid, size, data = [], [], []
+                for text in part.column(1):
+                    s = shingles(text.as_py())
+                    i = set_id(s) if len(s) else None
+                    sid.append(i)
+                    size.append(len(s))
+                    data.append(s.tobytes() if i is not None and i not in seen else None)
+                    if i is not None:
+                        seen.add(i)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "sid", "n", "shingles"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_id {kind}, sid long, n long, shingles binary")
+
+
+def _each(batches) -> Iterator[tuple[int, object]]:
+    """(sid, set) of the rows of (sid, shingles)."""
+    import numpy as np
+
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            yield doc, shingles(text.as_py())
+        for sid, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield sid, np.frombuffer(data.as_py(), dtype=np.uint64)
 
 
 def prefix(n: int, k: int, similarity: tuple[int, int]) -> int:
@@ -125,7 +160,7 @@ def prefix(n: int, k: int, similarity: tuple[int, int]) -> int:
 # --- heavy shingles and the boundary ---
 
 
-def _frequent(docs: DataFrame, similarity) -> DataFrame:
+def _frequent(sets: DataFrame, similarity) -> DataFrame:
     """Shingles frequent within a partition, among the sets' prefixes by hash: (h, c, pivot); and, with h null, sums of
     prefix elements and of squares of list lengths, for the boundary."""
 
@@ -150,10 +185,7 @@ def _frequent(docs: DataFrame, similarity) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, ["h", "c", "pivot", "squares"])
 
-        for _, s in _texts(batches):
-            if not len(s):
-                continue
-            sid = set_id(s)
+        for sid, s in _each(batches):
             if sid in seen:
                 continue
             seen.add(sid)
@@ -166,7 +198,7 @@ def _frequent(docs: DataFrame, similarity) -> DataFrame:
         if found:
             yield flush()
 
-    d = docs.mapInArrow(run, "h long, c long, pivot long, squares double")
+    d = sets.mapInArrow(run, "h long, c long, pivot long, squares double")
     return d.groupBy("h").agg(F.sum("c").alias("c"), F.min("pivot").alias("pivot"), F.sum("squares").alias("squares"))
 
 
@@ -186,7 +218,7 @@ def boundary(postings: int, squares: float, similarity) -> int:
 # --- candidates ---
 
 
-def _postings(docs: DataFrame, heavy, small: int, parts: int, similarity) -> DataFrame:
+def _postings(sets: DataFrame, heavy, small: int, parts: int, similarity) -> DataFrame:
     """(part, blob): packed postings of a batch of sets for one part of the key space.
 
     A blob: u32 sets, postings, ties; set ids i64, sizes i32, heavy elements in the prefix i32; keys u64; sets'
@@ -197,7 +229,7 @@ def _postings(docs: DataFrame, heavy, small: int, parts: int, similarity) -> Dat
         import numpy as np
         import pyarrow as pa
 
-        known, pivots = heavy.value
+        known, pivots, ranks = heavy.value
         a, b = similarity
         seen: set[int] = set()
         sids, sizes, tied, keys, index, kinds, tie_p, tie_i = ([] for _ in range(8))
@@ -226,17 +258,16 @@ def _postings(docs: DataFrame, heavy, small: int, parts: int, similarity) -> Dat
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], ["part", "blob"])
 
-        for _, s in _texts(batches):
+        for sid, s in _each(batches):
             n = len(s)
-            if not n:
-                continue
-            sid = set_id(s)
             if sid in seen:
                 continue  # a copy within this partition
             seen.add(sid)
             at = np.searchsorted(known, s)
             hit = known[np.minimum(at, max(0, len(known) - 1))] == s if len(known) else np.zeros(n, dtype=bool)
-            ranked, p1 = np.concatenate([s[~hit], s[hit]]), prefix(n, 1, similarity)
+            last = s[hit]
+            last = last[np.argsort(ranks[at[hit]], kind="stable")] if len(last) > 1 else last
+            ranked, p1 = np.concatenate([s[~hit], last]), prefix(n, 1, similarity)
             light = n - int(hit.sum())
             me = len(sids)
             sids.append(sid)
@@ -268,7 +299,7 @@ def _postings(docs: DataFrame, heavy, small: int, parts: int, similarity) -> Dat
         if sids:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, blob binary")
+    return sets.mapInArrow(run, "part int, blob binary")
 
 
 def _edges(postings: DataFrame, similarity) -> DataFrame:
@@ -384,12 +415,16 @@ class _Forest:
 
 
 class _Lists:
-    """Inverted lists of some sets in memory, to compare a set with all of them at once."""
+    """Inverted lists of some sets in memory, to find what a set links to among them.
+
+    A linked set shares one of the rarest elements (by these lists), as many as the prefix filter asks for; only those
+    lists are scanned, and what they hold is verified.  So elements that most of the sets share cost nothing.
+    """
 
     def __init__(self, sets: list):
         import numpy as np
 
-        self.sizes = np.array([len(x) for x in sets])
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
         data, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(data, kind="stable")
         self.data, self.owner = data[order], owner[order]
@@ -397,51 +432,47 @@ class _Lists:
     def linked_to(self, s, similarity) -> list[int]:
         import numpy as np
 
-        a, b = similarity
-        sizes = self.sizes
-        fits = (b * len(s) >= a * sizes) & (b * sizes >= a * len(s))
-        if not fits.any():
-            return []
         lo, hi = np.searchsorted(self.data, s), np.searchsorted(self.data, s, "right")
-        n = hi - lo
+        rare = np.argsort(hi - lo, kind="stable")[: prefix(len(s), 1, similarity)]
+        lo, n = lo[rare], (hi - lo)[rare]
         at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        both = np.bincount(self.owner[at], minlength=len(sizes))
-        return np.flatnonzero(fits & (b * both >= a * (sizes + len(s) - both))).tolist()
+        return [j for j in np.unique(self.owner[at]).tolist() if linked(s, self.sets[j], similarity)]
 
 
-def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[list[int]], similarity) -> list[int]:
-    """Roots (indices) of the link components: ``pairs`` are tested one by one; in each of ``groups`` all members are
-    compared, except within its largest component."""
-    import numpy as np
+def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[tuple[int, list[int]]], similarity) -> tuple[list[int], list[tuple[int, int]]]:
+    """Roots (indices) of the link components, and the members (group, member) that stay apart from their pivot.
 
+    ``pairs`` are tested one by one; of each of ``groups`` (pivot, members) all members are compared with the pivot,
+    and those that don't link to it with all other members.
+    """
     f = _Forest(len(sets))
     for i, j in pairs:
         if f.root(i) != f.root(j) and linked(sets[i], sets[j], similarity):
             f.join(i, j)
-    for members in groups:
-        members = sorted(set(members))
-        if len(members) < 2:
-            continue
-        lists = _Lists([sets[i] for i in members])
-        todo = set(range(len(members)))
-        while todo:
-            roots = [f.root(i) for i in members]
-            values, counts = np.unique(roots, return_counts=True)
-            largest = values[counts.argmax()] if counts.max() > 1 else -1
-            outside = [k for k in sorted(todo) if roots[k] != largest]
-            if not outside:
-                break
-            for k in outside[:64] if largest < 0 or len(outside) > 64 else outside:
-                todo.discard(k)
-                for j in lists.linked_to(sets[members[k]], similarity):
-                    f.join(members[k], members[j])
-    return [f.root(i) for i in range(len(sets))]
-
-
-def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity) -> DataFrame:
-    """Links (u, v) of the components; ``sets`` (comp, sid, shingles), ``pairs`` and ``ties`` (comp, a, b)."""
-    edges = pairs.select("comp", "a", "b", F.lit(False).alias("tie")).unionByName(ties.select("comp", "a", "b", F.lit(True).alias("tie")))
-    edges = edges.toDF("of", "a", "b", "tie")
+    apart: list[tuple[int, int]] = []
+    for g, (pivot, members) in enumerate(groups):
+        for j in members:
+            if f.root(j) != f.root(pivot) and linked(sets[pivot], sets[j], similarity):
+                f.join(pivot, j)
+        rest = [j for j in members if f.root(j) != f.root(pivot)]
+        if rest:
+            every = [pivot, *members]
+            lists = _Lists([sets[i] for i in every])
+            for j in rest:
+                for k in lists.linked_to(sets[j], similarity):
+                    f.join(j, every[k])
+            apart += [(g, j) for j in rest if f.root(j) != f.root(pivot)]
+    return [f.root(i) for i in range(len(sets))], apart
+
+
+def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity, path: str, block_elements: int, group_elements: int) -> DataFrame:
+    """Links (u, v) from ``sets`` (sid, n, shingles, comp), ``pairs`` and ``ties`` (a, b; a the pivot)."""
+    weight = sets.groupBy("comp").agg(F.sum("n").alias("n")).select("comp", F.ceil(F.col("n") / block_elements).cast("int").alias("salts"))
+    where = stored(sets.select("sid", "comp").join(weight, "comp").select("sid", "comp", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt")), f"{path}/blocks")
+    edges = pairs.select("a", "b", F.lit(False).alias("tie")).unionByName(ties.select("a", "b", F.lit(True).alias("tie")))
+    edges = stored(edges.join(where.toDF("b", "of", "part"), "b").select("of", "part", "a", "b", "tie"), f"{path}/edges_of_blocks")
+    need = edges.select("of", "part", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    block = need.join(sets.select("sid", "shingles"), "sid").select(F.col("of").alias("comp"), F.col("part").alias("salt"), "sid", "shingles")
 
     def run(left, right):
         import numpy as np
@@ -454,44 +485,34 @@ def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity) ->
         groups: dict[int, list[int]] = {}
         for a, b, tie in zip(*(right.column(c).to_pylist() for c in ("a", "b", "tie")), strict=True):
             if tie:
-                groups.setdefault(a, [place[a]] if a in place else []).append(place[b])
+                groups.setdefault(place[a], []).append(place[b])
             else:
                 two.append((place[a], place[b]))
-        roots = resolve(data, two, list(groups.values()), similarity)
-        links = [(sid[i], sid[r]) for i, r in enumerate(roots) if i != r]
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
-
-    return sets.groupBy("comp").cogroup(edges.groupBy("of")).applyInArrow(run, "u long, v long")
-
-
-def _resolved_large(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity, path: str) -> DataFrame:
-    """The same for components too large for one task: edges are verified one by one; then, in each pivot's group, the
-    members that don't link to the pivot are compared with all members, in salted blocks."""
-    one = stored(sets.select("sid", "shingles"), f"{path}/large_sets")
-    schema = "a long, b long, tie boolean, ok boolean"
-
-    def verify(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for x in batches:
-            ok = [linked(*(np.frombuffer(v.as_py(), dtype=np.uint64) for v in s), similarity) for s in zip(x.column(3), x.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(ok, pa.bool_())], ["a", "b", "tie", "ok"])
-
-    e = pairs.select("a", "b", F.lit(False).alias("tie")).unionByName(ties.select("a", "b", F.lit(True).alias("tie")))
-    e = e.join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b").select("a", "b", "tie", "sa", "sb")
-    e = stored(e.mapInArrow(verify, schema), f"{path}/verified")
-    members = stored(ties.select("a", "b").unionByName(ties.select("a", F.col("a").alias("b"))).distinct(), f"{path}/members")
-    rest = members.join(e.where("tie AND ok").select("a", "b"), ["a", "b"], "left_anti").where("a <> b")
-    weight = members.join(one, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum(F.length("shingles") / 8).alias("n"))
-    weight = stored(weight.select("a", F.ceil(F.col("n") / GROUP_ELEMENTS).cast("int").alias("salts")), f"{path}/salts")
-    block = members.join(weight, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    block = block.join(one, F.col("b") == F.col("sid")).select("a", "salt", "sid", "shingles")
-    ask = rest.join(weight, "a").withColumn("chunk", F.pmod(F.xxhash64("b", F.lit(1)), F.col("salts")).cast("int"))
-    ask = ask.select("a", "b", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    ask = ask.join(one, F.col("b") == F.col("sid")).select("a", "salt", "chunk", "sid", "shingles")
-    chunks = ask.select("a", "salt", "chunk").distinct().toDF("p", "part", "chunk")
-    block = block.join(chunks, (F.col("a") == F.col("p")) & (F.col("salt") == F.col("part"))).select("a", "salt", "chunk", "sid", "shingles")
+        listed = list(groups.items())
+        roots, apart = resolve(data, two, listed, similarity)
+        rows = [(sid[i], sid[r], False) for i, r in enumerate(roots) if i != r] + [(sid[listed[g][0]], sid[j], True) for g, j in apart]
+        return pa.table({"u": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64()), "apart": pa.array([r[2] for r in rows], pa.bool_())})
+
+    found = stored(block.groupBy("comp", "salt").cogroup(edges.groupBy("of", "part")).applyInArrow(run, "u long, v long, apart boolean"), f"{path}/resolved")
+    links = found.where("NOT apart").select("u", "v")
+    # in groups that are split over blocks
+    rest = found.where("apart").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    spread = ties.join(where.toDF("b", "comp", "salt"), "b").groupBy("a").agg(F.min("salt").alias("x"), F.max("salt").alias("y")).where("x < y").select("a")
+    rest = stored(rest.join(spread, "a", "left_semi"), f"{path}/rest")
+    return links if rest.isEmpty() else links.unionByName(_across(sets, ties, rest, similarity, group_elements))
+
+
+def _across(sets: DataFrame, ties: DataFrame, rest: DataFrame, similarity, group_elements: int) -> DataFrame:
+    """Links (u, v) between ``rest`` (a, b: members that don't link to their pivot a) and all members of their groups, in
+    blocks of ``group_elements``; ``rest`` is dealt to each block of its group."""
+    one = sets.select("sid", "n", "shingles")
+    asked = rest.select("a").distinct()
+    members = ties.join(asked, "a", "left_semi").select("a", "b").unionByName(asked.select("a", F.col("a").alias("b"))).distinct()
+    members = members.join(one, F.col("b") == F.col("sid")).select("a", "sid", "n", "shingles")
+    weight = members.groupBy("a").agg(F.ceil(F.sum("n") / group_elements).cast("int").alias("salts"))
+    block = members.join(weight, "a").select("a", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("salts")).cast("int").alias("salt"), "sid", "shingles")
+    ask = rest.join(weight, "a").join(one, F.col("b") == F.col("sid"))
+    ask = ask.select(F.col("a").alias("p"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), "sid", "shingles")
 
     def compare(left, right):
         import numpy as np
@@ -506,79 +527,63 @@ def _resolved_large(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similari
             u += [i] * (len(v) - len(u))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    ask = ask.toDF("p", "part", "of", "sid", "shingles")
-    found = block.groupBy("a", "salt", "chunk").cogroup(ask.groupBy("p", "part", "of")).applyInArrow(compare, "u long, v long")
-    return e.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(found)
+    return block.groupBy("a", "salt").cogroup(ask.groupBy("p", "part")).applyInArrow(compare, "u long, v long")
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of BITMAP_BITS bits with the ids' hashes set; of fixed size whatever the number of ids."""
+def _bitmap(ids: DataFrame) -> tuple[int, bytes]:
+    """A bitmap (bits, bytes) with the ids' remainders set; its size follows their number up to MOST_BITS."""
     import numpy as np
 
-    bit = F.pmod(F.col("sid"), F.lit(BITMAP_BITS))
-    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(sid, {BITMAP_BITS}) & 63 as int))").alias("x"))
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_A_SET * ids.count()).bit_length()))
+    word = F.shiftright(F.pmod(F.col("sid"), F.lit(bits)), 6)
+    words = ids.select(word.alias("w"), F.expr(f"shiftleft(1L, cast(pmod(sid, {bits}) & 63 as int))").alias("x"))
+    out = np.zeros(bits // 64, dtype=np.int64)
     for w, x in words.groupBy("w").agg(F.expr("bit_or(x)")).toLocalIterator():
         out[w] = x
-    return out.tobytes()
+    return bits, out.tobytes()
 
 
-def _sets(docs: DataFrame, wanted) -> DataFrame:
-    """(doc_id, sid, n, shingles) of all rows; ``shingles`` once a partition, of sets in the bitmap, else null."""
+def _wanted(sets: DataFrame, wanted) -> DataFrame:
+    """The rows of ``sets`` (sid, shingles) that are in the bitmap."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        bits, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
+        bits, data = wanted.value
+        bitmap = np.frombuffer(data, dtype=np.uint8)
         for batch in batches:
-            sid, size, data = [], [], []
-            for _, s in _texts([batch]):
-                i = set_id(s) if len(s) else None
-                sid.append(i)
-                size.append(len(s))
-                at = i % BITMAP_BITS if i is not None else 0
-                want = i is not None and i not in seen and bits[at >> 3] >> (at & 7) & 1
-                data.append(s.tobytes() if want else None)
-                if want:
-                    seen.add(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "sid", "n", "shingles"])
+            at = batch.column(0).to_numpy() % bits
+            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1).astype(bool)))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, sid long, n long, shingles binary")
+    return sets.mapInArrow(run, "sid long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, block_elements: int = BLOCK_ELEMENTS, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     import numpy as np
 
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    counted = stored(_frequent(docs, similarity), f"{path}/frequent")
+    rows = stored(_shingled(docs.select("doc_id", "text")), f"{path}/rows")
+    sets = rows.where("shingles IS NOT NULL").select("sid", "shingles")
+    counted = stored(_frequent(sets, similarity), f"{path}/frequent")
     total = counted.where("h IS NULL").select("c", "squares").first()
     postings, squares = (total.c, total.squares) if total else (0, 0.0)
     top = counted.where(F.col("h").isNotNull() & (F.col("c") >= HEAVY_TOTAL)).orderBy(F.desc("c"), "h").limit(HEAVY_ENTRIES).select("h", "pivot").toPandas()
     known = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(known)
-    heavy = spark.sparkContext.broadcast((known[order], top["pivot"].to_numpy(dtype=np.int64)[order]))
+    heavy = spark.sparkContext.broadcast((known[order], top["pivot"].to_numpy(dtype=np.int64)[order], np.arange(len(known), 0, -1, dtype=np.int32)[order]))
     small = boundary(postings, squares, similarity)
     parts = max(1, -(-postings // PART_POSTINGS))
-    edges = stored(_edges(_postings(docs, heavy, small, parts, similarity), similarity), f"{path}/edges")
+    edges = stored(_edges(_postings(sets, heavy, small, parts, similarity), similarity), f"{path}/edges")
     pairs, ties = (stored(x, f"{path}/{n}") for x, n in zip(_candidates(edges, similarity), ("pairs", "ties"), strict=True))
     every = pairs.unionByName(ties)
     wanted = spark.sparkContext.broadcast(_bitmap(every.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
-    rows = stored(_sets(docs, wanted), f"{path}/sets")
-
     comp = components(every.toDF("u", "v"), f"{path}/candidates").toDF("sid", "comp")
-    sets = rows.where("shingles IS NOT NULL").groupBy("sid").agg(F.first("shingles").alias("shingles")).join(comp, "sid")
-    weight = rows.where("shingles IS NOT NULL").select("sid", "n").distinct().join(comp, "sid").groupBy("comp").agg(F.sum("n").alias("n"))
-    large = stored(weight.where(F.col("n") > group_elements).select("comp"), f"{path}/large")
-    labelled = [x.join(comp.select(F.col("sid").alias("a"), "comp"), "a") for x in (pairs, ties)]
-    if large.isEmpty():
-        links = _resolved(sets, *labelled, similarity)
-    else:
-        inside, outside = ([x.join(large, "comp", how) for x in (sets, *labelled)] for how in ("left_semi", "left_anti"))
-        links = _resolved(*outside, similarity).unionByName(_resolved_large(*inside, similarity, path))
+    # a set is a row for each partition that has it; one is enough
+    chosen = _wanted(sets, wanted).groupBy("sid").agg(F.first("shingles").alias("shingles")).join(comp, "sid")
+    chosen = stored(chosen.select("sid", F.floor(F.length("shingles") / 8).alias("n"), "shingles", "comp"), f"{path}/chosen")
+    links = _resolved(chosen, pairs, ties, similarity, path, block_elements, group_elements)
     root = components(links, f"{path}/links").toDF("sid", "root")
 
     own = rows.select("doc_id", "sid", "n")

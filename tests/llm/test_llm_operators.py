@@ -367,17 +367,29 @@ def near_copies(seed, groups=12, most=9):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"LIST_PAIRS": 2}), (3, {"HEAVY_TOTAL": 2, "LIST_PAIRS": 1}), (4, {"group": 1}), (5, {"group": 1, "LIST_PAIRS": 1, "GROUP_ELEMENTS": 200})])
+@pytest.mark.parametrize(("seed", "limits"), [
+    (1, {}), (2, {"LIST_PAIRS": 2}), (3, {"HEAVY_TOTAL": 2, "LIST_PAIRS": 1}), (4, {"block": 1}), (5, {"block": 100, "group": 200, "LIST_PAIRS": 1}), (6, {"block": 1, "group": 1, "HEAVY_TOTAL": 2, "LIST_PAIRS": 1}),
+])
 def test_components_equal_brute_force(spark, monkeypatch, seed, limits):
-    for k in ("LIST_PAIRS", "HEAVY_TOTAL", "GROUP_ELEMENTS"):
+    for k in ("LIST_PAIRS", "HEAVY_TOTAL"):
         if k in limits:
             monkeypatch.setattr(jaccard_join, k, limits[k])
     docs = near_copies(seed)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = jaccard_join.near_duplicates(df, group_elements=limits.get("group", 10**6)).collect()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = jaccard_join.near_duplicates(df, block_elements=limits.get("block", 10**5), group_elements=limits.get("group", 10**6)).collect()
     assert sorted(map(tuple, got)) == brute(docs)
 
 
+def test_lists_equal_all_pairs():
+    r = random.Random(33)
+    for _ in range(200):
+        common = r.sample(range(1000, 1040), 20)
+        sets = [np.unique(np.array([*r.sample(range(60), r.randint(1, 12)), *r.sample(common, r.randint(0, 20))], dtype=np.uint64)) for _ in range(12)]
+        lists = jaccard_join._Lists(sets)
+        for s in sets:
+            assert lists.linked_to(s, (75, 100)) == [j for j, x in enumerate(sets) if jaccard_join.linked(s, x, (75, 100))]
+
+
 def test_op6_whole(spark, texts):
     assert sorted(map(tuple, registry.QUERIES["op6_jaccard_join"](spark, SF).collect())) == brute(list(texts.items()))
 
