@@ -97,3 +97,23 @@ def from_source(offset: Column, offsets: Column) -> Column:
 def compose(inner: Column, outer: Column) -> Column:
     """Offsets of a second rewriting in terms of the first one's source."""
     return F.transform(inner, lambda i: F.element_at(outer, i + 1))
+
+
+def page_bounds(lengths: Column, offsets: Column) -> Column:
+    """Pages (numero, debut, fin) in normalised positions, from the lengths of the source's pages, one after the other."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        one = F.struct(acc["at"].alias("a"), (acc["at"] + n).cast("int").alias("b"))
+        return F.struct((acc["at"] + n).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def bounds(page: Column, i: Column) -> Column:
+        a, b = (F.least(from_source(page[c], offsets), F.size(offsets) - 1) for c in ("a", "b"))
+        return F.struct((i + 1).alias("numero"), a.alias("debut"), F.greatest(a, b).alias("fin"))
+
+    return F.transform(F.aggregate(lengths, state, step)["out"], bounds)
+
+
+def with_boxes(entities: Column, boxes: Column) -> Column:
+    """Structs (entite, boites): each entity with the word boxes that its span overlaps."""
+    return F.transform(entities, lambda e: F.struct(e.alias("entite"), F.filter(boxes, lambda b: overlap(b["debut"], b["fin"], e["debut"], e["fin"])).alias("boites")))

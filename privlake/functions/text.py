@@ -36,6 +36,22 @@ def _compared(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def _unaccented(values: pd.Series) -> pd.Series:
+    import re
+    import unicodedata
+
+    def one(v: str | None) -> str | None:
+        return None if v is None else re.sub(r"\s+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", v)).lower().strip())
+
+    return values.map(one)
+
+
+def stored_canonical(value: Column) -> Column:
+    """The form that the pseudonym table's hashes use: as ``canonical``, but only marks U+0300 to U+036F are dropped."""
+    return _unaccented(value)
+
+
 def canonical(value: Column, ascii_only: bool = False) -> Column:
     """Form of a value before hashing; ``ascii_only`` promises ASCII input and stays in the JVM."""
     return F.trim(F.regexp_replace(F.lower(value), r"[\x09-\x0D\x1C-\x20]+", " ")) if ascii_only else _unmarked(value)
@@ -100,9 +116,62 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+#: Encodings tried on bytes that aren't UTF-8, in order of preference.
+ENCODINGS = ("cp1252", "iso8859_15", "cp850")
+#: What a French export holds beside ASCII; each other character beyond ASCII speaks against an encoding.
+_LIKELY = frozenset("àâäçéèêëîïôöùûüÿœæÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸŒÆ’‘“”«»–—…°€\xa0")
+
+
+def guessed_text(data: bytes) -> str:
+    """Text of bytes that aren't UTF-8: UTF-16 by its mark or its zero bytes, else the encoding whose characters are the
+    likeliest (of equals the first); Latin-1 where none can read them."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", errors="replace")
+    if len(data) > 3 and len(data) % 2 == 0 and max(data[::2].count(0), data[1::2].count(0)) > 0.35 * len(data) / 2:
+        return data.decode("utf-16-le" if data[1::2].count(0) >= data[::2].count(0) else "utf-16-be", errors="replace")
+    best, text = None, data.decode("latin-1")
+    for encoding in ENCODINGS:
+        try:
+            one = data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        strange = sum(c not in _LIKELY and not c.isascii() for c in one)
+        if best is None or strange < best:
+            best, text = strange, one
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def _guessed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else guessed_text(bytes(v)))
+
+
 def decode_bytes(content: Column) -> Column:
-    """Bytes as text: UTF-8 where valid, else Latin-1."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+    """Bytes as text: UTF-8 where valid, in the JVM; only other bytes go to the guess in Python."""
+    plain = F.try_validate_utf8(content.cast("string"))
+    return F.coalesce(plain, _guessed(F.when(plain.isNull(), content)))
+
+
+def cipher_key(text: str) -> bytes:
+    """A key of 16, 24 or 32 bytes from hexadecimal, base64 or plain text, in this order."""
+    import base64
+    import binascii
+
+    text = text.strip()
+    for read in (binascii.unhexlify, base64.b64decode, lambda x: x.encode()):
+        try:
+            key = read(text)
+        except (binascii.Error, ValueError):
+            continue
+        if len(key) in (16, 24, 32):
+            return key
+    raise ValueError("a key has 16, 24 or 32 bytes in hexadecimal, base64 or plain text")
+
+
+def base64_bytes(text: Column) -> Column:
+    """Bytes of strict base64; null for any other text."""
+    strict = text.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return F.when(strict, F.unbase64(text))
 
 
 def encrypt(value: Column, key: Column) -> Column:

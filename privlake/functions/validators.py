@@ -25,6 +25,12 @@ MONTHS = {
 # --- fixed values: national identity numbers, (length, pattern of the start) by country ---
 IDENTITY = {"SN": (13, "[12]"), "BJ": (10, ""), "TG": (13, ""), "CI": (11, "C")}
 FIRST_YEAR = 1900
+# --- fixed values: the forms of a date: day, month and year in digits; with a month's name; year first ---
+DATE_FORMS = (
+    r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$",
+    r"^(\d{1,2})(?:er)?\s+([a-zéûôà]+)\s+(\d{4})$",
+    r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$",
+)
 
 
 def iban_valid(value: Column) -> Column:
@@ -62,9 +68,7 @@ def phone_valid(value: Column) -> Column:
 def parsed_date(value: Column) -> Column:
     """d/m/y in digits (two-digit years over 30 are 19xx), a day with a French month name, or y-m-d; else null."""
     t = F.lower(F.trim(value))
-    number = r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$"
-    words = r"^(\d{1,2})(?:er)?\s+([a-zéûôà]+)\s+(\d{4})$"
-    iso = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
+    number, words, iso = DATE_FORMS
     part = lambda p, k: F.regexp_extract(t, p, k)
     date = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     year = part(number, 3).try_cast("int")

@@ -9,9 +9,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from privlake.schema import SOURCE, SOURCE_TYPES
 
 RETRIES, RETRY_BATCH = 3, 200
+#: Seconds before an analysis is tried again, doubled at each try.
+BACKOFF = 5
+DEFAULT_CRON = "0 2 * * *"
+QUEUE = "document_id string, essais int, pret_le timestamp"
 
 
 def all_of(tests: dict[str, object]) -> Column:
@@ -55,6 +61,38 @@ def upsert_documents(snapshot: DataFrame, listed: DataFrame) -> tuple[DataFrame,
     return out.drop("_changed").select(*snapshot.columns), out.where("_changed").drop("_changed").select(*snapshot.columns)
 
 
+def create_source(spark: SparkSession, table: DataFrame, kind: str, label: str, configuration: dict, cron: str = DEFAULT_CRON) -> DataFrame:
+    """``table`` with a new active source; its type must be known, its label not empty, its configuration a mapping."""
+    import json
+
+    if kind not in SOURCE_TYPES or not isinstance(label, str) or not label.strip() or not isinstance(configuration, dict):
+        raise ValueError("a source has a known type, a label and a configuration")
+    row = (str(uuid.uuid4()), kind, label, json.dumps(configuration, sort_keys=True), cron, None, True)
+    return table.unionByName(spark.createDataFrame([row], SOURCE))
+
+
+def enqueue(queue: DataFrame, documents: DataFrame, now) -> DataFrame:
+    """``queue`` (document_id, essais, pret_le) with the ``documents`` (id) that aren't in it: one task a document."""
+    fresh = documents.select(F.col("id").alias("document_id")).distinct().join(queue.select("document_id"), "document_id", "left_anti")
+    return queue.unionByName(fresh.select("document_id", F.lit(0).alias("essais"), F.lit(now).cast("timestamp").alias("pret_le")))
+
+
+def start_analyses(snapshot: DataFrame, queue: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, tasks): the tasks that are due, and their documents marked 'en_analyse'."""
+    due = queue.where(F.col("pret_le") <= F.lit(now).cast("timestamp"))
+    return update_status(snapshot, due.select(F.col("document_id").alias("id"), F.lit("en_analyse").alias("statut"), F.lit(None).cast("string").alias("motif"))), due
+
+
+def finish_analyses(queue: DataFrame, outcomes: DataFrame, now) -> DataFrame:
+    """``queue`` after ``outcomes`` (document_id, reussi): what succeeded, or failed for the third time, leaves it; other
+    failures wait BACKOFF seconds, doubled at each try."""
+    d = queue.join(outcomes.select("document_id", "reussi"), "document_id", "left")
+    tries = F.col("essais") + F.col("reussi").isNotNull().cast("int")
+    wait = F.make_interval(secs=F.lit(BACKOFF) * F.pow(F.lit(2), tries - 1))
+    due = F.when(F.col("reussi").isNull(), F.col("pret_le")).otherwise(F.lit(now).cast("timestamp") + wait)
+    return d.where("reussi IS NULL OR NOT reussi").select("document_id", tries.alias("essais"), due.alias("pret_le")).where(F.col("essais") < RETRIES)
+
+
 def update_status(snapshot: DataFrame, updates: DataFrame) -> DataFrame:
     """``updates`` (id, statut, motif): attempts count on failures, the reason is overwritten (500 characters), the level stays."""
     d = snapshot.join(updates.select("id", F.col("statut").alias("_s"), F.col("motif").alias("_m"), F.lit(True).alias("_u")), "id", "left")
@@ -117,7 +155,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once below the shared folder (``spark.checkpoint.dir``, else the warehouse) and read again, where
     several steps need it: an analysis isn't repeated, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,15 +30,25 @@ def _transformer() -> Finder:
     return lambda text: [(e["start"], e["end"], e["entity_group"], float(e["score"])) for e in tagger(text)]
 
 
-BACKENDS: dict[str, Callable[[], Finder]] = {"aucun": lambda: lambda text: [], "spacy": _spacy, "camembert": _transformer}
+def _presidio() -> Finder:
+    from presidio_analyzer import AnalyzerEngine
+    from presidio_analyzer.nlp_engine import NlpEngineProvider
+
+    models = {"nlp_engine_name": "spacy", "models": [{"lang_code": "fr", "model_name": "fr_core_news_lg"}]}
+    analyser = AnalyzerEngine(nlp_engine=NlpEngineProvider(nlp_configuration=models).create_engine(), supported_languages=["fr"])
+    return lambda text: [(r.start, r.end, r.entity_type, float(r.score)) for r in analyser.analyze(text=text, language="fr")]
+
+
+BACKENDS: dict[str, Callable[[], Finder]] = {"aucun": lambda: lambda text: [], "spacy": _spacy, "camembert": _transformer, "presidio": _presidio}
 
 
 def finder(name: str) -> Finder:
-    """This worker's backend; one whose package or model is missing finds nothing."""
+    """This worker's backend; one whose package or model is missing finds nothing, and says so in the worker's log."""
     if name not in _LOADED:
         try:
             _LOADED[name] = BACKENDS[name]()
-        except (ImportError, OSError):
+        except (ImportError, OSError) as e:
+            logging.getLogger(__name__).warning("no named entities: backend %s can't be loaded (%s)", name, e)
             _LOADED[name] = BACKENDS["aucun"]()
     return _LOADED[name]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from privlake.functions.spans import with_boxes
 from privlake.functions.text import canonical, encrypt, mask_value, token, value_hash
 
 
@@ -111,3 +112,72 @@ def protect_docx(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"cle": pdf["cle"], "content": content})
 
     return files.select("cle", "content", "remplacements").mapInPandas(run, "cle string, content binary")
+
+
+RECTANGLE = "struct<page:int,x:int,y:int,largeur:int,hauteur:int>"
+
+
+def redaction_boxes(entities: Column, boxes: Column) -> Column:
+    """Rectangles to blacken: the boxes of all words that an entity overlaps, each once."""
+    hit = F.flatten(F.transform(with_boxes(entities, boxes), lambda x: x["boites"]))
+    return F.array_distinct(F.transform(hit, lambda b: F.struct(*[b[c].cast("int").alias(c) for c in ("page", "x", "y", "largeur", "hauteur")])))
+
+
+def _blacken_image(data: bytes, rectangles: list) -> bytes:
+    import io
+
+    try:
+        from PIL import Image, ImageDraw
+    except ImportError as e:
+        raise RuntimeError("redacting images needs Pillow") from e
+    image = Image.open(io.BytesIO(data))
+    kind, pen = image.format or "PNG", ImageDraw.Draw(image)
+    for r in rectangles:
+        pen.rectangle([r["x"], r["y"], r["x"] + r["largeur"], r["y"] + r["hauteur"]], fill=0)
+    out = io.BytesIO()
+    image.save(out, kind)
+    return out.getvalue()
+
+
+def _blacken_pdf(data: bytes, rectangles: list, dpi: int = 300) -> bytes:
+    """Text under the rectangles is removed, not only covered; boxes are in pixels of the scan."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise RuntimeError("redacting PDF needs PyMuPDF") from e
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        for r in rectangles:
+            page = pdf[max(0, min(pdf.page_count - 1, r["page"] - 1))]
+            x, y, w, h = (r[c] * 72.0 / dpi for c in ("x", "y", "largeur", "hauteur"))
+            page.add_redact_annot(fitz.Rect(x, y, x + w, y + h), fill=(0, 0, 0))
+        for page in pdf:
+            page.apply_redactions()
+        return pdf.tobytes()
+
+
+PAINTERS = {"application/pdf": _blacken_pdf, "image/png": _blacken_image, "image/jpeg": _blacken_image, "image/tiff": _blacken_image}
+
+
+def redact_files(files: DataFrame, painters: dict | None = None) -> DataFrame:
+    """``files`` (cle, type_mime, content, rectangles) with their rectangles blackened; without any, the bytes stay.
+
+    A type without a painter, or a painter whose library is missing, is an error: content is never passed on unprotected.
+    """
+    import pandas as pd
+
+    known = PAINTERS if painters is None else painters
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for kind, content, rectangles in zip(pdf["type_mime"], pdf["content"], pdf["rectangles"], strict=True):
+                if rectangles is None or not len(rectangles) or content is None:
+                    out.append(content)
+                elif kind in known:
+                    out.append(known[kind](bytes(content), [dict(r) for r in rectangles]))
+                else:
+                    raise ValueError(f"can't redact {kind}")
+            yield pd.DataFrame({"cle": pdf["cle"], "content": out})
+
+    d = files.select("cle", "type_mime", "content", F.col("rectangles").cast(f"array<{RECTANGLE}>"))
+    return d.mapInPandas(run, "cle string, content binary")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from privlake.functions.text import suffix
+
 
 def counted(df: DataFrame, key: Column, name: str, default: str = "inconnu") -> DataFrame:
     """(name, n) with a default for null keys; partial sums before the one small shuffle."""
@@ -72,6 +74,27 @@ def inventory(corpus: DataFrame, by: Column, name: str) -> DataFrame:
     return d.withColumn("part", F.col("documents") / F.sum("documents").over(Window.partitionBy()))  # a row for each key
 
 
+def corpus_tables(corpus: DataFrame) -> DataFrame:
+    """(section, cle, niveau, documents, entites, caracteres, part) of an annotated corpus: in all, by document type, file
+    format and partition, and its entities by type and level.
+
+    ``part`` is the share of the section's documents, or entities.  Two aggregations, whatever the number of sections.
+    """
+    key = lambda section, c: F.struct(F.lit(section).alias("section"), c.cast("string").alias("cle"))
+    sections = F.array(key("total", F.lit("documents")), key("type_document", F.col("typeDocument")), key("format", suffix(F.col("chemin"))), key("partition", F.col("partition")))
+    d = corpus.select(F.explode(sections).alias("k"), F.size(F.coalesce("entites", F.array())).alias("e"), F.length("texte").alias("c"))
+    d = d.groupBy("k.section", "k.cle").agg(F.count(F.lit(1)).alias("documents"), F.sum("e").alias("entites"), F.sum("c").alias("caracteres"))
+    e = corpus.select(F.explode("entites").alias("e"))
+    e = e.select(F.explode(F.array(
+        F.struct(F.lit("entite").alias("section"), F.col("e.type").alias("cle"), F.col("e.niveau").alias("niveau")),
+        F.struct(F.lit("niveau").alias("section"), F.col("e.niveau").alias("cle"), F.col("e.niveau").alias("niveau")),
+    )).alias("k")).groupBy("k.section", "k.cle").agg(F.max("k.niveau").alias("niveau"), F.count(F.lit(1)).alias("entites"))
+    share = lambda c: (F.col(c) / F.sum(c).over(Window.partitionBy("section"))).alias("part")  # noqa: E731  a row for each key
+    none = F.lit(None)
+    one = d.select("section", "cle", none.cast("string").alias("niveau"), "documents", "entites", "caracteres", share("documents"))
+    return one.unionByName(e.select("section", "cle", "niveau", none.cast("long").alias("documents"), "entites", none.cast("long").alias("caracteres"), share("entites")))
+
+
 def overlap_of_values(train: DataFrame, test: DataFrame) -> DataFrame:
     """(communes, test, taux, alerte): distinct values, lower case, of the test part that training has; alert over a quarter."""
     a, b = (x.select(F.lower("valeur").alias("v")).where("v IS NOT NULL").distinct() for x in (train, test))

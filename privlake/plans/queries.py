@@ -74,15 +74,13 @@ _CARDS = rf"""cards AS (
 
 @query(f"WITH {_CARDS} SELECT DISTINCT doc_id, valeur FROM cards")
 def card_values(spark, d):
-    rule = next(r for r in detect.RULES if r.type_entite == "CARTE_BANCAIRE")
-    one = _t(spark, d, "documents").select("doc_id", F.explode(detect.apply_rule(F.col("text"), rule, _today())).alias("e"))
+    one = _t(spark, d, "documents").select("doc_id", F.explode(detect.apply_rule(F.col("text"), detect.STRICT["card"], _today())).alias("e"))
     return one.select("doc_id", "e.valeur").distinct()
 
 
 def _mail_and_card(spark, d) -> DataFrame:
-    rules = tuple(r for r in detect.RULES if r.type_entite in ("EMAIL", "CARTE_BANCAIRE"))
     docs = _t(spark, d, "documents")
-    found = F.concat(*[detect.apply_rule(F.col("text"), r, _today()) for r in rules])
+    found = F.concat(*[detect.apply_rule(F.col("text"), detect.STRICT[r], _today()) for r in ("email", "card")])
     return merge.analyse(docs.withColumn("candidats", found))
 
 
@@ -208,8 +206,7 @@ def email_tokens(spark, d):
 @query(rf"""SELECT doc_id, sha256(regexp_replace(text, '([A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,63}}', '\1••••••@••••', 'g')) AS empreinte FROM documents""")
 def masked_text(spark, d):
     docs = _t(spark, d, "documents")
-    rule = next(r for r in detect.RULES if r.type_entite == "EMAIL")
-    docs = docs.withColumn("e", detect.apply_rule(F.col("text"), rule, _today()))
+    docs = docs.withColumn("e", detect.apply_rule(F.col("text"), detect.STRICT["email"], _today()))
     return docs.select("doc_id", F.sha2(protect.mask(F.col("text"), F.col("e")), 256).alias("empreinte"))
 
 

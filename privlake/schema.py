@@ -35,6 +35,8 @@ DEFAULT_PREFIX = "DCP"
 # --- fixed values: model label to entity type ---
 TYPE_OF_LABEL = {
     "PER": "NOM_PERSONNE", "PERSON": "NOM_PERSONNE", "PERS": "NOM_PERSONNE", "LOC": "LOCALITE", "GPE": "LOCALITE", "ORG": "ORGANISATION", "FAC": "LOCALITE",
+    "LOCATION": "LOCALITE", "NRP": "LOCALITE", "ORGANIZATION": "ORGANISATION", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "TELEPHONE", "IBAN_CODE": "IBAN",
+    "CREDIT_CARD": "CARTE_BANCAIRE", "DATE_TIME": "DATE_NAISSANCE", "IP_ADDRESS": "ADRESSE_IP",
 }
 
 # --- fixed values: the access matrix, role -> actions by level ---

@@ -28,15 +28,17 @@ EXTENSIONS = {
     ".png": "image/png",
 }
 RESOURCE = "cle string, taille bigint, date_modification timestamp, type_mime string, content binary"
-EXTRACTED = "cle string, texte string, methode string"
+EXTRACTED = "cle string, texte string, methode string, pages array<int>"
 MIN_CHARS_A_PAGE = 100
 
 
 @dataclass(frozen=True)
 class Connector:
-    """A driver: rows of RESOURCE for a configuration; ``content`` may be left out of a listing."""
+    """A driver: ``list`` gives rows of RESOURCE for a configuration (``content`` may be left out of a listing), ``write``
+    stores rows (cle, content)."""
 
     list: Callable[[SparkSession, dict], DataFrame]
+    write: Callable[[DataFrame, dict], None] | None = None
 
 
 def _hadoop(root: str, spark: SparkSession) -> tuple[object, object]:
@@ -70,9 +72,57 @@ def escapes(key: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), depth)["low"] < 0
 
 
+def read_file(spark: SparkSession, root: str, key: str) -> bytes:
+    """The bytes of one file below ``root``; a key that leaves the root, or isn't there, is an error."""
+    if spark.range(1).select(escapes(F.lit(key))).first()[0]:
+        raise ValueError(f"key leaves the root: {key}")
+    path = f"{root.rstrip('/')}/{key}"
+    fs, at = _hadoop(path, spark)
+    if not fs.exists(at):
+        raise FileNotFoundError(key)
+    if fs.getFileStatus(at).getLen() == 0:
+        return b""
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write rows (cle, content) below ``root``, a folder or store that all executors reach, a file a row.
+
+    A task that runs again writes its files again.  Keys that leave the root are refused before anything is written.
+    """
+    bad = files.where(escapes(F.col("cle"))).select("cle").limit(1).collect()
+    if bad:
+        raise ValueError(f"key leaves the root: {bad[0].cle}")
+
+    def run(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("/") else fs.FileSystem.from_uri(f"/{root}")
+        for r in rows:
+            path = f"{base}/{r.cle}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(bytes(r.content or b""))
+
+    files.select("cle", "content").foreachPartition(run)
+
+
+def drive(spark: SparkSession, configuration: dict) -> DataFrame:
+    """Rows of RESOURCE from a drive, through ``DriveSource``; ``client`` names a factory as ``module:function``."""
+    from privlake.sources.drive import DriveSource
+
+    spark.dataSource.register(DriveSource)
+    return spark.read.format(DriveSource.name()).options(client=configuration["client"], dossier=configuration["dossier"]).load()
+
+
+def _bucket(c: dict) -> str:
+    return f"s3a://{c['bucket']}/{c.get('prefixe', '')}"
+
+
 CONNECTORS: dict[str, Connector] = {
-    "local": Connector(lambda spark, c: list_files(spark, c["chemin"])),
-    "s3": Connector(lambda spark, c: list_files(spark, f"s3a://{c['bucket']}/{c.get('prefixe', '')}").where("NOT endswith(cle, '/')")),
+    "local": Connector(lambda spark, c: list_files(spark, c["chemin"]), lambda df, c: write_files(df, c["chemin"])),
+    "s3": Connector(lambda spark, c: list_files(spark, _bucket(c)).where("NOT endswith(cle, '/')"), lambda df, c: write_files(df, _bucket(c).replace("s3a://", "s3://"))),
+    "gdrive": Connector(drive),
 }
 
 
@@ -122,15 +172,23 @@ def _docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-def _pdf_text(data: bytes) -> str:
+def _pdf_pages(data: bytes) -> list[str]:
+    """The text layer of each page, by the first PDF library there is."""
     import io
 
+    try:
+        import fitz
+
+        with fitz.open(stream=data, filetype="pdf") as pdf:
+            return [page.get_text("text") or "" for page in pdf]
+    except ImportError:
+        pass
     try:
         import pdfplumber
     except ImportError as e:
-        raise RuntimeError("reading PDF needs pdfplumber") from e
+        raise RuntimeError("reading PDF needs PyMuPDF or pdfplumber") from e
     with pdfplumber.open(io.BytesIO(data)) as pdf:
-        return "\n\n".join(page.extract_text() or "" for page in pdf.pages)
+        return [page.extract_text() or "" for page in pdf.pages]
 
 
 def needs_ocr(characters: Column, pages: Column) -> Column:
@@ -138,28 +196,41 @@ def needs_ocr(characters: Column, pages: Column) -> Column:
     return characters / F.greatest(pages, F.lit(1)) < MIN_CHARS_A_PAGE
 
 
-READERS: dict[str, tuple[str, Callable[[bytes], str]]] = {DOCX: ("docx", _docx_text), PDF: ("pdf", _pdf_text)}
+#: Readers of binary formats: the texts of the pages; formats without pages have one.
+READERS: dict[str, tuple[str, Callable[[bytes], list[str]]]] = {DOCX: ("docx", lambda data: [_docx_text(data)]), PDF: ("pdf", _pdf_pages)}
+PAGE_BREAK = "\n\n"
 
 
-def extract(resources: DataFrame) -> DataFrame:
-    """(cle, texte, methode): text formats in the JVM, binary ones by their reader; failures have method 'echec' and a null text."""
+def extract(resources: DataFrame, readers: dict[str, tuple[str, Callable[[bytes], list[str]]]] | None = None) -> DataFrame:
+    """(cle, texte, methode, pages): text formats in the JVM, binary ones by their reader; ``pages`` has the lengths of the
+    pages with their breaks.
+
+    Failures have method 'echec' and a null text; images, and PDF files whose text layer is too thin, have 'ocr': their
+    words come from elsewhere, through ``assemble_words``.
+    """
+    known = READERS if readers is None else readers
     d = resources.withColumn("_type", content_type(F.col("content"), F.col("type_mime"), F.col("cle")))
     empty = F.coalesce(F.length("content"), F.lit(0)) == 0
     plain = d.where(empty | F.col("_type").isin(*TEXT_TYPES)).select("cle", F.when(empty, F.lit("")).otherwise(decode_bytes(F.col("content"))).alias("texte"), F.when(empty, "aucune").otherwise("texte").alias("methode"))
+    plain = plain.withColumn("pages", F.when(F.col("methode") == "aucune", F.array().cast("array<int>")).otherwise(F.array(F.length("texte"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, kind, data in zip(pdf["cle"], pdf["_type"], pdf["content"], strict=True):
-                method, reader = READERS.get(kind, ("echec", None))
+                method, reader = known.get(kind, ("ocr" if kind in IMAGE_TYPES else "echec", None))
                 try:
-                    rows.append((key, reader(bytes(data)) if reader else None, method))
+                    pages = reader(bytes(data)) if reader else None
                 except Exception:  # noqa: BLE001  one broken file doesn't stop a scan
-                    rows.append((key, None, "echec"))
-            yield pd.DataFrame(rows, columns=["cle", "texte", "methode"])
-
-    binary = d.where(~empty & ~F.col("_type").isin(*TEXT_TYPES)).select("cle", "_type", "content")
-    return plain.unionByName(binary.mapInPandas(run, EXTRACTED))
+                    pages, method = None, "echec"
+                broken = [x + PAGE_BREAK for x in pages[:-1]] + pages[-1:] if pages else []
+                rows.append((key, "".join(broken) if pages is not None else None, method, [len(x) for x in broken]))
+            yield pd.DataFrame(rows, columns=["cle", "texte", "methode", "pages"])
+
+    binary = d.where(~empty & ~F.col("_type").isin(*TEXT_TYPES)).select("cle", "_type", "content").mapInPandas(run, EXTRACTED)
+    thin = (F.col("methode") == "pdf") & needs_ocr(F.length("texte"), F.size("pages"))
+    binary = binary.withColumns({"methode": F.when(thin, "ocr").otherwise(F.col("methode")), "texte": F.when(~thin | thin.isNull(), F.col("texte"))})
+    return plain.unionByName(binary)
 
 
 def assemble_words(words: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def test_spans_equal_re(spark):
         "", "a@b.sn, c.d@e.fr", "Tél +221 77 555 44 33 ou 77 123 45 67.", "IBAN SN91SN0100152000048500000765 fin", "né le 03/07/1988, 12 mars 1990 à Thiès",
         "4539 5787 6362 1486 4539578763621486", "DK-4521-AB et AB-123-CD", "12 rue de la Paix, 75001 Paris", "été@x.fr œuf €", "x" * 5000 + " a@b.fr", "CNI 1988070312345 " * 20,
     ]
+    assert [len(x) for x in column(spark, ["a@b.fr " * 700, ""], lambda c: sp.spans(c, detect.EMAIL, needs="@"))] == [700, 0]  # several blocks
     for p in PATTERNS:
         flags, plain = (re.IGNORECASE if "(?iU)" in p else 0), re.sub(r"^\(\?i?U\)", "", p)
         got = column(spark, texts, lambda c, p=p: sp.spans(c, p))
@@ -52,6 +53,10 @@ def test_group_span(spark):
     assert [tuple(s) for s in got[0]] == [(12, 21, "GZ-889201"), (35, 39, "AB12")]
 
 
+def test_ligature_with_a_mark():
+    assert nz.normalised("\ufb01" + chr(0x301) + "n")[0] == "fi" + chr(0x301) + "n"
+
+
 SAMPLES = ["", "deux  mots", "a\tb", "l1\nl2", "l1\r\nl2", "p1\n\n\np2", "ﬁn œuvre", "“q” – l’été", "e" + chr(0x301) + "té", "﻿x"]
 
 
@@ -89,7 +94,7 @@ def test_normalised_by_clusters(text):
         else:
             while j < len(text) and unicodedata.combining(text[j]):
                 j += 1
-            out.append(nz.LIGATURES.get(text[i:j], unicodedata.normalize("NFC", text[i:j])))
+            out.append("".join(nz.LIGATURES.get(c, c) for c in unicodedata.normalize("NFC", text[i:j])))
         i = j
     assert nz.normalised(text)[0] == "".join(out)
 
