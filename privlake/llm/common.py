@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; where
-    that is unset (tests, local mode) the warehouse folder stands in for it.
+    that is unset in local mode (tests) the warehouse folder stands in for it; a
+    cluster without it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
 
 
@@ -46,10 +51,19 @@ def kept(cache: dict) -> dict:
 
 
 def drop_kept(but: dict | None = None) -> None:
-    """Free what other operators have left in this worker."""
+    """Free what other operators and earlier tasks have left in this worker, and give it back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
     for cache in _KEPT:
         if cache is not but:
             cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
 
 
 def ascii_lower(text: Column) -> Column:

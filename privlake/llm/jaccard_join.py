@@ -54,7 +54,7 @@ PART_POSTINGS = 1_500_000
 BITS_A_SET, MOST_BITS = 32, 1 << 28
 #: Elements of a block of a component, and of a block that members beside their pivot are compared with.
 BLOCK_ELEMENTS, GROUP_ELEMENTS = 100_000, 4_000_000
-DOCS_A_BLOB = 4000
+DOCS_A_BLOB = 2000
 
 # --- sets ---
 
@@ -146,6 +146,7 @@ def _each(batches) -> Iterator[tuple[int, object]]:
     """(sid, set) of the rows of (sid, shingles)."""
     import numpy as np
 
+    drop_kept()
     for batch in batches:
         for sid, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             yield sid, np.frombuffer(data.as_py(), dtype=np.uint64)
@@ -310,6 +311,7 @@ def _edges(postings: DataFrame, similarity) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        drop_kept()
         sid, size, tied, keys, index, kinds, tp, ti = ([] for _ in range(8))
         base = 0
         for blob in group.column("blob"):
