@@ -5,9 +5,10 @@ their first words; every place of a document is looked up in it by a broadcast
 hash join, each hash hit is verified word by word over the whole window, and
 only verified hits are grouped (by document).
 
-The broadcast is used only while the benchmark's text is at most
-``BROADCAST_CHARS`` characters in all (measured before the join); a larger
-benchmark is joined by shuffled hashes, with the same result.
+The broadcast is used only while the benchmark has at most ``BROADCAST_WINDOWS``
+windows (counted before the join); a larger benchmark is joined by shuffled
+hashes, with the same result.  A filter sends the ids of what it drops only:
+texts aren't shuffled.
 
 Edge cases: null or empty text has no words, no hit and isn't contaminated; an
 item without words has no window; items with the same words all count; repeated
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from privlake.llm.common import ascii_lower, split_words, table
+from privlake.llm.common import ascii_lower, split_words, stored, table
 
 N = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,7 +28,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows are looked up by the hash of their first words, then compared whole.
 ANCHOR = 5
-BROADCAST_CHARS = 64_000_000
+#: A window holds 13 words and its items, about 200 bytes: 50 MB at most.
+BROADCAST_WINDOWS = 250_000
+#: Ids (with a hash and a length) of contaminated documents that a filter broadcasts, 30 MB at most.
+BROADCAST_IDS = 1_000_000
 
 
 def _words(df: DataFrame, *keep: Column) -> DataFrame:
@@ -39,8 +43,9 @@ def _hash(at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(F.col("w"), at + i) for i in range(k)])
 
 
-def _hash_of(k: int):
-    return lambda at: _hash(at, k)
+def _place(k: int, n: int):
+    """A place's number, the hash of its first ``k`` words, and its own ``n`` words only, not the whole text's."""
+    return lambda at: F.struct(at.alias("pos"), _hash(at, k).alias("g"), F.slice("w", at + 1, F.lit(n)).alias("words"))
 
 
 def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
@@ -56,33 +61,35 @@ def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
     return rows.select(F.least(F.size("w"), F.lit(ANCHOR)).alias("k"), g.alias("g"), F.col("w").alias("gram"), "items")
 
 
-def _anchors(bench: DataFrame) -> tuple[list[int], int]:
-    """The anchor lengths that occur (ANCHOR values at most) and the benchmark's characters."""
-    size = F.least(F.size(split_words(ascii_lower(F.col("text")), SEPARATORS)), F.lit(ANCHOR))
-    rows = bench.select(size.alias("k"), F.length("text").alias("c")).groupBy("k").agg(F.sum("c").alias("c")).collect()
-    return sorted(r.k for r in rows if r.k > 0), sum(r.c or 0 for r in rows)
+def _anchors(bench: DataFrame, n: int) -> tuple[list[int], int]:
+    """The anchor lengths that occur (ANCHOR values at most) and the number of windows, repeated ones counted each."""
+    words = F.size(split_words(ascii_lower(F.col("text")), SEPARATORS))
+    d = bench.select(F.least(words, F.lit(ANCHOR)).alias("k"), F.when(words > 0, F.greatest(words - n + 1, F.lit(1))).otherwise(0).alias("c"))
+    rows = d.groupBy("k").agg(F.sum("c").alias("c")).collect()
+    return sorted(r.k for r in rows if r.k > 0), sum(r.c for r in rows)
 
 
 def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> DataFrame:
-    """Per key with a hit: ``n_hit`` covered words and the sorted ``items``."""
-    lengths, chars = _anchors(bench)
+    """Per key with a hit: ``n_words`` of the text, ``n_hit`` covered words and the sorted ``items``."""
+    lengths, windows = _anchors(bench, n)
     grams = benchmark_windows(bench, n)
-    if chars <= BROADCAST_CHARS:
+    if windows <= BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
     names = [f"k{i}" for i in range(len(key))]
     d = _words(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)])
     found = None
     for k in lengths:
-        places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _hash_of(k))
-        one = d.where(F.size("w") >= k).select(*names, "w", F.lit(k).alias("k"), F.posexplode(places).alias("pos", "g"))
+        places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _place(k, n))
+        one = d.where(F.size("w") >= k).select(*names, F.size("w").alias("n_words"), F.lit(k).alias("k"), F.inline(places))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = d.select(*names, "w", F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).where("false")
-    same = F.slice(F.col("w"), F.col("pos") + 1, F.size("gram")) == F.col("gram")
-    found = found.join(grams, ["k", "g"]).where(same).select(*names, "pos", F.size("gram").alias("len"), "items")
+        none = F.lit(None).cast("long")
+        found = d.select(*names, F.lit(0).alias("n_words"), F.lit(0).alias("k"), F.lit(0).alias("pos"), none.alias("g"), F.col("w").alias("words")).where("false")
+    same = F.slice(F.col("words"), F.lit(1), F.size("gram")) == F.col("gram")
+    found = found.join(grams, ["k", "g"]).where(same).select(*names, "n_words", "pos", F.size("gram").alias("len"), "items")
     # the longest window from each position covers what the others do
-    spans = found.groupBy(*names, "pos").agg(F.max("len").alias("len"), F.flatten(F.collect_set("items")).alias("items"))
-    per = spans.groupBy(*names).agg(
+    spans = found.groupBy(*names, "n_words", "pos").agg(F.max("len").alias("len"), F.flatten(F.collect_set("items")).alias("items"))
+    per = spans.groupBy(*names, "n_words").agg(
         F.sort_array(F.collect_list(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))).alias("s"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array_distinct("items"))))).alias("items"),
     )
@@ -90,7 +97,15 @@ def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> Da
     step = lambda a, x: F.struct(
         (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["pos"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")
     )
-    return per.select(*names, F.aggregate("s", state, step)["n"].cast("long").alias("n_hit"), "items")
+    return per.select(*names, F.col("n_words").cast("long").alias("n_words"), F.aggregate("s", state, step)["n"].cast("long").alias("n_hit"), "items")
+
+
+def _key(id_col: str) -> list[Column]:
+    return [F.col(id_col), F.xxhash64("text"), F.length("text")]
+
+
+def _bad(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None, n: int = N) -> DataFrame:
@@ -100,8 +115,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", kee
     the join with the hits: leave the text out where it isn't needed.
     """
     keep = docs.columns if keep is None else keep
-    key = [F.col(id_col), F.xxhash64("text"), F.length("text")]
-    found = hits(docs, bench, key, n)
+    key = _key(id_col)
+    found = hits(docs, bench, key, n).drop("n_words")
     n_words = F.size(split_words(F.col("text"), ANY_CASE)).cast("long")
     d = docs.select(F.struct(*keep).alias("row"), n_words.alias("n_words"), *[c.alias(f"d{i}") for i, c in enumerate(key)])
     on = [F.col(f"d{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(key))]
@@ -109,12 +124,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", kee
         "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return d.withColumn("contaminated", _bad(F.col("n_hit"), F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    d = decontaminate(docs, bench, id_col).where(~F.col("contaminated"))
+    key = _key(id_col)
+    names = [f"k{i}" for i in range(len(key))]
+    bad = stored(hits(docs, bench, key).where(_bad(F.col("n_hit"), F.col("n_words"))).select(*names))
+    few = bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    d = docs.select(F.struct("*").alias("row"), *[c.alias(f"d{i}") for i, c in enumerate(key)])
+    on = [F.col(f"d{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(key))]
+    d = d.join(F.broadcast(bad) if few else bad, on, "left_anti")
     return d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
