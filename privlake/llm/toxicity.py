@@ -12,8 +12,9 @@ word of the text, go through a logistic curve.
 The lexicon and its weights are learnt from labelled rows: every word beginning
 of 3 to 10 letters is a candidate, its weight is the log ratio of its smoothed
 document frequencies in the two classes.  At most ``MAX_POSITIVE`` and
-``MAX_NEGATIVE`` labelled rows are used, those with the lowest hash of the id (a
-bounded sample for a classifier); rows held out are never used.
+``MAX_NEGATIVE`` labelled rows are used, those with the lowest hash of the id, and
+``MAX_CHARS`` characters in all (a bounded sample for a classifier); rows held
+out are never used.
 
 Edge cases: null or empty text has no hit and gets the curve's lowest score;
 texts of any length are read whole; repeated rows are scored each; without
@@ -26,11 +27,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from privlake.llm.common import crc32_mod, table
 
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
+#: Characters of the sample in all; rows are taken in order of their hash while they fit.
+MAX_CHARS = 60_000_000
 MAX_ENTRIES = 2000
 MIN_SUPPORT, MIN_WEIGHT = 4, 2.2
 THRESHOLD = 0.7
@@ -243,7 +246,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("toxic").isin(0, 1)).where(F.col("doc_id").isNotNull()).where(crc32_mod(F.col("doc_id"), 3) != 1)
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [known.where(F.col("toxic") == c).select("doc_id", "toxic").orderBy(*by).limit(n) for c, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # a row for each labelled id
+    so_far = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_CHARS).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

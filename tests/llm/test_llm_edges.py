@@ -118,3 +118,31 @@ def test_urls(spark):
     assert sorted(out) == [(1, "b.example.com", 2, True)] * 2 + [(2, None, 0, False), (3, None, 0, False), (4, None, 0, False), (5, None, 0, False)]
     assert url_filter.filter_urls(captures.limit(0), events).count() == 0
     assert url_filter.filter_urls(captures, events.limit(0)).where("blocked").count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and extra columns, and on an empty table."""
+    import corpus_pipeline
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    more = [(20 + i, " ".join(f"{w}{'' if j % 7 else i}" for j, w in enumerate(words * 2))) for i in range(5)] + [(None, " ".join(w + "x" for w in words)), (30, "token=Abc123xyz9 " + " ".join(w + "y" for w in words))]
+    docs = spark.createDataFrame(ROWS + more, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), "row": F.lit(1), "k0": F.lit("x"), "comp": F.lit(2)})
+    spark.createDataFrame([(1, " ".join(w + "0" if j % 7 == 0 else w for j, w in enumerate(words * 2))), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, str(tmp_path))
+            assert d.columns == docs.columns, name
+        kept = {(r.doc_id, r.text) for r in d.collect()}
+        out = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()
+        assert len({r.doc_id for r in out}) == len({i for i, _ in kept})
+        if kept:
+            ids = [i for i, _ in kept]
+            assert 1 in ids and None in ids and 20 not in ids and not {2, 3, 4, 5} & set(ids)
+            assert any(i == 30 and "[SECRET]" in t for i, t in kept)
+
+
+def test_padding_is_little(spark):
+    """Full sequences but for the last of each group."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), path).toPandas()
+    assert out["length"].sum() / (out.sequence_id.nunique() * packing.SIZE) > 0.99
