@@ -6,43 +6,18 @@ The tables stand for the domain: ``documents`` for documents and their sources,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from privlake.functions import text as tx, validators as v
 from privlake.functions.normalize import normalise
 from privlake.functions.spans import spans
 from privlake.operators import audit, catalog, detect, evaluate, merge, policy, protect, statistics as st
 from privlake.plans import analysis
+from privlake.plans.registry import ORACLES, QUERIES, SALT, TODAY, query, rows as _t, today as _today
 from privlake.schema import LEVELS, POLICY, policy_matrix, rank
 from privlake.sources.files import content_type
 from privlake.streaming import ingest
 
-SALT = "sel-de-test"
-TODAY = "2026-01-01"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _today() -> Column:
-    return F.lit(TODAY).cast("date")
-
-
 # --- spans and rules ---
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}"
@@ -130,35 +105,37 @@ def entities_by_type(spark, d):
 
 # --- checks of values ---
 
-IBANS = (
-    "SN91SN0100152000048500000765", "SN91 SN01 0015 2000 0485 0000 0765", "FR7630006000011234567890189", "BE68539007547034", "DE89370400440532013000",
-    "SN92SN0100152000048500000765", "FR7630006000011234567890188", "BE03539007547034", "XX08", "FR763000600001123456789018", "SN08", "pas un iban",
-)
-PHONES = (
-    "+221771234567", "+22997123456", "+2290197123456", "+22890123456", "+2250701234567", "+233241234567", "00221771234567", "77 123 45 67",
-    "+22177123", "+2217712345678901", "+22997", "12345", "abc",
-)
-DATES = ("03/07/1988", "3-7-1988", "12 mars 1990", "1er janvier 1975", "1988-07-03", "32/01/1990", "29/02/1991", "03/07/1850", "03/07/2099", "13 blurp 1990", "3/7/88", "3/7/05")
-IDS = ("1988070312345", "2990120145678", "0123456789", "C0123456789", "3988070312345", "198807031234", "012345678", "123")
+#: Candidate values of every customer, valid and not, in SQL that both engines know.
+IBANS = """CASE c_custkey % 5 WHEN 0 THEN concat('FR76', lpad(cast(c_custkey * 7919 % 1000000007 AS string), 23, '0'))
+  WHEN 1 THEN concat('SN', lpad(cast(c_custkey % 100 AS string), 2, '0'), ' SN01 0015 2000 0485 0000 ', lpad(cast(c_custkey % 9973 AS string), 4, '0'))
+  WHEN 2 THEN concat('BE', lpad(cast(c_custkey % 97 AS string), 2, '0'), '539007547034') WHEN 3 THEN concat('XX', lpad(cast(c_custkey * 31 % 100 AS string), 2, '0'), substr(upper(c_mktsegment), 1, 4), '1234567', c_nationkey)
+  ELSE CASE WHEN c_custkey % 2 = 0 THEN 'FR7630006000011234567890189' ELSE c_name END END"""
+PHONES = """CASE c_custkey % 7 WHEN 0 THEN concat('+221 77 ', lpad(cast(c_custkey % 10000000 AS string), 7, '0')) WHEN 1 THEN concat('+229', c_custkey % 100000000)
+  WHEN 2 THEN concat('00225', lpad(cast(c_custkey AS string), 10, '0')) WHEN 3 THEN concat('77 123 45 ', lpad(cast(c_custkey % 100 AS string), 2, '0'))
+  WHEN 4 THEN concat('+33.', lpad(cast(c_custkey AS string), 9, '1')) WHEN 5 THEN concat('+49', repeat('7', cast(c_custkey % 17 AS int))) ELSE c_name END"""
+DATES = """CASE c_custkey % 4 WHEN 0 THEN concat(c_custkey % 33, '/', c_custkey % 14, '/', 1890 + c_custkey % 160) WHEN 1 THEN concat(c_custkey % 30 + 1, '-', c_nationkey % 12 + 1, '-', lpad(cast(c_custkey % 100 AS string), 2, '0'))
+  WHEN 2 THEN concat(c_custkey % 31 + 1, ' ', CASE c_nationkey % 4 WHEN 0 THEN 'mars' WHEN 1 THEN 'février' WHEN 2 THEN 'blurp' ELSE 'décembre' END, ' ', 1900 + c_custkey % 130)
+  ELSE concat(1950 + c_custkey % 90, '-', lpad(cast(c_nationkey % 13 AS string), 2, '0'), '-', lpad(cast(c_custkey % 32 AS string), 2, '0')) END"""
+IDS = "concat(CASE c_custkey % 4 WHEN 0 THEN 'C' ELSE '' END, lpad(cast(c_custkey * 104729 AS string), cast(7 + c_custkey % 7 AS int), cast(1 + c_custkey % 3 AS string)))"
 
 
-def _values(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in values], "valeur string")
+def _values(spark, d, values: str) -> DataFrame:
+    return _t(spark, d, "customer").select("c_custkey", F.expr(values).alias("valeur"))
 
 
-def _sql_values(values: tuple[str, ...]) -> str:
-    return "(VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in values) + ") AS t(valeur)"
+def _sql_values(values: str) -> str:
+    return f"(SELECT c_custkey, {values} AS valeur FROM customer)"
 
 
 _LENGTHS = "CASE " + " ".join(f"WHEN substr(c, 1, 2) = '{k}' THEN length(c) = {n}" for k, n in v.IBAN_LENGTH.items()) + " ELSE true END"
 
 
-@query(f"""SELECT valeur, coalesce(regexp_full_match(c, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND {_LENGTHS} AND
+@query(f"""SELECT c_custkey, valeur, coalesce(regexp_full_match(c, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND {_LENGTHS} AND
   list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: CASE WHEN x ~ '[0-9]' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)),
               lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1, false) AS valide
-FROM (SELECT valeur, upper(regexp_replace(valeur, '[\\s-]', '', 'g')) AS c FROM {_sql_values(IBANS)})""")
+FROM (SELECT c_custkey, valeur, upper(regexp_replace(valeur, '[\\s-]', '', 'g')) AS c FROM {_sql_values(IBANS)})""")
 def iban_check(spark, d):
-    return _values(spark, IBANS).select("valeur", v.iban_valid(F.col("valeur")).alias("valide"))
+    return _values(spark, d, IBANS).select("c_custkey", "valeur", v.iban_valid(F.col("valeur")).alias("valide"))
 
 
 _BY_CODE = "CASE " + " ".join(
@@ -166,30 +143,31 @@ _BY_CODE = "CASE " + " ".join(
 ) + " ELSE length(r) BETWEEN 8 AND 15 END"
 
 
-@query(f"""SELECT valeur, CASE WHEN regexp_full_match(c, '[+][0-9]+') THEN {_BY_CODE} ELSE regexp_full_match(c, '[0-9]{{8,10}}') END AS valide
-FROM (SELECT valeur, c, substr(c, 2) AS r FROM (SELECT valeur, regexp_replace(regexp_replace(valeur, '[\\s.()/-]', '', 'g'), '^00', '+') AS c FROM {_sql_values(PHONES)}))""")
+@query(f"""SELECT c_custkey, valeur, CASE WHEN regexp_full_match(c, '[+][0-9]+') THEN {_BY_CODE} ELSE regexp_full_match(c, '[0-9]{{8,10}}') END AS valide
+FROM (SELECT c_custkey, valeur, c, substr(c, 2) AS r FROM (SELECT c_custkey, valeur, regexp_replace(regexp_replace(valeur, '[\\s.()/-]', '', 'g'), '^00', '+') AS c FROM {_sql_values(PHONES)}))""")
 def phone_check(spark, d):
-    return _values(spark, PHONES).select("valeur", v.phone_valid(F.col("valeur")).alias("valide"))
+    return _values(spark, d, PHONES).select("c_custkey", "valeur", v.phone_valid(F.col("valeur")).alias("valide"))
 
 
-_MONTHS = "CASE lower(regexp_extract(valeur, '[a-zéûôà]{3,}')) " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in v.MONTHS.items()) + " END"
+_MONTHS = "CASE regexp_extract(valeur, '[a-zéûôà]{3,}') " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in v.MONTHS.items()) + " END"
 
 
-@query(f"""WITH p AS (SELECT valeur, string_split_regex(regexp_replace(valeur, '(er)? ', '/', 'g'), '[/.-]') AS a, {_MONTHS} AS m FROM {_sql_values(DATES)}),
-q AS (SELECT valeur, CASE WHEN length(a[1]) = 4 THEN a[1]::int WHEN length(a[3]) = 2 THEN a[3]::int + CASE WHEN a[3]::int > 30 THEN 1900 ELSE 2000 END ELSE a[3]::int END AS y,
+@query(f"""WITH p AS (SELECT c_custkey, valeur, string_split_regex(valeur, '[/. -]') AS a, {_MONTHS} AS m FROM {_sql_values(DATES)}),
+q AS (SELECT c_custkey, valeur, CASE WHEN length(a[1]) = 4 THEN a[1]::int WHEN length(a[3]) = 2 THEN a[3]::int + CASE WHEN a[3]::int > 30 THEN 1900 ELSE 2000 END ELSE a[3]::int END AS y,
         coalesce(m, try_cast(a[2] AS int)) AS m, CASE WHEN length(a[1]) = 4 THEN a[3] ELSE a[1] END AS d FROM p),
-z AS (SELECT valeur, try_cast(printf('%04d-%02d-%02d', y, m, d::int) AS date) AS j FROM q)
-SELECT valeur, strftime(j, '%Y-%m-%d') AS date_lue, coalesce(year(j) >= 1900 AND j <= DATE '{TODAY}', false) AS valide FROM z""")
+z AS (SELECT c_custkey, valeur, try_cast(printf('%04d-%02d-%02d', y, m, d::int) AS date) AS j FROM q)
+SELECT c_custkey, valeur, strftime(j, '%Y-%m-%d') AS date_lue, coalesce(year(j) >= 1900 AND j <= DATE '{TODAY}', false) AS valide FROM z""")
 def date_check(spark, d):
     x = F.col("valeur")
-    return _values(spark, DATES).select("valeur", v.parsed_date(x).cast("string").alias("date_lue"), v.birth_date_valid(x, _today()).alias("valide"))
+    return _values(spark, d, DATES).select("c_custkey", "valeur", v.parsed_date(x).cast("string").alias("date_lue"), v.birth_date_valid(x, _today()).alias("valide"))
 
 
-@query(f"""SELECT valeur, length(valeur) >= 8 AND ((length(valeur) = 13) OR length(valeur) = 10 OR (length(valeur) = 11 AND starts_with(valeur, 'C'))) AS valide,
-length(valeur) = 13 AND substr(valeur, 1, 1) IN ('1', '2') AS valide_sn FROM {_sql_values(IDS)}""")
+@query(f"""SELECT c_custkey, valeur, length(valeur) = 13 OR length(valeur) = 10 OR (length(valeur) = 11 AND starts_with(valeur, 'C')) AS valide,
+length(valeur) = 13 AND substr(valeur, 1, 1) IN ('1', '2') AS valide_sn FROM (
+  SELECT c_custkey, valeur, CASE WHEN length(valeur) = 13 AND NOT substr(valeur, 1, 1) IN ('1', '2') THEN valeur ELSE valeur END AS c FROM {_sql_values(IDS)})""")
 def identity_check(spark, d):
     x = F.col("valeur")
-    return _values(spark, IDS).select("valeur", v.identity_valid(x).alias("valide"), v.identity_valid(x, "SN").alias("valide_sn"))
+    return _values(spark, d, IDS).select("c_custkey", "valeur", v.identity_valid(x).alias("valide"), v.identity_valid(x, "SN").alias("valide_sn"))
 
 
 # --- protection ---
@@ -210,13 +188,16 @@ def masked_text(spark, d):
     return docs.select("doc_id", F.sha2(protect.mask(F.col("text"), F.col("e")), 256).alias("empreinte"))
 
 
-NAMES = ("Jean Dupont", "03/07/1988", "Awa Y. Diouf", "A", "", "rue de la Paix 12")
+#: Names of several words, with single letters, signs and accents.
+NAMES = "concat(c_name, CASE c_custkey % 3 WHEN 0 THEN concat(' Y. ', lower(c_mktsegment)) WHEN 1 THEN concat(' d''Été ', c_nationkey) ELSE '' END)"
+_WORD_CHAR = "regexp_matches(%s, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]')"
 
 
-@query("""SELECT * FROM (VALUES ('Jean Dupont', 'J••• D•••••'), ('03/07/1988', '0•/0•/1•••'), ('Awa Y. Diouf', 'A•• •. D••••'), ('A', '•'), ('', ''),
-('rue de la Paix 12', 'r•• d• l• P••• 1•')) AS t(valeur, masque)""")
+@query(f"""SELECT c_custkey, valeur, array_to_string(list_transform(range(1, length(valeur) + 1), lambda i: CASE WHEN {_WORD_CHAR % 'substr(valeur, i, 1)'}
+  AND ((i > 1 AND {_WORD_CHAR % 'substr(valeur, i - 1, 1)'}) OR NOT {_WORD_CHAR % 'substr(valeur, i + 1, 1)'}) THEN '•' ELSE substr(valeur, i, 1) END), '') AS masque
+FROM {_sql_values(NAMES)}""")
 def masked_values(spark, d):
-    return _values(spark, NAMES).select("valeur", tx.mask_value(F.col("valeur"), F.lit("NOM_PERSONNE")).alias("masque"))
+    return _values(spark, d, NAMES).select("c_custkey", "valeur", tx.mask_value(F.col("valeur"), F.lit("NOM_PERSONNE")).alias("masque"))
 
 
 @query("SELECT c_custkey, c_name AS clair FROM customer")
@@ -378,11 +359,14 @@ def level_shares(spark, d):
     return st.level_shares(level_by_source(spark, d)).select("libelle", "niveau", "n", F.floor(F.col("part") * 1000000 + 1e-9).cast("long").alias("part_e6"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS demarre_le, c_name AS libelle FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 30""")
+@query("""SELECT o_orderkey AS execution, strftime(o_orderdate, '%Y-%m-%d') AS demarre_le, c_name AS libelle FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1) o
+JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_custkey LIMIT 30""")
 def last_scans(spark, d):
-    runs = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("demarre_le"))
-    labels = _t(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("libelle"))
-    return runs.join(labels, "source_id").orderBy(F.desc("demarre_le"), "o_orderkey").limit(30).select("o_orderkey", F.date_format("demarre_le", "yyyy-MM-dd").alias("demarre_le"), "libelle")
+    runs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("execution"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("demarre_le"))
+    first = Window.partitionBy("source_id", "demarre_le").orderBy("execution")
+    runs = runs.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    labels = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("libelle"))
+    return st.last_scans(runs, labels).select("execution", F.date_format("demarre_le", "yyyy-MM-dd").alias("demarre_le"), "libelle")
 
 
 @query("SELECT lang, count(*)::bigint AS documents, sum(length(text))::bigint AS caracteres, floor(1000000 * count(*) / sum(count(*)) OVER ())::bigint AS part_e6 FROM documents GROUP BY lang")
@@ -398,10 +382,15 @@ def page_resources(spark, d):
     return _t(spark, d, "pages").select("page_id", kind.alias("type_mime"), tx.suffix(F.col("url")).alias("suffixe"), tx.base_name(F.col("url")).alias("nom"), F.sha2("html", 256).alias("empreinte"))
 
 
-@query("SELECT doc_id, sha256(text) AS empreinte, length(text)::int AS positions FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, replace(replace(replace(text, ' ', '  '), chr(10), chr(13) || chr(10)), 'fi', 'ﬁ') AS s FROM documents),
+n AS (SELECT doc_id, s, replace(replace(replace(replace(regexp_replace(regexp_replace(replace(s, chr(13) || chr(10), chr(10)), '[ \t]*\n[ \t]*\n[ \t\n]*', chr(1) || chr(1), 'g'), '[ \t]+', ' ', 'g'),
+  ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10)), chr(1), chr(10)), 'ﬁ', 'fi') AS x FROM t)
+SELECT doc_id, sha256(x) AS empreinte, length(x)::int AS positions, length(s)::int AS source FROM n""".replace("\\\\", "\\"))
 def normalised_texts(spark, d):
-    n = _t(spark, d, "documents").withColumn("n", normalise("text"))
-    return n.select("doc_id", F.sha2("n.texte", 256).alias("empreinte"), (F.size("n.map_offsets") - 1).alias("positions"))
+    """Texts with doubled spaces, CR LF and ligatures, normalised back; the last offset is the source's length."""
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit("\r\n")), F.lit("fi"), F.lit("ﬁ"))
+    n = _t(spark, d, "documents").withColumn("n", normalise(text))
+    return n.select("doc_id", F.sha2("n.texte", 256).alias("empreinte"), (F.size("n.map_offsets") - 1).alias("positions"), F.element_at("n.map_offsets", -1).alias("source"))
 
 
 # --- evaluation ---
@@ -416,7 +405,7 @@ def _two_readings(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, d, "documents")
     a = docs.select("doc_id", F.inline(spans(F.col("text"), detect.EMAIL)))
     b = docs.select("doc_id", F.inline(spans(F.col("text"), _EMAIL_OCR)))
-    return _numbered(a, "i"), _numbered(b, "j")
+    return catalog.materialise(_numbered(a, "i")), catalog.materialise(_numbered(b, "j"))
 
 
 _READINGS = f"WITH {_sql_spans(_EMAIL, 'a')}, {_sql_spans(_EMAIL_OCR, 'b')}, v AS (SELECT count(*) AS vp FROM a JOIN b USING (doc_id, debut, fin)), n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)"
@@ -430,7 +419,13 @@ def detection_scores(spark, d):
     return s.select("axe", "cle", "vp", "fp", "fn", F.floor(F.col("rappel") * 1000000 + 1e-9).cast("long").alias("rappel_e6"))
 
 
-@query()
+@query(f"""WITH {_sql_spans(_EMAIL, 'a')}, {_sql_spans(_EMAIL_OCR, 'b')},
+c AS (SELECT a.doc_id, a.debut AS i, b.debut AS j, (least(a.fin, b.fin) - greatest(a.debut, b.debut)) / (greatest(a.fin, b.fin) - least(a.debut, b.debut)) AS s
+      FROM a JOIN b ON a.doc_id = b.doc_id AND a.debut < b.fin AND b.debut < a.fin),
+m AS (SELECT * FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE x.doc_id = y.doc_id AND (x.i = y.i OR x.j = y.j) AND (y.s > x.s OR (y.s = x.s AND (y.i < x.i OR (y.i = x.i AND y.j < x.j)))))),
+t AS (SELECT 'EMAIL' AS attendu, 'EMAIL' AS predit, count(*)::bigint AS n FROM m
+  UNION ALL SELECT 'EMAIL', '(manquée)', (SELECT count(*) FROM a) - count(*) FROM m UNION ALL SELECT '(superflue)', 'EMAIL', (SELECT count(*) FROM b) - count(*) FROM m)
+SELECT * FROM t WHERE n > 0""")
 def detection_confusion(spark, d):
     r, p = _two_readings(spark, d)
     return evaluate.confusion(r, p, evaluate.match_by_position(r, p))
@@ -486,3 +481,6 @@ def level_ranks(spark, d):
     d0 = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("niveau")).agg(F.count(F.lit(1)).alias("n"))
     d0 = d0.unionByName(spark.createDataFrame([("critique", 0)], "niveau string, n long"))
     return d0.withColumn("rang", rank(F.col("niveau")))
+
+
+from privlake.plans import annotated, operations  # noqa: E402, F401  they register their queries
