@@ -41,7 +41,7 @@ def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None)
     which must end where the match ends.
 
     A match starts after the pieces and matches before it.  Texts without a match
-    cost one search, and those without the string ``needs``, which every match holds, not even that.
+    cost one search, and those without a match of the simpler pattern ``needs``, which every match holds, only that one.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     value = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
@@ -52,7 +52,7 @@ def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None)
         one = F.struct((end - F.length(x["value"])).alias("debut"), end.alias("fin"), x["value"].alias("valeur"))
         return F.coalesce(end, at), one, x["all"].isNotNull()
 
-    any_ = text.rlike(pattern) if needs is None else text.contains(needs) & text.rlike(pattern)
+    any_ = text.rlike(pattern) if needs is None else text.rlike(needs) & text.rlike(pattern)
     return F.when(any_, folded(rows, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
 

@@ -48,6 +48,20 @@ def test_spans_equal_re(spark):
         assert [[tuple(s) for s in g] for g in got] == want, p
 
 
+def test_simpler_patterns_are_held_by_every_match():
+    """What ``needs`` asks of a text, every value that a rule's pattern matches has."""
+    values = {
+        "email": ["a@b.sn", "x @y.c"], "iban": ["SN91SN0100152000048500000765", "SN91 SN01 0015 2000 0485"], "card": ["4539578763621486", "4 5 3 9 5 7 8 7 6 3 6 2 1", "453-9578.7636 21486"],
+        "phone": ["+221 77 555 44 33", "77 123 45 67", "+2 2 1 7 7"], "date": ["03/07/1988", "3 / 7 / 88", "1-1-99"], "date in words": ["1er mars 1990"], "plate": ["DK-4521-AB", "1234AB12"], "client": ["N° client AB12", "Dossier n° 1234"],
+    }
+    for table in (detect.STRICT, detect.TOLERANT):
+        for name, (_, pattern, _, needs, _, _) in table.items():
+            plain = re.compile(re.sub(r"^\(\?i?U\)", "", pattern), re.IGNORECASE if "(?iU)" in pattern else 0)
+            simple = re.compile(needs.replace(r"\p{Nd}", r"\d"))
+            for v in values[name]:
+                assert not plain.search(v) or simple.search(v), (name, v)
+
+
 def test_group_span(spark):
     got = column(spark, ["n° client : GZ-889201 et id client AB12"], lambda c: sp.spans(c, detect.CLIENT, 1))
     assert [tuple(s) for s in got[0]] == [(12, 21, "GZ-889201"), (35, 39, "AB12")]
