@@ -166,3 +166,32 @@ def test_secret_scan_is_linear(spark):
     began = time.time()
     assert {x.doc_id: x.n_hex for x in secret_scan.digest(df).collect()} == {1: 0, 2: 20_000}
     assert time.time() - began < 60
+
+
+def naive_features(model, folded):
+    """Every entry and phrase looked for by itself, at every place."""
+
+    def places(x):
+        at = folded.find(x)
+        while at >= 0:
+            yield at
+            at = folded.find(x, at + 1)
+
+    best = {}
+    for entry, w in model.weights.items():
+        for s in places(entry):
+            best[s] = max(w, best.get(s, 0.0))
+    spared = [(s, s + len(toxicity.fold(x)) - 1) for x in model.exceptions for s in places(toxicity.fold(x))]
+    hits = [w for s, w in best.items() if not any(a <= s < b for a, b in spared)]
+    words = max(folded.count(" ") - 1, 20)
+    return math.log1p(sum(hits)), math.log1p(100 * sum(hits) / words), max(hits, default=0.0)
+
+
+def test_automaton_equals_naive_search():
+    r = random.Random(51)
+    for _ in range(400):
+        word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+        weights = {f" {word()}" + r.choice(("", " ")): round(r.uniform(0.1, 5), 2) for _ in range(r.randint(1, 12))}
+        model = toxicity.Model(weights, tuple({f"{word()} {word()}" for _ in range(r.randint(0, 4))}))
+        folded = toxicity.fold(" ".join(word() for _ in range(r.randint(0, 40))))
+        assert model.features(folded) == pytest.approx(naive_features(model, folded))
