@@ -11,17 +11,22 @@ _LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]"
 BULLET = "•"
 
 
-@F.pandas_udf(T.StringType())
-def _unmarked(values: pd.Series) -> pd.Series:
+def _plain(v: str | None) -> str | None:
     """NFKD without combining marks, lower case, single spaces: Spark has no Unicode decomposition."""
     import unicodedata
 
-    def one(v: str | None) -> str | None:
-        if v is None:
-            return None
-        return " ".join("".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower().split())
+    return None if v is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower().split())
 
-    return values.map(one)
+
+@F.pandas_udf(T.StringType())
+def _unmarked(values: pd.Series) -> pd.Series:
+    return values.map(_plain)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def canonical_all(values: pd.Series) -> pd.Series:
+    """``canonical`` of every value of an array, within its row."""
+    return values.map(lambda a: None if a is None else [_plain(v) for v in a])
 
 
 @F.pandas_udf(T.StringType())

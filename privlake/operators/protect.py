@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from privlake.functions.spans import with_boxes
-from privlake.functions.text import canonical, encrypt, mask_value, token, value_hash
+from privlake.functions.text import canonical, canonical_all, encrypt, mask_value, token, value_hash
 
 
 def rewrite(text: Column, entities: Column, replacement, union: bool = False) -> Column:
@@ -46,16 +46,14 @@ def with_hashes(df: DataFrame, salt: str, ascii_only: bool = False) -> DataFrame
     return d.withColumn("jeton", token(F.col("empreinte_valeur"), F.col("e.type_entite")))
 
 
-def pseudonymise(df: DataFrame, salt: str, key_col: str = "id", text_col: str = "texte", ascii_only: bool = False) -> DataFrame:
-    """(key, texte_protege): spans replaced by tokens.  Values are hashed once each, after a map-side distinct."""
-    one = df.select(key_col, F.explode("entites").alias("e"))
-    names = with_hashes(one.select("e").select(F.struct("e.type_entite", "e.valeur").alias("e")).distinct(), salt, ascii_only)
-    names = names.select(F.col("e.type_entite").alias("t"), F.col("e.valeur").alias("v"), "jeton")
-    one = one.withColumns({"t": F.col("e.type_entite"), "v": F.col("e.valeur")}).join(names, ["t", "v"])
-    one = one.select(key_col, F.struct("e.debut", "e.fin", "jeton").alias("s"))
-    by = one.groupBy(key_col).agg(F.collect_list("s").alias("s"))
-    d = df.join(by, key_col, "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<debut:int,fin:int,jeton:string>>")))
-    return d.withColumn("texte_protege", rewrite(F.col(text_col), F.col("s"), lambda e: e["jeton"])).drop("s")
+def pseudonymise(df: DataFrame, salt: str, text_col: str = "texte") -> DataFrame:
+    """``df`` with ``texte_protege``: spans replaced by tokens.  Values are hashed within their row: no shuffle."""
+    forms = canonical_all(F.transform("entites", lambda e: e["valeur"]))
+    d = df.withColumn("_f", forms)
+    named = F.transform("entites", lambda e, i: F.struct(
+        e["debut"].alias("debut"), e["fin"].alias("fin"), token(value_hash(F.get("_f", i), salt), e["type_entite"]).alias("jeton")
+    ))
+    return d.withColumn("texte_protege", rewrite(F.col(text_col), named, lambda e: e["jeton"])).drop("_f")
 
 
 def pseudonym_rows(entities: DataFrame, key: Column) -> DataFrame:
