@@ -53,7 +53,7 @@ PART_POSTINGS = 1_500_000
 #: Bits of the bitmap of candidate sets, by their number and at most.
 BITS_A_SET, MOST_BITS = 32, 1 << 28
 #: Elements of a block of a component, and of a block that members beside their pivot are compared with.
-BLOCK_ELEMENTS, GROUP_ELEMENTS = 100_000, 4_000_000
+BLOCK_ELEMENTS, GROUP_ELEMENTS = 2_000_000, 4_000_000
 DOCS_A_BLOB = 2000
 
 # --- sets ---
@@ -419,8 +419,9 @@ class _Forest:
 class _Lists:
     """Inverted lists of some sets in memory, to find what a set links to among them.
 
-    A linked set shares one of the rarest elements (by these lists), as many as the prefix filter asks for; only those
-    lists are scanned, and what they hold is verified.  So elements that most of the sets share cost nothing.
+    A linked set shares one of the rarest elements (by these lists), as many as the prefix filter asks for.  And what
+    two sets share, neither has to itself: sets with too many elements of their own for the overlap that their sizes
+    ask for are left out, such as short texts around one common passage.  What is left is verified.
     """
 
     def __init__(self, sets: list):
@@ -430,15 +431,38 @@ class _Lists:
         data, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(data, kind="stable")
         self.data, self.owner = data[order], owner[order]
+        new = np.concatenate([[True], self.data[1:] != self.data[:-1]])
+        alone = new & np.concatenate([new[1:], [True]])
+        self.shared = np.bincount(self.owner[~alone], minlength=len(sets))
 
-    def linked_to(self, s, similarity) -> list[int]:
+    def linked_to(self, s, similarity, inside: bool = True) -> list[int]:
+        """Indices of the sets that ``s`` links to; ``inside`` says that ``s`` is one of them, which may be left out."""
         import numpy as np
 
+        a, b = similarity
         lo, hi = np.searchsorted(self.data, s), np.searchsorted(self.data, s, "right")
-        rare = np.argsort(hi - lo, kind="stable")[: prefix(len(s), 1, similarity)]
-        lo, n = lo[rare], (hi - lo)[rare]
-        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return [j for j in np.unique(self.owner[at]).tolist() if linked(s, self.sets[j], similarity)]
+        n = hi - lo
+        asked = a * (self.sizes + len(s))
+        fits = (b * len(s) >= a * self.sizes) & (b * self.sizes >= a * len(s)) & ((a + b) * np.count_nonzero(n > inside) >= asked)
+        if inside:
+            fits &= (a + b) * self.shared >= asked
+        if not fits.any():
+            return []
+        rare = np.argsort(n, kind="stable")[: prefix(len(s), 1, similarity)]
+        found = np.unique(self._owners(lo[rare], n[rare]))
+        found = found[fits[found]]
+        if len(found) <= 32:
+            return [j for j in found.tolist() if linked(s, self.sets[j], similarity)]
+        both = np.zeros(len(self.sets), dtype=np.int64)
+        step = max(1, 4_000_000 // max(1, int(n.max())))
+        for k in range(0, len(s), step):
+            both += np.bincount(self._owners(lo[k : k + step], n[k : k + step]), minlength=len(self.sets))
+        return np.flatnonzero(fits & (b * both >= a * (self.sizes + len(s) - both))).tolist()
+
+    def _owners(self, lo, n):
+        import numpy as np
+
+        return self.owner[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[tuple[int, list[int]]], similarity) -> tuple[list[int], list[tuple[int, int]]]:
@@ -524,7 +548,7 @@ def _across(sets: DataFrame, ties: DataFrame, rest: DataFrame, similarity, group
         lists = _Lists([np.frombuffer(x.as_py(), dtype=np.uint64) for x in left.column("shingles")]) if sid else None
         u, v = [], []
         for i, x in zip(right.column("sid").to_pylist(), right.column("shingles"), strict=True):
-            other = [sid[j] for j in lists.linked_to(np.frombuffer(x.as_py(), dtype=np.uint64), similarity)] if sid else []
+            other = [sid[j] for j in lists.linked_to(np.frombuffer(x.as_py(), dtype=np.uint64), similarity, inside=False)] if sid else []
             v += [j for j in other if j != i]
             u += [i] * (len(v) - len(u))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

@@ -382,12 +382,17 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, limits):
 
 def test_lists_equal_all_pairs():
     r = random.Random(33)
-    for _ in range(200):
+    for k in range(200):
         common = r.sample(range(1000, 1040), 20)
-        sets = [np.unique(np.array([*r.sample(range(60), r.randint(1, 12)), *r.sample(common, r.randint(0, 20))], dtype=np.uint64)) for _ in range(12)]
+        one = lambda: np.unique(np.array([*r.sample(range(60), r.randint(1, 12)), *r.sample(common, r.choice((20, 19, r.randint(0, 20))))], dtype=np.uint64))  # noqa: E731, B023
+        sets = [one() for _ in range(12 if k % 4 else 60)]
         lists = jaccard_join._Lists(sets)
-        for s in sets:
-            assert lists.linked_to(s, (75, 100)) == [j for j, x in enumerate(sets) if jaccard_join.linked(s, x, (75, 100))]
+        for s in sets:  # a set links to itself; that link is nothing
+            want = [j for j, x in enumerate(sets) if jaccard_join.linked(s, x, (75, 100))]
+            got = lists.linked_to(s, (75, 100))
+            assert [j for j in got if sets[j] is not s] == [j for j in want if sets[j] is not s]
+        for s in (one() for _ in range(5)):
+            assert lists.linked_to(s, (75, 100), inside=False) == [j for j, x in enumerate(sets) if jaccard_join.linked(s, x, (75, 100))]
 
 
 def test_op6_whole(spark, texts):
