@@ -43,9 +43,8 @@ def _hash(at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(F.col("w"), at + i) for i in range(k)])
 
 
-def _place(k: int, n: int):
-    """A place's number, the hash of its first ``k`` words, and its own ``n`` words only, not the whole text's."""
-    return lambda at: F.struct(at.alias("pos"), _hash(at, k).alias("g"), F.slice("w", at + 1, F.lit(n)).alias("words"))
+def _hash_of(k: int):
+    return lambda at: _hash(at, k)
 
 
 def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
@@ -79,14 +78,13 @@ def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> Da
     d = _words(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)])
     found = None
     for k in lengths:
-        places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _place(k, n))
-        one = d.where(F.size("w") >= k).select(*names, F.size("w").alias("n_words"), F.lit(k).alias("k"), F.inline(places))
+        places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _hash_of(k))
+        one = d.where(F.size("w") >= k).select(*names, "w", F.lit(k).alias("k"), F.posexplode(places).alias("pos", "g"))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        none = F.lit(None).cast("long")
-        found = d.select(*names, F.lit(0).alias("n_words"), F.lit(0).alias("k"), F.lit(0).alias("pos"), none.alias("g"), F.col("w").alias("words")).where("false")
-    same = F.slice(F.col("words"), F.lit(1), F.size("gram")) == F.col("gram")
-    found = found.join(grams, ["k", "g"]).where(same).select(*names, "n_words", "pos", F.size("gram").alias("len"), "items")
+        found = d.select(*names, "w", F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).where("false")
+    same = F.slice(F.col("w"), F.col("pos") + 1, F.size("gram")) == F.col("gram")
+    found = found.join(grams, ["k", "g"]).where(same).select(*names, F.size("w").alias("n_words"), "pos", F.size("gram").alias("len"), "items")
     # the longest window from each position covers what the others do
     spans = found.groupBy(*names, "n_words", "pos").agg(F.max("len").alias("len"), F.flatten(F.collect_set("items")).alias("items"))
     per = spans.groupBy(*names, "n_words").agg(
