@@ -35,6 +35,16 @@ def documents_page(df: DataFrame, page: int = 1, size: int = 50, **tests) -> Dat
     return df.where(all_of(tests)).orderBy(F.desc("date_decouverte"), "id").offset((max(1, page) - 1) * size).limit(size)
 
 
+def listing(documents: DataFrame) -> DataFrame:
+    """What a listing shows of documents; a size that isn't known stays null."""
+    return documents.select("id", "source_id", F.col("chemin_source").alias("chemin"), "type_mime", F.col("taille_octets").alias("taille"), "statut", F.col("niveau_max").alias("niveau"), "tentatives")
+
+
+def account(users: DataFrame, name: str) -> DataFrame:
+    """The active account of a name, with the role it has now."""
+    return users.where((F.col("identifiant") == name) & F.col("actif")).select("identifiant", "role_code")
+
+
 def page_count(total: Column, size: int = 50) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("int")
 

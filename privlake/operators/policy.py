@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from privlake.schema import LEVELS
 
+MATRIX = "role string, niveau string, action string, rang int"
+
 
 def decide(requests: DataFrame, documents: DataFrame, matrix: DataFrame) -> DataFrame:
     """Requests (role, document_id, ...) with ``code``, ``action`` and ``motif``.
@@ -38,3 +40,27 @@ def audit_rows(decided: DataFrame) -> DataFrame:
         F.col("action").alias("politique_appliquee"), F.col("niveau_max").alias("niveau_en_cause"),
         F.to_json(F.struct("motif", "code")).alias("details"),
     )
+
+
+def roles(matrix: DataFrame) -> DataFrame:
+    """The roles that the matrix knows."""
+    return matrix.select("role").distinct().orderBy("role")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The stored matrix; one that isn't there is empty, which refuses everything.  Read again for each batch of requests."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MATRIX)
+    return spark.read.schema(MATRIX).parquet(path)
+
+
+def metadata_rows(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """One audit row for each request (role, document_id) to see a document's metadata, which any role may: a reading
+    without policy; an unknown document is refused."""
+    d = requests.join(documents.select(F.col("id").alias("document_id"), "niveau_max", F.lit(True).alias("_known")), "document_id", "left")
+    known = F.col("_known").isNotNull()
+    return d.select(
+        F.col("role").alias("role_effectif"), "document_id", F.when(known, "LECTURE").otherwise("REFUS").alias("action"), F.lit(None).cast("string").alias("politique_appliquee"),
+        F.col("niveau_max").alias("niveau_en_cause"), F.to_json(F.struct(F.when(known, "metadonnees").otherwise("document_inconnu").alias("motif"))).alias("details"),
+    )

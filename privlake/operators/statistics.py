@@ -62,6 +62,13 @@ def failure_rate(documents: DataFrame) -> DataFrame:
     return d.withColumn("taux", F.when(F.col("total") > 0, F.round(F.col("echecs") / F.col("total"), 4)).otherwise(F.lit(0.0)))
 
 
+def headline(documents: DataFrame) -> DataFrame:
+    """(total, critiques, taux): documents, those of level 'critique', and the failures as a percentage with one decimal."""
+    d = documents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.col("niveau_max"), F.lit("")) == "critique").alias("critiques"), F.count_if(F.col("statut") == "echec").alias("e"))
+    share = F.when(F.col("total") > 0, 100 * F.col("e") / F.col("total")).otherwise(F.lit(0.0))
+    return d.select("total", "critiques", F.concat(F.format_number(share, 1), F.lit(" %")).alias("taux"))
+
+
 def last_scans(runs: DataFrame, sources: DataFrame, n: int = 30) -> DataFrame:
     """The last runs with their source's label."""
     d = runs.join(sources.select(F.col("id").alias("source_id"), "libelle"), "source_id")

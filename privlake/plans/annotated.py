@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from privlake.functions import text as tx
 from privlake.operators import catalog, detect, evaluate, merge, protect, statistics as st
-from privlake.plans import analysis
+from privlake.plans import analysis, reports
 from privlake.plans.registry import SALT, query, rows, today
 from privlake.schema import ENTITIES_DDL, LEVEL_OF_TYPE, policy_matrix
 
@@ -231,6 +231,18 @@ def detection_campaign(spark, d):
     return evaluate.campaign(r, {"regles": p, "aucune": p.limit(0)}).where("axe = 'global'").select("configuration", "axe", "cle", "vp", "fn")
 
 
+@query(f"""WITH {_COUNTS}, s AS (SELECT 'type' AS axe, 'EMAIL' AS cle, n - m AS vp, 0 AS fp, m AS fn FROM n UNION ALL SELECT 'type', 'TELEPHONE', n - w, 0, w FROM n UNION ALL SELECT 'type', 'PLAQUE_IMMAT', 0, w, 0 FROM n
+  UNION ALL SELECT 'type', x, n, 0, 0 FROM n, (VALUES ('IBAN'), ('CARTE_BANCAIRE'), ('DATE_NAISSANCE'), ('NUM_PIECE_IDENTITE')) AS v(x)
+  UNION ALL SELECT 'niveau', 'critique', 3 * n, 0, 0 FROM n UNION ALL SELECT 'niveau', 'eleve', 2 * n - w, 0, w FROM n UNION ALL SELECT 'niveau', 'moyen', n - m, w, m FROM n UNION ALL SELECT 'global', 'GLOBAL', 6 * n - m - w, w, m + w FROM n),
+r AS (SELECT axe, cle, CASE WHEN vp + fp = 0 THEN 0 ELSE vp / (vp + fp) END AS p, CASE WHEN vp + fn = 0 THEN 0 ELSE vp / (vp + fn) END AS r, vp + fn AS support FROM s)
+SELECT axe, cle, printf('%.4f', p::double) AS precision, printf('%.4f', r::double) AS rappel, printf('%.4f', (CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END)::double) AS f1,
+printf('%.4f', (CASE WHEN p + r = 0 THEN 0 ELSE 5 * p * r / (4 * p + r) END)::double) AS f2, support::bigint AS support FROM r""")
+def score_report(spark, d):
+    """The report's table: types, levels, the whole."""
+    r, p = catalog.materialise(_reference(spark, d)), catalog.materialise(_found(spark, d))
+    return reports.score_table(evaluate.scores(evaluate.outcomes(r, p, evaluate.match(r, p))))
+
+
 @query(f"""WITH {_COUNTS} SELECT (6 * n - m - w)::bigint AS memes_types, (6 * n - m)::bigint AS tous_types FROM n""")
 def values_matched(spark, d):
     """Matching by similar values, with equal types and with any."""

@@ -259,3 +259,35 @@ def content_types(spark, d):
     said = F.when(n == 3, "Text/CSV; charset=utf-8").when(n == 0, "text/plain").otherwise(F.lit("application/octet-stream"))
     name = F.when(n == 4, F.concat(F.lit("p"), "page_id", F.lit(".JSON"))).otherwise(F.concat(F.lit("p"), "page_id"))
     return rows(spark, d, "pages").select("page_id", content_type(content, said, name).alias("type_mime"))
+
+
+@query("SELECT * FROM (VALUES ('admin_systeme'), ('conformite'), ('operations'), ('service_partenaire'), ('support_n1'), ('support_n2')) AS r(role)")
+def known_roles(spark, d):
+    return policy.roles(policy_matrix(spark))
+
+
+@query("""SELECT count(*)::bigint AS total, count(*) FILTER (WHERE doc_id % 6 = 0)::bigint AS critiques, printf('%.1f', 100 * count(*) FILTER (WHERE doc_id % 3 = 0) / count(*)) || ' %' AS taux FROM documents""")
+def headline_figures(spark, d):
+    docs = _documents(spark, d).withColumn("niveau_max", F.when(F.col("chemin_source").cast("long") % 6 == 0, "critique"))
+    return st.headline(docs)
+
+
+@query("""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'REFUS' ELSE 'LECTURE' END AS action, CASE WHEN o_custkey % 3 = 0 THEN '{"motif":"document_inconnu"}' ELSE '{"motif":"metadonnees"}' END AS details, count(*)::bigint AS n FROM orders GROUP BY ALL""")
+def metadata_views(spark, d):
+    """Every order asks for a customer's metadata; a third of the customers aren't in the catalogue."""
+    asked = rows(spark, d, "orders").select(F.lit("support_n1").alias("role"), F.col("o_custkey").alias("document_id"))
+    docs = rows(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.lit("moyen").alias("niveau_max"))
+    return policy.metadata_rows(asked, docs).groupBy("action", "details").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'd' || doc_id AS id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars END, -1)::bigint AS taille, doc_id % 2 = 1 AS inconnue FROM documents")
+def document_listing(spark, d):
+    """Sizes that aren't known stay null in a listing."""
+    docs = _documents(spark, d).withColumn("taille_octets", F.when(F.col("chemin_source").cast("long") % 2 == 0, F.col("taille_octets")))
+    return catalog.listing(docs).select("id", F.coalesce("taille", F.lit(-1)).alias("taille"), F.col("taille").isNull().alias("inconnue"))
+
+
+@query("SELECT c_name AS identifiant, 'role' || c_nationkey AS role_code FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer WHERE c_acctbal > 0)")
+def account_role(spark, d):
+    users = rows(spark, d, "customer").select("c_custkey", F.col("c_name").alias("identifiant"), F.concat(F.lit("role"), "c_nationkey").alias("role_code"), (F.col("c_acctbal") > 0).alias("actif"))
+    return catalog.account(users, users.where("actif").agg(F.max_by("identifiant", "c_custkey")).first()[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from privlake.schema import rank
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
@@ -17,6 +19,14 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, cells[1:])])
 
 
+def score_table(scores: DataFrame) -> DataFrame:
+    """Scores as a report has them: types by name, then levels by rank, then the whole; figures with four decimals."""
+    place = F.when(F.col("axe") == "type", 0).when(F.col("axe") == "niveau", 1).otherwise(2)
+    figures = [F.format_string("%.4f", F.col(c)).alias(c) for c in ("precision", "rappel", "f1", "f2")]
+    d = scores.select("axe", "cle", *figures, F.col("support").cast("long").alias("support"), place.alias("_p"), F.when(F.col("axe") == "niveau", rank(F.col("cle"))).otherwise(0).alias("_r"))
+    return d.orderBy("_p", "_r", "cle").drop("_p", "_r")
+
+
 def write(df: DataFrame, path: str, kind: str = "csv") -> None:
     """One folder of CSV (with a header) or JSON lines."""
     w = df.write.mode("overwrite")

@@ -145,3 +145,14 @@ def test_corpus_tables_of_an_empty_corpus(spark):
     from privlake.schema import ANNOTATION
 
     assert stats.corpus_tables(spark.createDataFrame([], ANNOTATION)).count() == 0
+
+
+def test_a_missing_matrix_refuses(spark, tmp_path):
+    from privlake.operators import policy
+    from privlake.schema import policy_matrix
+
+    docs = spark.createDataFrame([("d", "analyse", "faible")], "id string, statut string, niveau_max string")
+    asked = spark.createDataFrame([("conformite", "d")], "role string, document_id string")
+    assert policy.decide(asked, docs, policy.load(spark, str(tmp_path / "absent"))).first().code == 403
+    policy_matrix(spark).write.parquet(str(tmp_path / "matrix"))
+    assert policy.decide(asked, docs, policy.load(spark, str(tmp_path / "matrix"))).first().code == 200
