@@ -493,12 +493,18 @@ def resolve(sets: list, pairs: list[tuple[int, int]], groups: list[tuple[int, li
 
 def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity, path: str, block_elements: int, group_elements: int) -> DataFrame:
     """Links (u, v) from ``sets`` (sid, n, shingles, comp), ``pairs`` and ``ties`` (a, b; a the pivot)."""
-    weight = sets.groupBy("comp").agg(F.sum("n").alias("n")).select("comp", F.ceil(F.col("n") / block_elements).cast("int").alias("salts"))
-    where = stored(sets.select("sid", "comp").join(weight, "comp").select("sid", "comp", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt")), f"{path}/blocks")
+    # components of more than a block: one for each ``block_elements`` of all sets at most
+    large = sets.groupBy("comp").agg(F.sum("n").alias("n")).where(F.col("n") > block_elements)
+    large = F.broadcast(stored(large.select("comp", F.ceil(F.col("n") / block_elements).cast("int").alias("salts")), f"{path}/large"))
+    salt = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"), F.lit(0))
+    where = sets.select("sid", "comp").join(large, "comp", "left").select("sid", "comp", salt.alias("salt"))
     edges = pairs.select("a", "b", F.lit(False).alias("tie")).unionByName(ties.select("a", "b", F.lit(True).alias("tie")))
     edges = stored(edges.join(where.toDF("b", "of", "part"), "b").select("of", "part", "a", "b", "tie"), f"{path}/edges_of_blocks")
-    need = edges.select("of", "part", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    block = need.join(sets.select("sid", "shingles"), "sid").select(F.col("of").alias("comp"), F.col("part").alias("salt"), "sid", "shingles")
+    # a set is where its component is, or, if that is split, in each block that has an edge of it
+    whole = sets.join(large, "comp", "left_anti").select("comp", F.lit(0).alias("salt"), "sid", "shingles")
+    need = edges.join(large.withColumnRenamed("comp", "of"), "of", "left_semi").select("of", "part", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    split = need.join(sets.join(large, "comp", "left_semi").select("sid", "shingles"), "sid").select(F.col("of").alias("comp"), F.col("part").alias("salt"), "sid", "shingles")
+    block = whole.unionByName(split)
 
     def run(left, right):
         import numpy as np
@@ -523,7 +529,7 @@ def _resolved(sets: DataFrame, pairs: DataFrame, ties: DataFrame, similarity, pa
     links = found.where("NOT apart").select("u", "v")
     # in groups that are split over blocks
     rest = found.where("apart").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    spread = ties.join(where.toDF("b", "comp", "salt"), "b").groupBy("a").agg(F.min("salt").alias("x"), F.max("salt").alias("y")).where("x < y").select("a")
+    spread = edges.where("tie").groupBy("a").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("a")
     rest = stored(rest.join(spread, "a", "left_semi"), f"{path}/rest")
     return links if rest.isEmpty() else links.unionByName(_across(sets, ties, rest, similarity, group_elements))
 
