@@ -27,7 +27,7 @@ def match(reference: DataFrame, predicted: DataFrame, strict: bool = True) -> Da
         number = lambda d, c: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(c)))
         return number(reference, "i").join(number(predicted, "j"), [*keys, "_n"]).select("doc", "i", "j")
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key, left, right):
         free, out = right.sort_values("j").to_dict("records"), []
         for r in left.sort_values("i").itertuples():
             hit = next((p for p in free if p["type_entite"] == r.type_entite and p["debut"] < r.fin and r.debut < p["fin"]), None)
@@ -42,7 +42,7 @@ def match(reference: DataFrame, predicted: DataFrame, strict: bool = True) -> Da
 def greedy(candidates: DataFrame) -> DataFrame:
     """(doc, i, j) from candidates (doc, i, j, score): best score first, then i, then j; each i and j once."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         used_i, used_j, out = set(), set(), []
         for r in pdf.sort_values(["score", "i", "j"], ascending=[False, True, True]).itertuples():
             if r.i not in used_i and r.j not in used_j:
