@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from privlake.llm.common import drop_kept, shared_dir, stored, table
+from privlake.llm.common import batches_of, drop_kept, shared_dir, stored, table
 from privlake.llm.components import components
 
 N = 5
@@ -55,6 +55,7 @@ BITS_A_SET, MOST_BITS = 32, 1 << 28
 #: Elements of a block of a component, and of a block that members beside their pivot are compared with.
 BLOCK_ELEMENTS, GROUP_ELEMENTS = 2_000_000, 4_000_000
 DOCS_A_BLOB = 2000
+BATCH_ROWS = 2000
 
 # --- sets ---
 
@@ -593,6 +594,11 @@ def _wanted(sets: DataFrame, wanted) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, block_elements: int = BLOCK_ELEMENTS, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    with batches_of(docs.sparkSession, BATCH_ROWS):  # rows of whole sets
+        return _near_duplicates(docs, similarity, block_elements, group_elements)
+
+
+def _near_duplicates(docs: DataFrame, similarity: tuple[int, int], block_elements: int, group_elements: int) -> DataFrame:
     import numpy as np
 
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
