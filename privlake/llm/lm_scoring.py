@@ -480,7 +480,7 @@ def _rows(docs: DataFrame, head, path: str) -> DataFrame:
                 doc = np.repeat(np.arange(batch.num_rows), lengths)
                 inside = codes >= 0
                 at, by = codes[inside], doc[inside]
-                total = lambda x: np.bincount(by, x, batch.num_rows)  # noqa: E731, B023
+                total = lambda x: np.bincount(by, x, batch.num_rows).astype(float)  # noqa: E731, B023
                 keys = key + np.arange(batch.num_rows)
                 key += batch.num_rows
                 yield out(
@@ -656,7 +656,7 @@ def _phrases(segments: DataFrame, head, parts: int) -> DataFrame:
             mask = np.zeros(len(anchor), dtype=np.uint64)
             np.bitwise_or.at(mask, rows[hit], np.uint64(1) << depth[hit].astype(np.uint64))
             code = codes[start[rows[hit]] + depth[hit]].astype(np.int64)
-            told = np.bincount(rows[hit], np.where(code < len(of), of[np.minimum(code, len(of) - 1)] if len(of) else 0.0, 0.0), len(anchor))
+            told = np.bincount(rows[hit], np.where(code < len(of), of[np.minimum(code, len(of) - 1)] if len(of) else 0.0, 0.0), len(anchor)).astype(float)  # without a hit numpy counts in whole numbers
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(anchor)))]).astype(np.int32) * np.int32(2)
             data = (2 * cell + hit).astype("<u2").tobytes()
             found.append((pa.array(mask.view(np.int64)), pa.array(told), pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
