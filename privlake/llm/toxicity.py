@@ -23,9 +23,11 @@ labelled rows of both classes every score is 0.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -137,7 +139,9 @@ class Model:
                 spared.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
-        hits = [w for s, w in best.items() if not any(x <= s < y for x, y in spared)]
+        spared.sort()
+        reach = list(accumulate((y for _, y in spared), max))
+        hits = [w for s, w in best.items() if not ((k := bisect_left(spared, (s + 1,))) and s < reach[k - 1])]
         total, words = sum(hits), folded.count(" ") - 1
         import math
 
