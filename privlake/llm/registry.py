@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from privlake.llm import decontamination, jaccard_join, lm_scoring, packing, pii, quality_rules, secret_scan, token_output, toxicity, url_filter
+from privlake.llm import centroid_clustering, decontamination, fingerprint, jaccard_join, lm_scoring, packing, pii, quality_rules, secret_scan, token_output, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_output": token_output.op10_token_output,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_fingerprint": fingerprint.op12_fingerprint,
+    "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +26,5 @@ ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
     "op7_benchmark_decontamination": decontamination.ORACLE,
     "op8_quality_rules": quality_rules.oracle(),
+    "op13_centroid_clustering": centroid_clustering.oracle(),
 }
