@@ -115,6 +115,15 @@ def drive(spark: SparkSession, configuration: dict) -> DataFrame:
     return spark.read.format(DriveSource.name()).options(client=configuration["client"], dossier=configuration["dossier"]).load()
 
 
+def write_drive(files: DataFrame, configuration: dict) -> None:
+    """Write rows (cle, content) below a folder of a drive, all or none."""
+    from privlake.sources.drive import DriveSource
+
+    files.sparkSession.dataSource.register(DriveSource)
+    d = files.select("cle", "content").write.format(DriveSource.name()).options(client=configuration["client"], dossier=configuration["dossier"])
+    d.mode("append").save()
+
+
 def _bucket(c: dict) -> str:
     return f"s3a://{c['bucket']}/{c.get('prefixe', '')}"
 
@@ -122,7 +131,7 @@ def _bucket(c: dict) -> str:
 CONNECTORS: dict[str, Connector] = {
     "local": Connector(lambda spark, c: list_files(spark, c["chemin"]), lambda df, c: write_files(df, c["chemin"])),
     "s3": Connector(lambda spark, c: list_files(spark, _bucket(c)).where("NOT endswith(cle, '/')"), lambda df, c: write_files(df, _bucket(c).replace("s3a://", "s3://"))),
-    "gdrive": Connector(drive),
+    "gdrive": Connector(drive, write_drive),
 }
 
 

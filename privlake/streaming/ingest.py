@@ -34,15 +34,18 @@ def scan(snapshot: DataFrame, resources: DataFrame, seen_at) -> tuple[DataFrame,
     return new, changed, outcome.select(*keys, F.when(F.col("lost"), "echec").otherwise(F.coalesce("r", F.lit("inchange"))).alias("resultat"))
 
 
-def stream(listings: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str):
-    """A query over a stream of resources: each micro-batch is scanned against the snapshot that ``load`` gives, and
-    ``store`` gets the new one with the batch's number (a batch that comes again replaces its own)."""
+def stream(listings: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, DataFrame, DataFrame, int], None], checkpoint: str):
+    """A query over a stream of resources: each micro-batch is scanned against the snapshot that ``load`` gives.
+
+    ``store`` gets the new snapshot, the changed documents (to be queued), the outcome of each resource (to be counted) and
+    the batch's number; a batch that comes again has its first time and number, and replaces its own.
+    """
+    timed = listings.withColumn("_vu_le", F.current_timestamp())  # of the batch, kept in the stream's log
 
     def batch(df: DataFrame, number: int) -> None:
-        new, _, _ = scan(load(), df, None)
-        store(new, number)
+        store(*scan(load(), df, F.col("_vu_le")), number)
 
-    return listings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return timed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

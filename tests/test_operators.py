@@ -350,6 +350,8 @@ def test_stream_of_listings(spark, tmp_path):
     rows = resource(spark, [("a.txt", b"1"), ("b.txt", b"2")])
     rows.write.parquet(str(tmp_path / "in"))
     stored = {}
-    q = ingest.stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lambda: spark.createDataFrame([], DOCUMENT), lambda d, n: stored.update({n: d.count()}), str(tmp_path / "ck"))
+    keep = lambda new, changed, outcome, n: stored.update({n: (new.collect(), changed.count(), sorted(r.resultat for r in outcome.collect()))})
+    q = ingest.stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lambda: spark.createDataFrame([], DOCUMENT), keep, str(tmp_path / "ck"))
     q.awaitTermination(120)
-    assert list(stored.values()) == [2]
+    (new, changed, outcome), = stored.values()
+    assert len(new) == changed == 2 and outcome == ["nouveau", "nouveau"] and all(r.date_decouverte is not None for r in new)
