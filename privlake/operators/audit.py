@@ -33,55 +33,134 @@ def link_hash(previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-def append(rows: DataFrame, last_id: int = 0, last_hash: str | None = None) -> DataFrame:
-    """``rows`` (with ``ordre``) as chained rows.  Each hash needs the one before: a single ordered pass, for the batch
-    that is appended only."""
-    columns = ["ordre", "horodatage", *_HASHED, "niveau_en_cause", "adresse_ip", "details"]
-    schema = (
-        "id bigint, horodatage timestamp, utilisateur_id string, role_effectif string, document_id string, action string, politique_appliquee string, "
-        "niveau_en_cause string, adresse_ip string, details string, empreinte_precedente string, empreinte string"
-    )
+_LOG = (
+    "id bigint, horodatage timestamp, utilisateur_id string, role_effectif string, document_id string, action string, politique_appliquee string, "
+    "niveau_en_cause string, adresse_ip string, details string, empreinte_precedente string, empreinte string"
+)
+_GIVEN = ["ordre", "horodatage", *_HASHED, "niveau_en_cause", "adresse_ip", "details"]
+
+
+def append_by(rows: DataFrame, by: str, heads: DataFrame | None = None) -> DataFrame:
+    """``rows`` (with ``ordre`` and the shard ``by``) as rows of one chain for each shard, after ``heads`` (by, id, empreinte).
+
+    A hash needs the one before, so a chain is one ordered pass; chains are dealt over the tasks, and a task streams
+    its sorted rows, holding one.  Ids count within a shard.
+    """
+    kind = dict(rows.dtypes)[by]
+    head = F.struct(F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("empreinte"))
+    d = rows.select(F.col(by).alias("_by"), *_GIVEN)
+    if heads is None:
+        d = d.withColumn("_head", head)
+    else:
+        h = heads.select(F.col(by).alias("_h"), F.struct("id", "empreinte").alias("_head"))
+        d = d.join(h, F.col("_by").eqNullSafe(F.col("_h")), "left").drop("_h").withColumn("_head", F.coalesce("_head", head))
 
     def run(batches):
         import hashlib
 
         import pandas as pd
 
-        previous, n = last_hash, last_id
+        at = object()
+        previous, n = None, 0
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
+                shard = None if pd.isna(r[0]) else r[0]
+                if shard != at:
+                    at, previous, n = shard, r.head_hash, int(r.head_id)
+                    previous = None if pd.isna(previous) else previous
                 text = lambda x: "" if pd.isna(x) else str(x)
                 when = r.horodatage.strftime("%Y-%m-%dT%H:%M:%S.") + f"{r.horodatage.microsecond // 1000:03d}Z"
                 parts = [previous or GENESIS, *(text(getattr(r, c)) for c in _HASHED), when]
                 digest, n = hashlib.sha256("|".join(parts).encode()).hexdigest(), n + 1
-                out.append((n, r.horodatage, *(getattr(r, c) for c in _HASHED), r.niveau_en_cause, r.adresse_ip, r.details, previous, digest))
+                out.append((shard, n, r.horodatage, *(getattr(r, c) for c in _HASHED), r.niveau_en_cause, r.adresse_ip, r.details, previous, digest))
                 previous = digest
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(out, columns=[by, *(c.split()[0] for c in _LOG.split(", "))])
+
+    d = d.select("_by", *_GIVEN, F.col("_head.id").alias("head_id"), F.col("_head.empreinte").alias("head_hash"))
+    d = d.repartition("_by").sortWithinPartitions("_by", "ordre").withColumnRenamed("_by", "partie")
+    return d.mapInPandas(run, f"`{by}` {kind}, {_LOG}")
 
-    return rows.select(*columns).coalesce(1).sortWithinPartitions("ordre").mapInPandas(run, schema)
 
+def append(rows: DataFrame, last_id: int = 0, last_hash: str | None = None) -> DataFrame:
+    """``rows`` (with ``ordre``) as chained rows of one log.  Each hash needs the one before: a single ordered pass, for the batch
+    that is appended only."""
+    heads = rows.sparkSession.createDataFrame([("", last_id, last_hash)], "journal string, id long, empreinte string")
+    return append_by(rows.withColumn("journal", F.lit("")), "journal", heads).drop("journal")
+
+
+#: Attempts of an append while other writers move the log's head, and the wait after the n-th, in n times so many seconds.
+TRIES, WAIT = 5, 0.01
 
-def verify(log: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row (intact, premiere_rupture, nb_entrees): the first row that doesn't follow, and the rows up to it.
 
-    One shuffle; ids are unique, so a block has at most ``block`` rows.  An empty log is intact.
+class HeadMoved(RuntimeError):
+    """Other writers moved the head at each of the attempts."""
+
+
+def append_to(path: str, rows: DataFrame, tries: int = TRIES) -> int:
+    """Append ``rows`` to the stored log below ``path``, chained to its head; returns the number of the new part.
+
+    Parts are numbered.  A part is written aside and takes the next number by a rename that fails if another writer has
+    taken it: the head has moved, so the rows are chained again to the new one, up to ``tries`` times.
+    """
+    import time
+    import uuid
+
+    spark = rows.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = lambda p: jvm.Path(p)
+    context = jvm.FileContext.getFileContext(at(path).toUri(), spark._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    for n in range(1, tries + 1):
+        part, last_id, last_hash = head(spark, path)
+        aside = f"{path}/_{uuid.uuid4().hex}"
+        append(rows, last_id, last_hash).write.parquet(aside)
+        try:
+            context.rename(at(aside), at(f"{path}/part={part + 1:010d}"), plain)
+            return part + 1
+        except Exception as e:
+            context.delete(at(aside), True)
+            if "FileAlreadyExists" not in str(e):
+                raise
+            time.sleep(WAIT * n)
+    raise HeadMoved(path)
+
+
+def head(spark, path: str) -> tuple[int, int, str | None]:
+    """(number of the last part, last id, last hash); only the last part is read."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    parts = [int(x[5:]) for x in names if x.startswith("part=")]
+    if not parts:
+        return 0, 0, None
+    last = spark.read.schema(_LOG).parquet(f"{path}/part={max(parts):010d}").agg(F.max("id").alias("id"), F.max_by("empreinte", "id").alias("e")).first()
+    return (max(parts), last.id, last.e) if last.id is not None else (max(parts), 0, None)
+
+
+def verify(log: DataFrame, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """One row (intact, premiere_rupture, nb_entrees), of each shard ``by`` if one is named: the first row that doesn't follow, and
+    the rows up to it.
+
+    One shuffle; ids are unique in a shard, so a block has at most ``block`` rows.  An empty log is intact.
     """
-    d = log.select("id", "horodatage", *_HASHED, "empreinte_precedente", "empreinte").withColumn("bloc", F.floor(F.col("id") / block))
-    place = Window.partitionBy("bloc").orderBy("id")
+    keys = [by] if by else []
+    d = log.select(*keys, "id", "horodatage", *_HASHED, "empreinte_precedente", "empreinte").withColumn("bloc", F.floor(F.col("id") / block))
+    place = Window.partitionBy(*keys, "bloc").orderBy("id")
     d = d.withColumns({"precedent": F.lag("empreinte").over(place), "rang": F.row_number().over(place)})
     broken = (F.col("rang") > 1) & _breaks(F.col("precedent"))
-    blocks = d.groupBy("bloc").agg(
+    blocks = d.groupBy(*keys, "bloc").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(broken, F.struct("id", "rang"))).alias("rupture"),
         F.min(F.struct("id", "empreinte_precedente", "empreinte", "horodatage", *_HASHED)).alias("premier"), F.max_by("empreinte", "id").alias("fin"),
     )
     # from here on a row for each block
-    border = Window.orderBy("bloc")
-    e = blocks.select("n", "rupture", "bloc", "premier.*", F.lag("fin").over(border).alias("precedent"), (F.sum("n").over(border) - F.col("n")).alias("avant"))
+    border = Window.partitionBy(*keys).orderBy("bloc")
+    e = blocks.select(*keys, "n", "rupture", "bloc", "premier.*", F.lag("fin").over(border).alias("precedent"), (F.sum("n").over(border) - F.col("n")).alias("avant"))
     first = F.when(_breaks(F.col("precedent")), F.struct("id", F.lit(1).alias("rang"))).otherwise(F.col("rupture"))
-    e = e.select("n", F.when(first.isNotNull(), F.struct(first["id"].alias("id"), (F.col("avant") + first["rang"]).alias("rang"))).alias("rupture"))
-    e = e.agg(F.min("rupture").alias("r"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return e.select(F.col("r").isNull().alias("intact"), F.col("r.id").alias("premiere_rupture"), F.coalesce(F.col("r.rang"), F.col("n")).cast("long").alias("nb_entrees"))
+    e = e.select(*keys, "n", F.when(first.isNotNull(), F.struct(first["id"].alias("id"), (F.col("avant") + first["rang"]).alias("rang"))).alias("rupture"))
+    e = e.groupBy(*keys).agg(F.min("rupture").alias("r"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return e.select(*keys, F.col("r").isNull().alias("intact"), F.col("r.id").alias("premiere_rupture"), F.coalesce(F.col("r.rang"), F.col("n")).cast("long").alias("nb_entrees"))
 
 
 def _breaks(previous: Column) -> Column:

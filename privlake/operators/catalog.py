@@ -7,11 +7,12 @@ from the old one and written to a new folder by ``publish``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from privlake.schema import SOURCE, SOURCE_TYPES
+from privlake.schema import SOURCE, SOURCE_TYPES, STATUSES
 
 RETRIES, RETRY_BATCH = 3, 200
 #: Seconds before an analysis is tried again, doubled at each try.
@@ -96,15 +97,28 @@ def start_analyses(snapshot: DataFrame, queue: DataFrame, now) -> tuple[DataFram
 def finish_analyses(queue: DataFrame, outcomes: DataFrame, now) -> DataFrame:
     """``queue`` after ``outcomes`` (document_id, reussi): what succeeded, or failed for the third time, leaves it; other
     failures wait BACKOFF seconds, doubled at each try."""
-    d = queue.join(outcomes.select("document_id", "reussi"), "document_id", "left")
+    # reports of one document are one: a success counts before failures
+    outcomes = outcomes.groupBy("document_id").agg(F.max("reussi").alias("reussi"))
+    d = queue.join(outcomes, "document_id", "left")
     tries = F.col("essais") + F.col("reussi").isNotNull().cast("int")
     wait = F.make_interval(secs=F.lit(BACKOFF) * F.pow(F.lit(2), tries - 1))
     due = F.when(F.col("reussi").isNull(), F.col("pret_le")).otherwise(F.lit(now).cast("timestamp") + wait)
     return d.where("reussi IS NULL OR NOT reussi").select("document_id", tries.alias("essais"), due.alias("pret_le")).where(F.col("essais") < RETRIES)
 
 
+def one_of_each(updates: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row of each key, the greatest by ``order``: a snapshot's row meets one update at most."""
+    last = updates.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("_x"))
+    return last.select(*[F.col("_x").getField(c).alias(c) for c in updates.columns])
+
+
 def update_status(snapshot: DataFrame, updates: DataFrame) -> DataFrame:
-    """``updates`` (id, statut, motif): attempts count on failures, the reason is overwritten (500 characters), the level stays."""
+    """``updates`` (id, statut, motif): attempts count on failures, the reason is overwritten (500 characters), the level stays.
+
+    Several updates of a document in one call are one: the furthest status, the greatest reason among equals.
+    """
+    far = F.struct(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("statut")), F.coalesce("motif", F.lit("")))
+    updates = one_of_each(updates.select("id", "statut", "motif"), "id", far)
     d = snapshot.join(updates.select("id", F.col("statut").alias("_s"), F.col("motif").alias("_m"), F.lit(True).alias("_u")), "id", "left")
     u = F.col("_u").isNotNull()
     return d.withColumns({
@@ -115,7 +129,8 @@ def update_status(snapshot: DataFrame, updates: DataFrame) -> DataFrame:
 
 def replace_entities(entities: DataFrame, documents: DataFrame, fresh: DataFrame, analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, documents) after analysis: the entities of the ``analysed`` documents (id, niveau_max, date_analyse) are replaced
-    by ``fresh``, and the documents marked."""
+    by ``fresh``, and the documents marked.  Of several analyses of a document the latest counts."""
+    analysed = one_of_each(analysed.select("id", "niveau_max", "date_analyse"), "id", F.struct("date_analyse", F.coalesce("niveau_max", F.lit(""))))
     ids = analysed.select(F.col("id").alias("document_id"))
     kept = entities.join(ids, "document_id", "left_anti").select(*entities.columns).unionByName(fresh.select(*entities.columns))
     a = analysed.select("id", F.col("niveau_max").alias("_n"), F.col("date_analyse").alias("_d"), F.lit(True).alias("_a"))
@@ -161,18 +176,59 @@ def schedule_changes(running: DataFrame, active: DataFrame) -> DataFrame:
     return stop.unionByName(active.join(running, "id", "left_anti").select("id", F.lit("demarrer").alias("change")))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once below the shared folder (``spark.checkpoint.dir``, else the warehouse) and read again, where
-    several steps need it: an analysis isn't repeated, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder's name below the shared folder (``spark.checkpoint.dir``, else, in local mode, the warehouse)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written once below the shared folder and read again, where several steps need it: an analysis isn't repeated,
+    and a lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: The column that a bucketed catalogue is partitioned by.
+BUCKET = "seau"
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def create_bucketed(snapshot: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write ``snapshot`` as ``buckets`` partitions by a hash of ``key``, one file each."""
+    d = snapshot.withColumn(BUCKET, bucket_of(F.col(key), buckets))
+    d.repartition(buckets, BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def bucketed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A bucketed catalogue, with the column BUCKET; a filter on it reads the buckets it names alone."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+
+
+def change_bucketed(spark: SparkSession, path: str, schema, key: str, buckets: int, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Apply ``changes`` (rows with ``key``) to a bucketed catalogue; returns the buckets that were read and written.
+
+    The touched buckets (numbers only, at most ``buckets``) prune the read; ``apply(rows, changes)`` gives their new rows, as on a whole
+    snapshot, and dynamic overwrite replaces those partitions when the job commits: a job that fails leaves all as it was.
+    The new rows are written once before, as a bucket can't be read while it is replaced.  One writer at a time.
+    """
+    changes = materialise(changes.withColumn(BUCKET, bucket_of(F.col(key), buckets)))
+    touched = sorted(r[0] for r in changes.select(BUCKET).distinct().collect())  # numbers of buckets
+    if not touched:
+        return []
+    old = bucketed(spark, path, schema).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    new = materialise(apply(old, changes.drop(BUCKET)).select(*[f.name for f in schema.fields]))
+    out = new.withColumn(BUCKET, bucket_of(F.col(key), buckets)).repartition(len(touched), BUCKET)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
 
 
 def publish(df: DataFrame, base: str, version: int) -> str:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from privlake.operators.catalog import materialise
+from privlake.operators.selection import order_statistics
+from privlake.operators.similar import similar_join
 
 MATCHES = "doc string, i int, j int"
 TARGETS = {"rappel": 0.90, "rappel_critique": 0.95, "f2": 0.90}
@@ -66,14 +68,10 @@ def match_by_position(reference: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def match_by_value(reference: DataFrame, predicted: DataFrame, tolerance: float = 0.25, same_type: bool = True) -> DataFrame:
     """Matching by similar values (``cle`` is the comparison key) for texts whose offsets differ."""
-    from privlake.functions.text import similarity
-
-    r = reference.select("doc", "i", F.col("type_entite").alias("t"), F.col("cle").alias("x"))
-    p = predicted.select("doc", "j", F.col("type_entite").alias("u"), F.col("cle").alias("y"))
-    d = r.join(p, "doc")
-    d = d.where(F.col("t") == F.col("u")) if same_type else d
-    d = d.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= 1 - tolerance)
-    return greedy(d.select("doc", "i", "j", "score"))
+    r = reference.select("doc", "i", F.col("type_entite").alias("type"), F.col("cle").alias("valeur"))
+    p = predicted.select("doc", "j", F.col("type_entite").alias("type"), F.col("cle").alias("valeur"))
+    d = similar_join(r, p, ["doc", "type"] if same_type else ["doc"], "valeur", tolerance)
+    return greedy(d.select("gauche.doc", "gauche.i", "droite.j", "score"))
 
 
 def outcomes(reference: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
@@ -126,10 +124,14 @@ def under_classified(levels: DataFrame) -> DataFrame:
 
 
 def error_summary(rates: DataFrame, by: str = "condition", col: str = "cer") -> DataFrame:
-    """Mean, median and 90th percentile (the element at min(n - 1, int(0.9 n)) of the sorted rates) by condition."""
-    d = rates.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("moyenne"), F.median(col).alias("mediane"), F.sort_array(F.collect_list(col)).alias("_s"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 9 / 10)).cast("int")
-    return d.withColumn("p90", F.get("_s", at)).drop("_s")
+    """Count, mean, median and 90th percentile (the element at min(n - 1, int(0.9 n)) of the sorted rates) by condition, for any number of rates."""
+    n = F.col("n")
+    picked = order_statistics(rates, by, col, {
+        "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "p90": F.least(n - 1, F.floor(n * 9 / 10)),
+    })
+    means = rates.groupBy(F.col(by).alias("_by")).agg(F.avg(col).alias("moyenne"))
+    d = means.join(picked, picked[by].eqNullSafe(means["_by"]), "left")
+    return d.select(F.col("_by").alias(by), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "moyenne", ((F.col("_low") + F.col("_high")) / 2).alias("mediane"), "p90")
 
 
 def first_of_each(df: DataFrame, by: str, n: int, order: str = "position") -> DataFrame:

@@ -1,7 +1,9 @@
 """Arbitration between overlapping detections, classification, thresholds.
 
-Priority: valid first, then length, then score to six places.  Two folds over
-a document's candidates (a sorted array), inside one row: no shuffle.
+Priority: valid first, then length, then score to six places.  A document's
+candidates are one array, so arbitration needs no shuffle.  Up to ``SWEEP`` of
+them are folded natively (which copies what it has kept at every step); more go
+through a sweep in n log n steps, with the same result.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from privlake.functions.spans import overlap
-from privlake.schema import CONTEXT_TYPES, CONTEXT_WINDOW, ENTITIES_DDL, IDENTIFIER_TYPES, LEVELS, level_of, literal_map, rank
+from privlake.schema import CONTEXT_TYPES, CONTEXT_WINDOW, ENTITIES, ENTITIES_DDL, IDENTIFIER_TYPES, LEVELS, level_of, literal_map, rank
 
 _FIELDS = ("type_entite", "debut", "fin", "valeur", "score", "methode", "valide")
 
@@ -40,9 +42,19 @@ def deduplicate(entities: Column) -> Column:
     return F.aggregate(entities, F.array().cast(ENTITIES_DDL), step)
 
 
+#: Candidates of a document up to which the native folds are faster than a sweep in Python.
+SWEEP = 48
+
+
 def arbitrate(entities: Column) -> Column:
     """Deduplicated entities without those that overlap a kept one of higher priority; ties all stay; a winner over
-    another method's entity becomes 'fusion'.  In order of position."""
+    another method's entity becomes 'fusion'.  In order of position; null for a null array."""
+    many = F.size(entities) > SWEEP
+    swept = _swept()(F.when(many, entities))
+    return F.when(many, swept).otherwise(_folded(entities))
+
+
+def _folded(entities: Column) -> Column:
     order = lambda e: F.struct(
         -e["valide"].cast("int"), e["debut"] - e["fin"], -F.round(e["score"], 6), e["debut"], e["fin"], e["type_entite"]
     )
@@ -59,6 +71,12 @@ def arbitrate(entities: Column) -> Column:
     return F.transform(placed, lambda x: x["e"])
 
 
+def _swept():
+    from privlake.operators.sweep import arbitrated
+
+    return F.udf(lambda found: None if found is None else arbitrated([tuple(e) for e in found]), ENTITIES, useArrow=True)
+
+
 def classify(entities: Column) -> Column:
     """Entities with ``niveau``: by type; a person's name rises to 'eleve' near two kinds of identifiers."""
 
