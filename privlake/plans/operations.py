@@ -261,11 +261,6 @@ def content_types(spark, d):
     return rows(spark, d, "pages").select("page_id", content_type(content, said, name).alias("type_mime"))
 
 
-@query("SELECT * FROM (VALUES ('admin_systeme'), ('conformite'), ('operations'), ('service_partenaire'), ('support_n1'), ('support_n2')) AS r(role)")
-def known_roles(spark, d):
-    return policy.roles(policy_matrix(spark))
-
-
 @query("""SELECT count(*)::bigint AS total, count(*) FILTER (WHERE doc_id % 6 = 0)::bigint AS critiques, printf('%.1f', 100 * count(*) FILTER (WHERE doc_id % 3 = 0) / count(*)) || ' %' AS taux FROM documents""")
 def headline_figures(spark, d):
     docs = _documents(spark, d).withColumn("niveau_max", F.when(F.col("chemin_source").cast("long") % 6 == 0, "critique"))

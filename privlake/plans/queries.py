@@ -211,11 +211,6 @@ def encrypted_round_trip(spark, d):
 _MATRIX = "(VALUES " + ", ".join(f"('{r}', '{n}', '{a}', {k})" for r, acts in POLICY.items() for k, (n, a) in enumerate(zip(LEVELS, acts, strict=True))) + ") AS m(role, niveau, action, rang)"
 
 
-@query(f"SELECT role, niveau, action FROM {_MATRIX}")
-def access_matrix(spark, d):
-    return policy.listing(policy_matrix(spark))
-
-
 def _status(n: Column) -> Column:
     return F.when(n % 10 == 3, "echec").when(n % 10 == 7, "decouvert").otherwise("analyse")
 
@@ -256,18 +251,26 @@ def _log_rows(spark, d) -> DataFrame:
     )
 
 
-@query("SELECT true AS intact, NULL::bigint AS premiere_rupture, count(*)::bigint AS nb_entrees FROM events")
+def _daily_log(spark, d) -> DataFrame:
+    """A stored log with a chain for each day."""
+    return catalog.materialise(audit.append_by(_log_rows(spark, d).withColumn("jour", F.date_format("horodatage", "yyyy-MM-dd")), "jour"))
+
+
+_DAYS = "SELECT event_type, strftime(ts, '%Y-%m-%d') AS jour, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS id FROM events"
+
+
+@query(f"SELECT jour, true AS intact, NULL::bigint AS premiere_rupture, count(*)::bigint AS nb_entrees FROM ({_DAYS}) GROUP BY jour")
 def audit_chain(spark, d):
-    return audit.verify(catalog.materialise(audit.append(_log_rows(spark, d))))
+    return audit.verify(_daily_log(spark, d), by="jour")
 
 
-@query("""SELECT false AS intact, min(id)::bigint AS premiere_rupture, min(id)::bigint AS nb_entrees FROM
-(SELECT event_type, row_number() OVER (ORDER BY event_id) AS id FROM events) WHERE event_type = (SELECT max(event_type) FROM events) AND id > 100""")
+@query(f"""SELECT jour, count(r) = 0 AS intact, min(r)::bigint AS premiere_rupture, coalesce(min(r), count(*))::bigint AS nb_entrees FROM
+(SELECT jour, CASE WHEN event_type = (SELECT max(event_type) FROM events) AND id > 100 THEN id END AS r FROM ({_DAYS})) GROUP BY jour""")
 def audit_chain_tampered(spark, d):
-    log = catalog.materialise(audit.append(_log_rows(spark, d)))
+    log = _daily_log(spark, d)
     last = log.agg(F.max("action").alias("m"))
-    changed = log.join(F.broadcast(last), F.lit(True)).withColumn("utilisateur_id", F.when((F.col("action") == F.col("m")) & (F.col("id") > 100), "x").otherwise(F.col("utilisateur_id")))
-    return audit.verify(changed.drop("m"))
+    changed = log.join(F.broadcast(last), F.lit(True)).withColumn("utilisateur_id", F.when((F.col("action") == F.col("m")) & (F.col("id") > 100), "x").otherwise(F.col("utilisateur_id")))  # one row
+    return audit.verify(changed.drop("m"), by="jour")
 
 
 @query("SELECT event_id AS id, user_id::varchar AS utilisateur_id, event_type AS action FROM events ORDER BY event_id DESC LIMIT 50 OFFSET 50")
@@ -454,11 +457,11 @@ def similar_values(spark, d):
 
 @query("""WITH k AS (SELECT item_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS c FROM benchmark),
 t AS (SELECT item_id, list_distinct(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) AS g FROM k),
-n AS (SELECT item_id, g, lead(g) OVER (ORDER BY item_id) AS h FROM t)
-SELECT item_id, len(list_intersect(g, h))::int AS communs, len(g)::int AS trigrammes FROM n WHERE h IS NOT NULL""")
+n AS (SELECT t.item_id, t.g, u.g AS h FROM t JOIN t u ON u.item_id = t.item_id + 1)
+SELECT item_id, len(list_intersect(g, h))::int AS communs, len(g)::int AS trigrammes FROM n""")
 def trigram_coverage(spark, d):
     k = _t(spark, d, "benchmark").select("item_id", tx.trigrams(tx.comparison_key(F.col("text"), ascii_only=True)).alias("g"))
-    n = k.withColumn("h", F.lead("g").over(Window.orderBy("item_id"))).where("h IS NOT NULL")  # the benchmark is a small table
+    n = k.join(k.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h")), "item_id")
     return n.select("item_id", F.size(F.array_intersect("g", "h")).alias("communs"), F.size("g").alias("trigrammes"))
 
 
@@ -483,4 +486,4 @@ def level_ranks(spark, d):
     return d0.withColumn("rang", rank(F.col("niveau")))
 
 
-from privlake.plans import annotated, operations  # noqa: E402, F401  they register their queries
+from privlake.plans import annotated, corpus, mechanisms, operations  # noqa: E402, F401  they register their queries
