@@ -90,8 +90,16 @@ def to_source(position: Column, offsets: Column) -> Column:
 
 
 def from_source(offset: Column, offsets: Column) -> Column:
-    """First normalised position whose source offset is at least ``offset``."""
-    return F.size(F.filter(offsets, lambda o: o < offset))
+    """First normalised position whose source offset is at least ``offset``: a binary search, as the table doesn't fall."""
+    whole = F.struct(F.lit(0).alias("lo"), F.size(offsets).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(offsets, mid) < offset
+        more = s["lo"] < s["hi"]
+        return F.struct(F.when(more & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(more & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), whole, halve, lambda s: s["lo"])
 
 
 def compose(inner: Column, outer: Column) -> Column:

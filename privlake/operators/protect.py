@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from privlake.functions.spans import with_boxes
+from privlake.functions.spans import folded, with_boxes
 from privlake.functions.text import canonical, canonical_all, encrypt, mask_value, token, value_hash
 
 
@@ -12,28 +12,28 @@ def rewrite(text: Column, entities: Column, replacement, union: bool = False) ->
     """``text`` with every span replaced, from the end; a span that reaches into a later one already replaced is left.
 
     ``replacement`` maps an entity to a column.  ``union`` instead joins overlapping spans under one
-    replacement, so no part of them stays readable.
+    replacement, so no part of them stays readable.  The spans that count are told first, then the text is cut once at each.
     """
     size = F.length(text)
-    ordered = F.array_sort(F.transform(entities, lambda e, i: F.struct((-e["debut"]).alias("k"), i.alias("i"), e["debut"].alias("a"), e["fin"].alias("b"), replacement(e).alias("r"))))
+    kind = "array<struct<a:int,b:int,r:string>>"
+    one = lambda x: F.struct(x["a"].cast("int").alias("a"), x["b"].cast("int").alias("b"), x["r"].alias("r"))
+    rows = lambda e: (e["debut"].alias("a"), e["fin"].alias("b"), replacement(e).alias("r"))
     if union:
-        span = F.array_sort(F.transform(entities, lambda e: F.struct(e["debut"].alias("a"), e["fin"].alias("b"), replacement(e).alias("r"))))
-        state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-        def forward(acc: Column, x: Column) -> Column:
-            fresh = x["a"] >= acc["at"]
-            head = F.when(fresh, F.concat(F.substr(text, acc["at"] + 1, x["a"] - acc["at"]), x["r"])).otherwise(F.lit(""))
-            return F.struct(F.greatest(acc["at"], x["b"]).alias("at"), F.concat(acc["out"], head).alias("out"))
-
-        return F.aggregate(span, state, forward, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    state = F.struct((size + 1).alias("end"), text.alias("out"))
-
-    def backward(acc: Column, x: Column) -> Column:
-        ok = (x["a"] < x["b"]) & (x["b"] <= size) & (x["b"] <= acc["end"])
-        new = F.concat(F.substr(acc["out"], F.lit(1), x["a"]), x["r"], F.substr(acc["out"], x["b"] + 1))
-        return F.struct(F.when(ok, x["a"]).otherwise(acc["end"]).alias("end"), F.when(ok, new).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(ordered, state, backward, lambda acc: acc["out"])
+        ordered = F.array_sort(F.transform(entities, lambda e: F.struct(*rows(e))))
+        # a span that lies in what is already replaced moves the end only: its stretch is empty
+        step = lambda at, x: (F.greatest(at, x["b"]), F.struct(F.greatest(at, x["a"]).cast("int").alias("a"), F.greatest(at, x["b"]).cast("int").alias("b"), F.when(x["a"] >= at, x["r"]).otherwise("").alias("r")), F.lit(True))
+        kept = folded(ordered, F.lit(0), step, kind)
+    else:
+        ordered = F.array_sort(F.transform(entities, lambda e, i: F.struct((-e["debut"]).alias("k"), i.alias("i"), *rows(e))))
+        ok = lambda at, x: (x["a"] < x["b"]) & (x["b"] <= size) & (x["b"] <= at)
+        kept = F.reverse(folded(ordered, size + 1, lambda at, x: (F.when(ok(at, x), x["a"]).otherwise(at), one(x), ok(at, x)), kind))
+
+    def cut(spans: Column) -> Column:
+        before = lambda i: F.coalesce(F.when(i > 0, F.get(spans, i - 1)["b"]), F.lit(0))
+        pieces = F.transform(spans, lambda x, i: F.concat(F.substr(text, before(i) + 1, F.greatest(x["a"] - before(i), F.lit(0))), x["r"]))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, before(F.size(spans)) + 1))
+
+    return F.when(entities.isNotNull(), F.element_at(F.transform(F.array(kept), cut), 1))
 
 
 def mask(text: Column, entities: Column) -> Column:

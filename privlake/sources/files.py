@@ -16,6 +16,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from privlake.functions.spans import folded
 from privlake.functions.text import decode_bytes
 
 # --- fixed values: content types ---
@@ -247,16 +248,19 @@ def assemble_words(words: DataFrame) -> DataFrame:
     line end, pages by two; with each word's place and the mean confidence."""
     row = F.struct("page", "ligne", "rang", "mot", "confiance")
     d = words.groupBy("doc").agg(F.sort_array(F.collect_list(row)).alias("w"), F.avg("confiance").alias("confiance"))
-    state = F.struct(F.lit("").alias("t"), F.array().cast("array<struct<debut:int,fin:int,page:int>>").alias("b"), F.lit(-1).cast("int").alias("p"), F.lit(-1).cast("int").alias("l"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.when(a["p"] == -1, "").when(x["page"] != a["p"], "\n\n").when(x["ligne"] != a["l"], "\n").otherwise(" ")
-        start = F.length(a["t"]) + F.length(gap)
-        box = F.array(F.struct(start.alias("debut"), (start + F.length(x["mot"])).alias("fin"), x["page"].cast("int").alias("page")))
-        return F.struct(F.concat(a["t"], gap, x["mot"]).alias("t"), F.concat(a["b"], box).alias("b"), x["page"].cast("int").alias("p"), x["ligne"].cast("int").alias("l"))
-
-    d = d.withColumn("a", F.aggregate("w", state, step))
-    return d.select("doc", F.col("a.t").alias("texte"), F.col("a.b").alias("boites"), "confiance")
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("l"))
+
+    def step(a: Column, x: Column) -> tuple[Column, Column, Column]:
+        page, line = x["page"].cast("int"), x["ligne"].cast("int")
+        gap = F.when(a["p"].isNull(), "").when(page != a["p"], "\n\n").when(line != a["l"], "\n").otherwise(" ")
+        begin = a["n"] + F.length(gap)
+        end = begin + F.length(x["mot"])
+        one = F.struct(F.concat(gap, x["mot"]).alias("t"), begin.alias("debut"), end.alias("fin"), page.alias("page"))
+        return F.struct(end.alias("n"), page.alias("p"), line.alias("l")), one, F.lit(True)
+
+    d = d.withColumn("a", folded(F.col("w"), start, step, "array<struct<t:string,debut:int,fin:int,page:int>>"))
+    boxes = F.transform("a", lambda x: F.struct(x["debut"].alias("debut"), x["fin"].alias("fin"), x["page"].alias("page")))
+    return d.select("doc", F.array_join(F.transform("a", lambda x: x["t"]), "").alias("texte"), boxes.alias("boites"), "confiance")
 
 
 def read_annotations(spark: SparkSession, path: str, partition: str | None = None) -> DataFrame:
