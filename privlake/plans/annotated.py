@@ -7,6 +7,8 @@ that both engines know.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from privlake.functions import text as tx
@@ -213,15 +215,19 @@ def scores_by_condition(spark, d):
     return s.select("condition", "niveau", "vp", "fp", "fn", e6("rappel"), e6("precision"))
 
 
-@query("SELECT 0.0::double AS pire_rappel, 1.0::double AS meilleur, false AS rappel_atteint, true AS rappel_critique_atteint FROM customer LIMIT 1")
+@query("""WITH k AS (SELECT c_custkey % 4 AS c, count(*) AS n, count(*) FILTER (WHERE c_custkey % 3 = 0) AS m, count(*) FILTER (WHERE c_custkey % 5 = 0) AS w FROM customer GROUP BY ALL),
+r AS (SELECT (2 * n - w) / (2 * n) AS eleve, (n - m) / n AS moyen FROM k)
+SELECT round(min(eleve) * 1000000)::bigint AS eleve_e6, round(min(moyen) * 1000000)::bigint AS moyen_e6, min(eleve) >= 0.95 AS rappel_critique_atteint, min(moyen) >= 0.9 AS rappel_atteint FROM r""")
 def recall_targets(spark, d):
-    """The worst critical recall over two conditions, and whether a campaign's figures reach the targets."""
+    """The worst recall of two levels over four conditions (customers by number), and whether it reaches the targets."""
     r, p = catalog.materialise(_reference(spark, d)), catalog.materialise(_found(spark, d))
-    one = lambda name, found: evaluate.outcomes(r, found, evaluate.match(r, found)).withColumn("condition", F.lit(name))
-    s = evaluate.scores_by(one("tout", p).unionByName(one("rien", p.limit(0))), "condition", "niveau")
-    full = evaluate.worst_recall(s.where("condition = 'tout'")).select(F.col("pire_rappel").alias("rappel_critique"))
-    t = evaluate.targets(evaluate.worst_recall(s).select(F.col("pire_rappel").alias("rappel")).crossJoin(F.broadcast(full)))  # one row each
-    return t.select(F.col("rappel").alias("pire_rappel"), F.col("rappel_critique").alias("meilleur"), "rappel_atteint", "rappel_critique_atteint")
+    of = lambda df, k: df.where(F.col("doc").cast("long") % 4 == k)
+    rows_ = [evaluate.outcomes(of(r, k), of(p, k), evaluate.match(of(r, k), of(p, k))).withColumn("condition", F.lit(k)) for k in range(4)]
+    s = catalog.materialise(evaluate.scores_by(reduce(DataFrame.unionByName, rows_), "condition", "niveau"))
+    worst = lambda level, name: evaluate.worst_recall(s, level).select(F.col("pire_rappel").alias(name))
+    t = evaluate.targets(worst("eleve", "rappel_critique").crossJoin(F.broadcast(worst("moyen", "rappel"))))  # one row each
+    e6 = lambda c, name: F.round(F.col(c) * 1000000).cast("long").alias(name)
+    return t.select(e6("rappel_critique", "eleve_e6"), e6("rappel", "moyen_e6"), "rappel_critique_atteint", "rappel_atteint")
 
 
 @query(f"""WITH {_COUNTS} SELECT configuration, axe, cle, vp::bigint AS vp, fn::bigint AS fn FROM (

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from privlake.functions import distance
-from privlake.operators import catalog, overlap, policy, similar
+from privlake.functions import distance, spans as sp
+from privlake.functions.normalize import normalise, segment
+from privlake.operators import catalog, merge, overlap, policy, similar
 from privlake.operators.selection import order_statistics
 from privlake.plans.operations import _documents
 from privlake.plans.registry import query, rows
-from privlake.schema import POLICY, policy_matrix
+from privlake.schema import ENTITIES_DDL, POLICY, policy_matrix
+from privlake.sources.files import extract
 from privlake.streaming import retries
 
 _START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
@@ -137,3 +139,45 @@ def known_roles(spark, d):
     known = policy.roles(policy_matrix(spark)).withColumnRenamed("role", "code")
     asked = _requests(spark, d).groupBy(F.col("role").alias("code")).agg(F.count(F.lit(1)).alias("demandes"))
     return asked.join(F.broadcast(known), "code", "left_semi")  # a row a role
+
+
+@query("""WITH p AS (SELECT c_custkey, 12 + length(c_name) AS n FROM customer), k AS (SELECT c_custkey, n, unnest(range(1, 4)) AS numero FROM p)
+SELECT c_custkey, numero::int AS numero, ((numero - 1) * n)::int AS debut, (CASE WHEN numero < 3 THEN numero * n ELSE 3 * n - 2 END)::int AS fin, ((numero - 1) * n + 5)::int AS position, numero::int AS page FROM k""")
+def pages_of_texts(spark, d):
+    """Three untidy pages a customer: their bounds in the normalised text, the place there of each page's number, and its page."""
+    page = lambda k: F.concat(F.lit(f"Page  {k} de "), F.col("c_name"), F.lit("\n\n" if k < 3 else ""))
+    c = rows(spark, d, "customer").select("c_custkey", F.concat(*[page(k) for k in (1, 2, 3)]).alias("source"), F.array(*[F.length(page(k)) for k in (1, 2, 3)]).alias("longueurs"))
+    c = c.withColumn("x", normalise("source")).withColumn("pages", sp.page_bounds(F.col("longueurs"), F.col("x.map_offsets")))
+    c = c.select("c_custkey", "x", "longueurs", "pages", F.posexplode("pages").alias("k", "p"))
+    before = F.aggregate(F.slice("longueurs", 1, F.col("k")), F.lit(0), lambda a, n: a + n)
+    c = c.withColumn("position", sp.from_source(before + 6, F.col("x.map_offsets")))
+    return c.select("c_custkey", "p.numero", "p.debut", "p.fin", "position", sp.page_of(F.col("position"), F.col("pages")).alias("page"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, text, n, 0::bigint AS debut, least(n, 2048) AS bout FROM t
+UNION ALL SELECT doc_id, text, n, nx, least(n, nx + 2048) FROM (SELECT doc_id, text, n, greatest(fin - 256, debut + 1) AS nx, fin FROM (
+  SELECT *, CASE WHEN bout >= n OR instr(reverse(substr(text, debut + 897, bout - debut - 896)), ' ') = 0 THEN bout ELSE bout - instr(reverse(substr(text, debut + 897, bout - debut - 896)), ' ') END AS fin FROM s)) WHERE fin < n)
+SELECT doc_id, debut::int AS debut, (CASE WHEN bout >= n OR instr(reverse(substr(text, debut + 897, bout - debut - 896)), ' ') = 0 THEN bout ELSE bout - instr(reverse(substr(text, debut + 897, bout - debut - 896)), ' ') END)::int AS fin FROM s""")
+def text_segments(spark, d):
+    """Overlapping windows of whole documents, cut at spaces, as models read them."""
+    return rows(spark, d, "documents").select("doc_id", F.inline(segment("text")))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS a, l_quantity / 100 AS s, CASE WHEN l_returnflag = 'A' THEN 'regle' ELSE 'ner' END AS m FROM lineitem),
+b AS (SELECT doc, a, max(s) AS s FROM e GROUP BY ALL)
+SELECT doc, a::int AS debut, round(b.s * 100)::int AS score, CASE WHEN count(DISTINCT m) > 1 THEN 'fusion' ELSE min(m) END AS methode FROM e JOIN b USING (doc, a) WHERE e.s = b.s GROUP BY ALL""")
+def deduplicated_entities(spark, d):
+    """One entity for each span of an order's candidates; equals of two methods are a fusion."""
+    a = F.col("l_linenumber") % 2
+    one = F.struct(F.lit("EMAIL"), a, a + 5, F.lit("v"), F.col("l_quantity") / 100, F.when(F.col("l_returnflag") == "A", "regle").otherwise("ner"), F.lit(False))
+    docs = rows(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(one).cast(ENTITIES_DDL).alias("c"))
+    return docs.select("doc", F.inline(merge.deduplicate(F.col("c")))).select("doc", "debut", F.round(F.col("score") * 100).cast("int").alias("score"), "methode")
+
+
+@query("SELECT page_id::varchar AS cle, CASE WHEN page_id % 5 = 0 THEN '' ELSE html END AS texte, CASE WHEN page_id % 5 = 0 THEN 'aucune' ELSE 'texte' END AS methode, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END::int AS pages FROM pages")
+def extracted_texts(spark, d):
+    """Pages through extraction by type: HTML is read as it stands, a fifth is empty."""
+    content = F.when(F.col("page_id") % 5 == 0, F.lit(b"")).otherwise(F.encode("html", "UTF-8"))
+    r = rows(spark, d, "pages").select(F.col("page_id").cast("string").alias("cle"), content.alias("content"), F.lit("text/html; charset=utf-8").alias("type_mime"))
+    return extract(r).select("cle", "texte", "methode", F.size("pages").alias("pages"))
