@@ -1,16 +1,18 @@
 """Arbitration between overlapping detections, classification, thresholds.
 
 Priority: valid first, then length, then score to six places.  A document's
-candidates are one array, so arbitration needs no shuffle.  Up to ``SWEEP`` of
-them are folded natively (which copies what it has kept at every step); more go
-through a sweep in n log n steps, with the same result.
+candidates are one array, so arbitration needs no shuffle.  Sorted by position
+they are swept once and cut wherever nothing reaches across; each stretch of
+overlapping candidates, a handful as a rule, is folded by itself, so the cost grows with
+n log n and the square of a stretch.  ``arbitrate_many`` is for stretches of
+thousands: n log n whatever overlaps, in Python.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from privlake.functions.spans import overlap
+from privlake.functions.spans import folded, overlap
 from privlake.schema import CONTEXT_TYPES, CONTEXT_WINDOW, ENTITIES, ENTITIES_DDL, IDENTIFIER_TYPES, LEVELS, level_of, literal_map, rank
 
 _FIELDS = ("type_entite", "debut", "fin", "valeur", "score", "methode", "valide")
@@ -42,16 +44,35 @@ def deduplicate(entities: Column) -> Column:
     return F.aggregate(entities, F.array().cast(ENTITIES_DDL), step)
 
 
-#: Candidates of a document up to which the native folds are faster than a sweep in Python.
-SWEEP = 48
-
-
 def arbitrate(entities: Column) -> Column:
     """Deduplicated entities without those that overlap a kept one of higher priority; ties all stay; a winner over
     another method's entity becomes 'fusion'.  In order of position; null for a null array."""
-    many = F.size(entities) > SWEEP
-    swept = _swept()(F.when(many, entities))
-    return F.when(many, swept).otherwise(_folded(entities))
+    placed = F.array_sort(F.transform(entities, lambda e, i: F.struct(e["debut"].alias("a"), e["fin"].alias("b"), i.alias("i"), e.alias("e"))))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  a lambda's argument is computed once
+
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        # equal empty spans don't overlap, and belong together
+        new = (x["a"] >= at["fin"]) & (x["a"] > at["debut"])
+        return F.struct(F.greatest(at["fin"], x["b"]).alias("fin"), x["a"].alias("debut")), new, F.lit(True)
+
+    def stretches(rows: Column) -> Column:
+        before = F.struct(F.lit(-1).alias("fin"), F.lit(-1).alias("debut"))
+        return once(folded(rows, before, step, "array<boolean>"), lambda new: of(rows, new))
+
+    def of(rows: Column, new: Column) -> Column:
+        places = F.filter(F.transform(new, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+        cut = lambda starts: F.transform(starts, lambda s, k: F.slice(rows, s + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - s))
+        return once(places, cut)
+
+    kept = F.transform(once(placed, stretches), lambda part: _folded(F.transform(part, lambda x: x["e"])))
+    return F.when(entities.isNotNull(), F.flatten(kept))
+
+
+def arbitrate_many(entities: Column) -> Column:
+    """The same for documents in which thousands of candidates overlap one another: n log n in any case, one Arrow batch at a time."""
+    from privlake.operators.sweep import arbitrated
+
+    return F.udf(lambda found: None if found is None else arbitrated([tuple(e) for e in found]), ENTITIES, useArrow=True)(entities)
 
 
 def _folded(entities: Column) -> Column:
@@ -71,12 +92,6 @@ def _folded(entities: Column) -> Column:
     return F.transform(placed, lambda x: x["e"])
 
 
-def _swept():
-    from privlake.operators.sweep import arbitrated
-
-    return F.udf(lambda found: None if found is None else arbitrated([tuple(e) for e in found]), ENTITIES, useArrow=True)
-
-
 def classify(entities: Column) -> Column:
     """Entities with ``niveau``: by type; a person's name rises to 'eleve' near two kinds of identifiers."""
 

@@ -16,21 +16,24 @@ def candidates(r, n, length):
     return [one() for _ in range(n)]
 
 
-def test_sweep_equals_the_folds(spark):
+def test_three_forms_of_arbitration_agree(spark):
     r = random.Random(8)
-    docs = [candidates(r, r.randint(0, 40), r.choice((10, 60))) for _ in range(400)]
-    d = spark.createDataFrame(list(enumerate(docs)), f"i int, c {ENTITIES_DDL}").select("i", merge._folded(F.col("c")).alias("e"))
+    docs = [candidates(r, r.randint(0, 40), r.choice((10, 60, 400))) for _ in range(400)] + [None, []]
+    d = spark.createDataFrame(list(enumerate(docs)), f"i int, c {ENTITIES_DDL}")
+    d = d.select("i", merge._folded(F.col("c")).alias("plain"), merge.arbitrate(F.col("c")).alias("cut"), merge.arbitrate_many(F.col("c")).alias("swept"))
     for row in d.collect():
-        assert [tuple(e) for e in row.e] == sweep.arbitrated(docs[row.i]), docs[row.i]
+        if docs[row.i] is None:
+            assert row.cut is None and row.swept is None
+        else:
+            assert row.plain == row.cut == row.swept, docs[row.i]
 
 
-def test_many_candidates_go_through_the_sweep(spark):
+def test_many_candidates(spark):
     r = random.Random(9)
-    docs = [candidates(r, n, 4 * n) for n in (merge.SWEEP, merge.SWEEP + 1, 600, 20_000)] + [None, []]
-    d = spark.createDataFrame(list(enumerate(docs)), f"i int, c {ENTITIES_DDL}").select("i", merge.arbitrate(F.col("c")).alias("e"))
-    got = {row.i: None if row.e is None else [tuple(e) for e in row.e] for row in d.collect()}
-    assert got == {i: None if x is None else sweep.arbitrated(x) for i, x in enumerate(docs)}
-    assert len(sweep.arbitrated(candidates(r, 100_000, 300_000))) > 10_000
+    docs = [candidates(r, n, 4 * n) for n in (600, 20_000, 100_000)] + [candidates(r, 3000, 500)]
+    d = spark.createDataFrame(list(enumerate(docs[:3])), f"i int, c {ENTITIES_DDL}").select("i", merge.arbitrate(F.col("c")).alias("e"))
+    assert {row.i: [tuple(e) for e in row.e] for row in d.collect()} == {i: sweep.arbitrated(x) for i, x in enumerate(docs[:3])}
+    assert 0 < len(sweep.arbitrated(docs[3])) < 3000
 
 
 def test_overlap_join(spark):
