@@ -6,9 +6,10 @@ hash join, each hash hit is verified word by word over the whole window, and
 only verified hits are grouped (by document).
 
 The broadcast is used only while the benchmark has at most ``BROADCAST_WINDOWS``
-windows (counted before the join); a larger benchmark is joined by shuffled
-hashes, with the same result.  A filter sends the ids of what it drops only:
-texts aren't shuffled.
+windows (counted before the join).  For a larger one only places travel, each a
+key and a hash: they meet the distinct hashes first, and the few that are left go
+back to their texts, as a list for each document, to be verified.  A filter sends
+the ids of what it drops only.
 
 Edge cases: null or empty text has no words, no hit and isn't contaminated; an
 item without words has no window; items with the same words all count; repeated
@@ -68,23 +69,43 @@ def _anchors(bench: DataFrame, n: int) -> tuple[list[int], int]:
     return sorted(r.k for r in rows if r.k > 0), sum(r.c for r in rows)
 
 
-def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N) -> DataFrame:
-    """Per key with a hit: ``n_words`` of the text, ``n_hit`` covered words and the sorted ``items``."""
-    lengths, windows = _anchors(bench, n)
-    grams = benchmark_windows(bench, n)
-    if windows <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
-    names = [f"k{i}" for i in range(len(key))]
-    d = _words(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)])
+def _places(d: DataFrame, names: list[str], lengths: list[int], *more: str) -> DataFrame:
+    """(names, more, k, pos, g): the hash of ``k`` words at every place of each text ``w``."""
     found = None
     for k in lengths:
         places = F.transform(F.sequence(F.lit(0), F.size("w") - k), _hash_of(k))
-        one = d.where(F.size("w") >= k).select(*names, "w", F.lit(k).alias("k"), F.posexplode(places).alias("pos", "g"))
+        one = d.where(F.size("w") >= k).select(*names, *more, F.lit(k).alias("k"), F.posexplode(places).alias("pos", "g"))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = d.select(*names, "w", F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).where("false")
-    same = F.slice(F.col("w"), F.col("pos") + 1, F.size("gram")) == F.col("gram")
-    found = found.join(grams, ["k", "g"]).where(same).select(*names, F.size("w").alias("n_words"), "pos", F.size("gram").alias("len"), "items")
+        found = d.select(*names, *more, F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("g")).where("false")
+    return found
+
+
+def _likely(d: DataFrame, grams: DataFrame, names: list[str], lengths: list[int]) -> DataFrame:
+    """(names, w, k, pos, g) of the places whose hash the benchmark has: keys and hashes are shuffled by hash, and the texts
+    once, by key, to what is left of their places."""
+    places = _places(d, names, lengths).join(grams.select("k", "g").distinct(), ["k", "g"], "left_semi")
+    mine = places.groupBy(*names).agg(F.collect_set(F.struct("k", "pos", "g")).alias("found")).select(*[F.col(c).alias(f"m_{c}") for c in names], "found")
+    on = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in names]
+    return d.join(mine, on).select(*names, "w", F.explode("found").alias("x")).select(*names, "w", "x.*")
+
+
+def hits(docs: DataFrame, bench: DataFrame, key: list[Column], n: int = N, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per key with a hit: ``n_words`` of the text, ``n_hit`` covered words and the sorted ``items``."""
+    lengths, windows = _anchors(bench, n)
+    grams = benchmark_windows(bench, n)
+    names = [f"k{i}" for i in range(len(key))]
+    d = _words(docs, *[c.alias(x) for c, x in zip(key, names, strict=True)])
+    if windows <= broadcast_windows:
+        grams = F.broadcast(grams)
+        found = _places(d, names, lengths, "w")
+    else:
+        found = _likely(d, grams, names, lengths).withColumns({"piece": F.slice("w", F.col("pos") + 1, n), "n_words": F.size("w")}).drop("w")
+    whole = windows <= broadcast_windows
+    size = F.size("gram")
+    same = F.slice(F.col("w"), F.col("pos") + 1, size) == F.col("gram") if whole else F.slice("piece", 1, size) == F.col("gram")
+    words = F.size("w").alias("n_words") if whole else F.col("n_words")
+    found = found.join(grams, ["k", "g"]).where(same).select(*names, words, "pos", size.alias("len"), "items")
     # the longest window from each position covers what the others do
     spans = found.groupBy(*names, "n_words", "pos").agg(F.max("len").alias("len"), F.flatten(F.collect_set("items")).alias("items"))
     per = spans.groupBy(*names, "n_words").agg(
