@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from privlake.functions import distance, spans as sp
+from privlake.functions import distance, spans as sp, text as tx
 from privlake.functions.normalize import normalise, segment
 from privlake.operators import catalog, merge, overlap, policy, similar
 from privlake.operators.selection import order_statistics
@@ -181,3 +181,10 @@ def extracted_texts(spark, d):
     content = F.when(F.col("page_id") % 5 == 0, F.lit(b"")).otherwise(F.encode("html", "UTF-8"))
     r = rows(spark, d, "pages").select(F.col("page_id").cast("string").alias("cle"), content.alias("content"), F.lit("text/html; charset=utf-8").alias("type_mime"))
     return extract(r).select("cle", "texte", "methode", F.size("pages").alias("pages"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(replace(strip_accents(nfc_normalize(lower(text))), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS cle FROM documents WHERE text IS NOT NULL""")
+def comparison_keys(spark, d):
+    """Comparison keys of whole texts in four languages, hashed: no case, no marks, letters and digits only."""
+    t = rows(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", F.sha2(tx.comparison_key(F.col("text")), 256).alias("cle"))
