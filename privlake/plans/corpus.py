@@ -38,7 +38,7 @@ def _values(draw) -> dict[str, dict[str, str]]:
     pick = lambda slot, words: f"split_part('{'|'.join(words)}', '|', cast(1 + {draw(slot, len(words))} AS int))"
     text = lambda x: f"cast({x} AS varchar(40))"
     digits = lambda slot, n: f"lpad({text(draw(slot, 10**n))}, {n}, '0')"
-    letters = lambda slot: "concat(" + ", ".join(f"substr('ABCDEFGHJKLMNPRSTVWXYZ', cast(1 + {draw(slot + k, 22)} AS int), 1)" for k in "ab") + ")"
+    letters = lambda slot: "concat(" + ", ".join(f"substr('ABCDEFGHJKLMNPQRSTVWXYZ', cast(1 + {draw(slot + k, 23)} AS int), 1)" for k in "ab") + ")"
     digit = lambda x, p: f"cast(substr({x}, {p}, 1) AS int)"
 
     def luhn(x: str, n: int) -> str:
@@ -52,11 +52,11 @@ def _values(draw) -> dict[str, dict[str, str]]:
         {
             "prenom": pick("prenom", _FIRST), "famille": pick("famille", _LAST), "ville": pick("ville", _CITY), "ville2": pick("ville2", _CITY), "societe": pick("societe", _FIRM),
             "jour": f"cast(1 + {draw('jour', 28)} AS int)", "mois": f"cast(1 + {draw('mois', 12)} AS int)", "annee": f"cast(1960 + {draw('annee', 45)} AS int)", "ecrit": draw("ecrit", 3),
-            "client": f"concat('GZ-', {digits('client', 6)})", "plaque": f"concat({letters('plaque1')}, '-', {digits('plaque', 4)}, '-', {letters('plaque2')})",
-            "bban": f"concat({digits('bban1', 11)}, {digits('bban2', 11)})", "cb": f"concat('4539', {digits('cb', 11)})", "ni": f"concat({text('1 + ' + draw('genre', 2))}, {digits('ni', 11)})",
+            "client": f"concat('CL-', {digits('client', 6)})", "plaque": f"concat({letters('plaque1')}, '-', {digits('plaque', 4)}, '-', {letters('plaque2')})",
+            "bban": f"concat({digits('bban1', 11)}, {digits('bban2', 11)})", "cb": f"concat('4970', {digits('cb', 11)})", "ni": f"concat({text('1 + ' + draw('genre', 2))}, {digits('ni', 11)})",
             "adresse": f"concat({text('1 + ' + draw('numero', 250))}, ' ', {pick('voie', _STREET)}, ' ', {pick('lieu', _PLACE)})",
             "tel": f"concat('+221 7', {pick('reseau', '0678')}, ' ', {digits('tel1', 2)}, ' ', {digits('tel2', 2)}, ' ', {digits('tel3', 2)}, ' ', {digits('tel4', 1)})",
-            "separe": f"split_part('.|_|', '|', cast(1 + {draw('separe', 3)} AS int))", "domaine": pick("domaine", ("exemple.sn", "mail.bj", "courriel.tg")),
+            "separe": f"split_part('.|_|', '|', cast(1 + {draw('separe', 3)} AS int))", "domaine": pick("domaine", ("exemple.sn", "boite.bj", "lettre.tg")),
         },
         {
             "nom": "concat(prenom, ' ', famille)", "mail": "concat(lower(prenom), separe, lower(famille), '@', domaine)",
@@ -79,6 +79,7 @@ TYPE_OF = {
 }
 #: What rules alone find with exact limits; names, places and firms need a model, addresses have looser limits.
 BY_RULE = ("EMAIL", "TELEPHONE", "DATE_NAISSANCE", "NUM_CLIENT", "PLAQUE_IMMAT", "NUM_PIECE_IDENTITE", "IBAN", "CARTE_BANCAIRE")
+# --- fixed values: the names of the eight document types ---
 #: document type -> pieces; a field's name stands for its value
 TEMPLATES = {
     "attestation": ("Domicile de ", "nom", ", né(e) le ", "ne", " : ", "adresse", " ; ", "ville", ".\nJoindre par ", "tel", " ou ", "mail", ".\nSigné le 12/03/2026 à ", "ville2", ".\n"),
