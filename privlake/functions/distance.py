@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F
 
 #: First width of the band.
 FIRST = 64
+#: Columns between two cuts of the characters' places.
+STRETCH = 1024
 #: Length from which the band beats the table.
 LONG = 600
 
@@ -40,8 +42,13 @@ def bounded(a: str, b: str, k: int) -> int | None:
     # vertical steps down the column: +1 everywhere below row 0
     up, down = full & ~((1 << k) - 1), 0
     distance = k  # of the band's last row, row k of column 0
+    base, near = 0, {}  # the places around the columns at hand, cut out of the long numbers once in a while
     for j, c in enumerate(b):
-        match = (places.get(c, 0) >> j) & full
+        if j - base >= STRETCH:
+            base, near = j, {}
+        if (here := near.get(c)) is None:
+            here = near[c] = (places.get(c, 0) >> base) & ((1 << (width + STRETCH)) - 1)
+        match = (here >> (j - base)) & full
         d0 = ((((match & up) + up) & full) ^ up) | match | down
         hp = (down | ~(d0 | up)) & full
         hn = d0 & up
