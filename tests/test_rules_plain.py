@@ -6,6 +6,7 @@ import re
 import pytest
 
 from privlake.functions import validators as v
+from privlake.functions.normalize import repaired, worth_repair
 from privlake.operators import detect, sweep
 from privlake.plans import corpus, queries
 from privlake.plans.registry import TODAY
@@ -73,12 +74,17 @@ def birth(x):
 CHECK = {"iban": iban, "card": card, "phone": phone, "date": birth, "date in words": birth}
 
 
-def entities(text):
+def entities(text, tolerant=False):
+    return [*by_rules(text, tolerant), *addresses(text)]
+
+
+def by_rules(text, tolerant=False):
     out = []
-    for name, (kind, pattern, group, *_) in detect.STRICT.items():
+    for name, (kind, pattern, group, *_) in (detect.TOLERANT if tolerant else detect.STRICT).items():
         for a, b, value in found(text, pattern, group):
             ok = name in CHECK and CHECK[name](value)
-            score = {"email": 0.97, "plate": 0.70, "client": 0.90}.get(name, 0.99 if ok else 0.55 if name == "phone" else None)
+            doubtful = {"phone": 0.55} | ({"iban": 0.90, "card": 0.90} if tolerant else {})
+            score = {"email": 0.97, "plate": 0.70, "client": 0.90}.get(name, 0.99 if ok else doubtful.get(name))
             if score is not None:
                 out.append((kind, a, b, value, score, "regle", ok))
     for a, b, value in found(text, detect.IDENTITY):
@@ -88,7 +94,11 @@ def entities(text):
             named = any(w in text.lower()[max(0, a - detect.IDENTITY_REACH) : a] for w in detect.IDENTITY_WORDS)
             if ok or named:
                 out.append(("NUM_PIECE_IDENTITE", a, b, value, 0.995 if ok and named else 0.95 if ok else 0.75, "regle", ok))
-    seen = set()
+    return out
+
+
+def addresses(text):
+    out, seen = [], set()
     for pattern, score in ((detect.ADDRESS, 0.65), (detect.POSTCODE, 0.60)):
         for m in compiled(pattern).finditer(text):
             value = m[0].strip(" ,;.")
@@ -133,3 +143,20 @@ def test_candidates_of_the_corpus(spark):
         assert sorted(tuple(e) for e in r.candidats) == sorted(want), r.texte
         kinds |= {e[0] for e in want}
     assert kinds == {*corpus.BY_RULE, "ADRESSE_POSTALE"}
+
+
+def test_candidates_of_texts_from_ocr(spark, texts):
+    """Tolerant rules, and again on the repaired text where the repair changes it, led back."""
+    torn = lambda t: re.sub(r"(?<=\w)([@.\-/])(?=\w)", lambda m: m[1] + " " if m.start() % 3 else " " + m[1], t)
+    made = [(r.id, torn(r.texte)) for r in corpus.documents(spark.range(200)).collect()] + [(1000 + k, t) for k, t in texts.items() if t]
+    d = spark.createDataFrame(made, "id long, texte string")
+    more = 0
+    for r in detect.detect_ocr(d, today=queries._today()).collect():
+        want = by_rules(r.texte, tolerant=True)
+        if worth_repair(r.texte):
+            fixed, at = repaired(r.texte)
+            again = by_rules(fixed, tolerant=True)
+            more += len(again)
+            want += [(k, at[a], at[b], r.texte[at[a] : at[b]], *rest) for k, a, b, _, *rest in again]
+        assert sorted(tuple(e) for e in r.candidats) == sorted(want), r.texte
+    assert more > 200
