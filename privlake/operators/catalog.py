@@ -46,6 +46,13 @@ def account(users: DataFrame, name: str) -> DataFrame:
     return users.where((F.col("identifiant") == name) & F.col("actif")).select("identifiant", "role_code")
 
 
+def located(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Where each document's bytes are: its key with the type and configuration of its source; ``connu`` is false if the source isn't known."""
+    s = sources.select(F.col("id").alias("source_id"), F.col("type").alias("type_source"), "configuration", F.lit(True).alias("connu"))
+    d = documents.select("id", "source_id", F.col("chemin_source").alias("cle")).join(s, "source_id", "left")
+    return d.withColumn("connu", F.coalesce("connu", F.lit(False)))
+
+
 def page_count(total: Column, size: int = 50) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("int")
 

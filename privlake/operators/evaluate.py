@@ -209,3 +209,9 @@ def confusion_totals(matrix: DataFrame) -> DataFrame:
 def confusion_table(matrix: DataFrame, labels: list[str]) -> DataFrame:
     """The matrix with a column for each label and margin."""
     return matrix.groupBy("attendu").pivot("predit", [*labels, MISSED]).sum("n").na.fill(0)
+
+
+def labels(matrix: DataFrame) -> DataFrame:
+    """The labels of a confusion matrix, expected or predicted, without the margins, in order."""
+    d = matrix.select(F.col("attendu").alias("etiquette")).unionByName(matrix.select(F.col("predit").alias("etiquette")))
+    return d.where(~F.col("etiquette").isin(MISSED, EXTRA)).distinct().orderBy("etiquette")

@@ -197,6 +197,13 @@ def confusion_by_type(spark, d):
     return evaluate.confusion_totals(evaluate.confusion(r, p, catalog.materialise(evaluate.match_by_position(r, p))))
 
 
+@query(f"WITH {_COUNTS} SELECT x AS etiquette FROM n, (VALUES ('EMAIL'), ('TELEPHONE'), ('IBAN'), ('CARTE_BANCAIRE'), ('DATE_NAISSANCE'), ('NUM_PIECE_IDENTITE')) AS v(x) UNION ALL SELECT 'PLAQUE_IMMAT' FROM n WHERE w > 0")
+def confusion_labels(spark, d):
+    """What letters hold and what is found in them, one that is only ever predicted too."""
+    r, p = catalog.materialise(_reference(spark, d)), catalog.materialise(_found(spark, d))
+    return evaluate.labels(evaluate.confusion(r, p, catalog.materialise(evaluate.match_by_position(r, p))))
+
+
 @query(f"WITH {_COUNTS} SELECT * FROM (SELECT 'eleve' AS attendu, 'moyen' AS predit, w::bigint AS n FROM n UNION ALL SELECT 'moyen', '(manquée)', m::bigint FROM n) WHERE n > 0")
 def under_classified(spark, d):
     r, p = catalog.materialise(_reference(spark, d)), catalog.materialise(_found(spark, d))
