@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from privlake.functions import distance, spans as sp, text as tx
 from privlake.functions.normalize import normalise, segment
-from privlake.operators import catalog, merge, overlap, policy, similar
+from privlake.operators import catalog, detect, merge, overlap, policy, similar
 from privlake.operators.selection import order_statistics
+from privlake.plans import corpus
 from privlake.plans.operations import _documents
 from privlake.plans.registry import query, rows
 from privlake.schema import ENTITIES_DDL, POLICY, policy_matrix
-from privlake.sources.files import extract
+from privlake.sources.files import extract, list_files, write_files
 from privlake.streaming import retries
 
 _START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
@@ -188,3 +189,23 @@ def comparison_keys(spark, d):
     """Comparison keys of whole texts in four languages, hashed: no case, no marks, letters and digits only."""
     t = rows(spark, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", F.sha2(tx.comparison_key(F.col("text")), 256).alias("cle"))
+
+
+@query("SELECT 'a/' || (page_id % 7) || '/' || page_id || '.html' AS cle, (CASE WHEN page_id % 5 = 0 THEN 0 ELSE octet_length(encode(html)) END)::bigint AS taille, sha256(CASE WHEN page_id % 5 = 0 THEN '' ELSE html END) AS empreinte FROM pages")
+def files_written_and_listed(spark, d):
+    """Every page as a file of its own, in folders, and the listing of those files; a fifth is empty."""
+    html = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.col("html"))
+    key = F.concat(F.lit("a/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    root = catalog.shared_path(spark)
+    write_files(rows(spark, d, "pages").select(key.alias("cle"), F.encode(html, "UTF-8").alias("content")), root)
+    return list_files(spark, root).select("cle", "taille", F.sha2("content", 256).alias("empreinte"))
+
+
+@query(f"{corpus.oracle_rows()} SELECT id, true AS trouvee FROM s WHERE type = 'ADRESSE_POSTALE'")
+def corpus_addresses(spark, d):
+    """Whether the rules find something in each address of the corpus: a join of written and found intervals."""
+    made = catalog.materialise(corpus.documents(rows(spark, d, "customer").select(F.col("c_custkey").alias("id"))))
+    wanted = made.select("id", F.inline("entites")).where("type = 'ADRESSE_POSTALE'").select("id", "debut", "fin")
+    found = made.select("id", F.inline(detect.addresses(F.col("texte")))).select("id", "debut", "fin")
+    hit = overlap.overlap_join(wanted, found, ["id"]).select("gauche.*").distinct().withColumn("trouvee", F.lit(True))
+    return wanted.join(hit, ["id", "debut", "fin"], "left").select("id", F.coalesce("trouvee", F.lit(False)).alias("trouvee"))

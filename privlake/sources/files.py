@@ -98,7 +98,8 @@ def write_files(files: DataFrame, root: str) -> None:
     def run(rows) -> None:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("/") else fs.FileSystem.from_uri(f"/{root}")
+        # Hadoop writes a local root as file:/x
+        store, base = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "/", root))
         for r in rows:
             path = f"{base}/{r.cle}"
             store.create_dir(path.rsplit("/", 1)[0], recursive=True)
