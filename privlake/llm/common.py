@@ -34,12 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/privlake-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and
-    survives the loss of executors."""
+    survives the loss of executors.  ``codec``: Parquet's, else the session's."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    out = df.write.mode("overwrite")
+    (out.option("compression", codec) if codec else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

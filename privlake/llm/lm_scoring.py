@@ -7,9 +7,12 @@ A text is its words, then an end mark.  Each word is told by binary decisions:
   words before says so (equal texts have equal anchors), and then grow by every
   word: 4, 5, 6, ... words back.  Their counts are kept whole, in tables dealt by
   anchor: what is gathered grows with the corpus.
-- else it is a *known word*, by its count less a discount, or a *new word*, which
-  is spelt: its bytes and an end mark, each byte a few decisions of a code tree,
-  predicted from counts in hashed contexts of the last 1, 2, 3, 4 and 6 bytes.
+- else it is a *known word*: the bits of its code, each predicted from counts in
+  hashed contexts of the 0, 1, 2 and 3 words before (``word_contexts``), or, after
+  the code that all others share, a word by its count less a discount, or a *new
+  word*, which is spelt: its bytes and an end mark, each byte a few decisions of a
+  code tree, predicted from counts in hashed contexts of the last 1, 2, 3, 4 and 6
+  bytes.
 
 Several predictors give a probability for a decision; they are mixed in the
 logistic domain by weights that a gate selects and online gradient steps learn,
@@ -17,12 +20,13 @@ and an adaptive table refines the mix.  The decisions' probabilities multiply to
 a probability of the text: ``score_bits`` in all, ``bits_per_byte`` by its length.
 
 A training document is scored as if it had been left out: its own occurrence of
-a phrase, and one of each word, doesn't count.  So a document that occurs once
+a phrase, of a bit of a word, and of each word, doesn't count.  So a document that occurs once
 is told from one whose copy the corpus holds, and held-out documents compare.
 
 What is learnt covers all training texts: word counts (shuffled, with local sums
 first), phrase counts (equal segments are summed where they are read, then dealt
-by anchor), the spelling tables (from the words met once, which stand for words
+by anchor), the tables of word contexts (all words of all training texts, slots
+grow with them up to 2^22 an order), the spelling tables (from the words met once, which stand for words
 to come; letters repeat, so their size stops at 2^20 slots), and the mixers.
 The phrase mixer learns from a histogram of all decisions, of fixed size; the
 spelling mixer's weights are averaged over parts of the word table that depend on
@@ -44,6 +48,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from privlake.llm import word_contexts as wc
 from privlake.llm.common import crc32_mod, drop_kept, shared_dir, stored, table
 
 HEAD = 200_000
@@ -396,14 +401,14 @@ def scored_words(words: DataFrame, path: str) -> tuple[DataFrame, int, int]:
     new = F.col("spelt") + F.log10(F.lit(left))
     known = lambda less: F.log10((c - (less + d)) / F.lit(float(max(n, 1))))
     scored = every.select("word", "c_train", "c_all", F.when(c > 1, known(1)).otherwise(new).alias("lp_train"), F.when(c > 0, known(0)).otherwise(new).alias("lp_held"))
-    return stored(scored, f"{path}/scored"), n, v
+    return stored(scored, f"{path}/scored", "zstd"), n, v
 
 
 # --- segments ---
 
 _KINDS = (
     "key long, doc_id {kind}, training boolean, n_tokens long, n_bytes long, n_known long, logc double, logp double, "
-    "word binary, place long, anchor long, h long, sidx int, codes binary, once boolean"
+    "word binary, place long, anchor long, h long, sidx int, codes binary, once boolean, before binary"
 )
 
 
@@ -443,7 +448,41 @@ def cut(codes, lengths):
     return begin, of, number, context[begin], _mixed(whole ^ context[begin]), segment, off
 
 
-def _rows(docs: DataFrame, head, path: str) -> DataFrame:
+def _coded(head, texts) -> Iterator[tuple]:
+    """(word codes, words of each text), so many documents at a time; the end of a text is a word."""
+    import zlib
+
+    import numpy as np
+
+    index = head_of(head)[0]
+    for a in range(0, len(texts), DOCS):
+        words: list[bytes] = []
+        lengths = []
+        for text in texts[a : a + DOCS]:
+            found = _split(text.as_py())
+            found.append(b"")
+            words += found
+            lengths.append(len(found))
+        codes = (index[w] if w in index else zlib.crc32(w) | 0x80000000 for w in words)
+        yield np.fromiter(codes, dtype=np.int64, count=len(words)), np.array(lengths, dtype=np.int64)
+
+
+def _contexts(docs: DataFrame, head, code, n: int, path: str):
+    """Broadcast (states, costs, log2 of slots) of the words' predictors; ``docs`` are the training texts."""
+    import numpy as np
+
+    spark, bits = docs.sparkSession, wc.table_bits(n)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    coded = lambda texts: _coded(head, texts)
+    tables = [(np.zeros(1 << b, dtype=np.float32), np.zeros(1 << b, dtype=np.float32)) for b in bits]
+    wc.added(tables, stored(wc.summed(docs.where(~fold).select("text"), coded, bits, code), f"{path}/counts", "zstd").toLocalIterator())  # of fixed size
+    found = spark.sparkContext.broadcast(wc.state_tables(tables))
+    histogram = wc.added(tables, stored(wc.summed(docs.where(fold).select("text"), coded, bits, code, found), f"{path}/fold", "zstd").toLocalIterator())
+    found.unpersist()
+    return spark.sparkContext.broadcast((wc.state_tables(tables), wc.costs_of(histogram), bits))
+
+
+def _rows(docs: DataFrame, head, code, contexts, path: str) -> DataFrame:
     """Rows of documents (sums over head words), of other words (key, training, word, place) and of segments (key,
     training, sidx, anchor, h, codes, once); ``codes`` has a number for each word, ``once`` marks a document's first
     segment of its kind, ``place`` is 64 times a segment's number and the place in it."""
@@ -456,12 +495,13 @@ def _rows(docs: DataFrame, head, path: str) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        index, logc, lp_train, lp_held, known = head_of(head)
+        index, logc, extra_train, extra_held, known, _ = head_of(head)
+        states, table, bits = contexts.value
         key = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in _KINDS.split(", ")]
 
         def out(n: int, kind, **columns):
-            types = [pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+            types = [pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n, t)) for c, t in zip(names, types, strict=True)], names)
 
         for whole in batches:
@@ -481,15 +521,19 @@ def _rows(docs: DataFrame, head, path: str) -> DataFrame:
                 inside = codes >= 0
                 at, by = codes[inside], doc[inside]
                 total = lambda x: np.bincount(by, x, batch.num_rows).astype(float)  # noqa: E731, B023
+                rest = np.flatnonzero(~inside)
+                tail = [words[k] for k in rest.tolist()]
+                codes[rest] = np.fromiter((zlib.crc32(w) | 0x80000000 for w in tail), dtype=np.int64, count=len(tail))
+                symbol, hs, cost = code.value.of(codes), wc.hashes(wc.before_in(codes, lengths)), np.zeros(len(codes))
+                for reading in (True, False):
+                    mine = np.flatnonzero(training[doc] == reading)
+                    cost[mine] = wc.costs(states, table, code.value, symbol[mine], [x[mine] for x in hs], bits, reading)
                 keys = key + np.arange(batch.num_rows)
                 key += batch.num_rows
                 yield out(
                     batch.num_rows, batch.column(0).type, key=keys, doc_id=batch.column(0), training=training, n_tokens=lengths, n_bytes=sizes,
-                    n_known=total(known[at]).astype(np.int64), logc=total(logc[at]), logp=total(np.where(training[by], lp_train[at], lp_held[at])),
+                    n_known=total(known[at]).astype(np.int64), logc=total(logc[at]), logp=total(np.where(training[by], extra_train[at], extra_held[at])) + np.bincount(doc, cost, batch.num_rows),
                 )
-                rest = np.flatnonzero(~inside)
-                tail = [words[k] for k in rest.tolist()]
-                codes[rest] = np.fromiter((zlib.crc32(w) | 0x80000000 for w in tail), dtype=np.int64, count=len(tail))
                 begin, of, number, anchor, h, segment, off = cut(codes, lengths)
                 if tail:
                     s = segment[rest]
@@ -501,24 +545,28 @@ def _rows(docs: DataFrame, head, path: str) -> DataFrame:
                     ends = np.append(begin, len(codes)).astype(np.int32) * np.int32(4)
                     data = codes.astype("<u4").tobytes()
                     blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).take(pa.array(mine))
+                    reach = pa.py_buffer((np.arange(len(mine) + 1, dtype=np.int32) * np.int32(4 * wc.ORDERS)).tobytes())
+                    ahead = pa.py_buffer(codes[begin[mine][:, None] - np.arange(1, wc.ORDERS + 1)].astype("<u4").tobytes())
                     yield out(
                         len(mine), batch.column(0).type, key=keys[of[mine]], training=training[of[mine]], sidx=number[mine].astype(np.int32),
                         anchor=anchor[mine].view(np.int64), h=h[mine].view(np.int64), codes=blobs, once=first[mine],
+                        before=pa.Array.from_buffers(pa.binary(), len(mine), [None, reach, ahead]),
                     )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return stored(docs.select("doc_id", "training", "text").mapInArrow(run, _KINDS.format(kind=kind)), path)
+    return stored(docs.select("doc_id", "training", "text").mapInArrow(run, _KINDS.format(kind=kind)), path, "zstd")
 
 
 def head_of(head):
-    """This worker's index of the head's words, and their numbers."""
+    """This worker's index of the head's words, and their numbers: log10 of the smoothed count, log10 of the probability
+    beyond their code's in a training text and in another, whether training has them, class."""
     import numpy as np
 
-    blob, lengths, logc, lp_train, lp_held, known = head.value
+    blob, lengths, *numbers = head.value
     if not hasattr(head, "_index"):
         ends = np.cumsum(lengths).tolist()
         head._index = {blob[e - n : e]: i for i, (e, n) in enumerate(zip(ends, lengths.tolist(), strict=True))}
-    return head._index, logc, lp_train, lp_held, known
+    return head._index, *numbers
 
 
 # --- phrases ---
@@ -533,7 +581,7 @@ CELLS = 8 * 8 * 8 * 3 * 5
 
 
 def _local(segments: DataFrame) -> DataFrame:
-    """(anchor, h, codes, t, d): equal segments of a partition summed, so that a common passage is a row a partition."""
+    """(anchor, h, codes, before, t, d): equal segments of a partition summed, so that a common passage is a row a partition."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -547,8 +595,8 @@ def _local(segments: DataFrame) -> DataFrame:
             _, first, at = np.unique(h, return_index=True, return_inverse=True)
             t, d = (np.bincount(at, x.column(c).to_numpy().astype(float)).astype(np.int64) for c in ("t", "d"))
             y = x.take(pa.array(first))
-            columns = [y.column(c).combine_chunks() for c in ("anchor", "h", "codes")]
-            return pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), pa.array(t), pa.array(d)], ["anchor", "h", "codes", "t", "d"])
+            columns = [y.column(c).combine_chunks() for c in ("anchor", "h", "codes", "before")]
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), pa.array(t), pa.array(d)], ["anchor", "h", "codes", "before", "t", "d"])
 
         for batch in batches:
             held.append(batch)
@@ -559,7 +607,7 @@ def _local(segments: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return segments.mapInArrow(run, "anchor long, h long, codes binary, t long, d long")
+    return segments.mapInArrow(run, "anchor long, h long, codes binary, before binary, t long, d long")
 
 
 def foretold(anchor, codes, lengths, t, d, classes):
@@ -617,9 +665,9 @@ def foretold(anchor, codes, lengths, t, d, classes):
     return [tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (zip(*one, strict=True) if one else ((), (), (), ()))) for one in out]
 
 
-def _phrases(segments: DataFrame, head, parts: int) -> DataFrame:
+def _phrases(segments: DataFrame, head, code, contexts, parts: int) -> DataFrame:
     """(anchor, h, t, mask_t, mask_h, told_t, told_h, cells_t, cells_h) of the segments that other documents foretell:
-    the places told as bits, the log10 probabilities (as head words) that they save, and 2 * cell + hit of every decision."""
+    the places told as bits, the log10 probabilities (by their contexts) that they save, and 2 * cell + hit of every decision."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -641,22 +689,27 @@ def _phrases(segments: DataFrame, head, parts: int) -> DataFrame:
             return
         anchor, h, t, d, number = anchor[keep], h[keep], t[keep], d[keep], number[keep]
         blobs = x.column("codes").take(pa.array(pick[keep])).to_pylist()
+        before = np.frombuffer(b"".join(x.column("before").take(pa.array(pick[keep])).to_pylist()), dtype="<u4").reshape(-1, wc.ORDERS).astype(np.int64)
         del x, held
         codes = np.frombuffer(b"".join(blobs), dtype="<u4")
         lengths = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
         start = np.cumsum(lengths) - lengths
-        _, _, *lp, _ = head_of(head)
+        _, _, *extra, _, classes = head_of(head)
+        states, table, bits = contexts.value
         columns = [pa.array(anchor), pa.array(h), pa.array(t)]
         some = np.zeros(len(anchor), dtype=bool)
         found = []
-        for (rows, depth, cell, hit), of in zip(foretold(number, codes, lengths, t, d, word_classes(lp[1])), lp, strict=True):
+        for (rows, depth, cell, hit), of in zip(foretold(number, codes, lengths, t, d, classes), extra, strict=True):
             by = np.argsort(rows, kind="stable")
             rows, depth, cell, hit = rows[by], depth[by], cell[by], hit[by].astype(bool)
             some[rows] = True
             mask = np.zeros(len(anchor), dtype=np.uint64)
             np.bitwise_or.at(mask, rows[hit], np.uint64(1) << depth[hit].astype(np.uint64))
-            code = codes[start[rows[hit]] + depth[hit]].astype(np.int64)
-            told = np.bincount(rows[hit], np.where(code < len(of), of[np.minimum(code, len(of) - 1)] if len(of) else 0.0, 0.0), len(anchor)).astype(float)  # without a hit numpy counts in whole numbers
+            r, k = rows[hit], depth[hit]
+            word = codes[start[r] + k].astype(np.int64)
+            back = [np.where(k >= b, codes[np.maximum(start[r] + k - b, 0)], before[r, np.clip(b - 1 - k, 0, None)]) for b in range(1, wc.ORDERS + 1)]
+            cost = wc.costs(states, table, code.value, code.value.of(word), wc.hashes(back), bits, not found)  # the first reading is of a training document
+            told = np.bincount(r, cost + (np.where(word < len(of), of[np.minimum(word, len(of) - 1)], 0.0) if len(of) else 0.0), len(anchor)).astype(float)  # without a hit numpy counts in whole numbers
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(anchor)))]).astype(np.int32) * np.int32(2)
             data = (2 * cell + hit).astype("<u2").tobytes()
             found.append((pa.array(mask.view(np.int64)), pa.array(told), pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
@@ -749,20 +802,24 @@ def score(docs: DataFrame, training=None, head_words: int = HEAD) -> DataFrame:
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     training = crc32_mod(F.col("doc_id"), 10) != 0 if training is None else training
     docs = docs.select("doc_id", training.alias("training"), "text")
-    words = stored(word_counts(docs), f"{base}/words")
+    words = stored(word_counts(docs), f"{base}/words", "zstd")
     words, n, v = scored_words(words, base)
     top = words.orderBy(F.desc("c_all"), "word").limit(head_words).select("word", "c_train", "lp_train", "lp_held").toArrow()  # HEAD rows at most
     c = top["c_train"].to_numpy().astype(float)
     word = top["word"].to_pylist()
-    numbers = (np.log10(c + 0.1), top["lp_train"].to_numpy().astype(float), top["lp_held"].to_numpy().astype(float), (c > 0).astype(np.int64))
+    lp = [top[x].to_numpy().astype(float) for x in ("lp_train", "lp_held")]
+    other = float(np.log10(max(1 - (10 ** lp[1][c >= 2]).sum(), 1e-9)))  # of all words without a code of their own
+    numbers = (np.log10(c + 0.1), *(np.where(c >= 2, 0.0, x - other) for x in lp), (c > 0).astype(np.int64), word_classes(lp[1]))
     head = spark.sparkContext.broadcast((b"".join(word), np.array(list(map(len, word)), dtype=np.int64), *numbers))
     del top, word
-    rows = _rows(docs, head, f"{base}/rows")
+    code = spark.sparkContext.broadcast(wc.Code(c, n))
+    contexts = _contexts(docs.where("training"), head, code, n, base)
+    rows = _rows(docs, head, code, contexts, f"{base}/rows")
 
     segments = rows.where("anchor IS NOT NULL")
     parts = max(1, -(-segments.count() // SEGMENTS_A_PART))
-    once = segments.where("once").select("anchor", "h", "codes", F.col("training").cast("long").alias("t"), F.lit(1).cast("long").alias("d"))
-    told = _told(stored(_phrases(once, head, parts), f"{base}/phrases"))
+    once = segments.where("once").select("anchor", "h", "codes", "before", F.col("training").cast("long").alias("t"), F.lit(1).cast("long").alias("d"))
+    told = _told(stored(_phrases(once, head, code, contexts, parts), f"{base}/phrases", "zstd"))
     mine = lambda c: F.when(F.col("training"), F.col(f"{c}_t")).otherwise(F.col(f"{c}_h"))
     seen = segments.select("key", "sidx", "training", "anchor", "h").join(told, ["anchor", "h"], "left")
     seen = seen.groupBy("key").agg(
@@ -780,7 +837,7 @@ def score(docs: DataFrame, training=None, head_words: int = HEAD) -> DataFrame:
         mask = F.coalesce(F.get("masks", F.floor(place / LONGEST).cast("int") - 1)["mask"], F.lit(0).cast("long"))
         return F.call_function("shiftright", mask, (place % LONGEST).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    others = F.aggregate("others", F.lit(0.0), lambda a, x: a + F.when(told_by_phrase(x["place"]), 0.0).otherwise(x["p"]))
+    others = F.aggregate("others", F.lit(0.0), lambda a, x: a + F.when(told_by_phrase(x["place"]), F.lit(0.0)).otherwise(x["p"] - other))
     or0 = lambda c: F.coalesce(c, F.lit(0.0))
     floor = float(np.log10(n + 0.1 * (v + 1)))
     d = d.select(

@@ -27,7 +27,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), c.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
