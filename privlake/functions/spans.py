@@ -36,6 +36,15 @@ def folded(rows: Column, start: Column, step, out_type: str) -> Column:
     return F.coalesce(bound, F.array().cast(out_type))
 
 
+def entries(array: Column) -> Column:
+    """``array`` as a generator (``inline``, ``explode``) should take it where it is costly to compute.
+
+    Of a bare column Spark infers that it isn't empty, and tests that below the projections that compute it: the
+    whole of detection and arbitration would run there once more, with every column it uses written out at each use.
+    """
+    return F.filter(array, lambda x: x.isNotNull())
+
+
 def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
     """Array of (debut, fin, valeur) of all matches of ``pattern``; of its last group if ``group`` is its number,
     which must end where the match ends.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from privlake.functions.normalize import normalise
-from privlake.functions.spans import page_of, to_source
+from privlake.functions.spans import entries, page_of, to_source
 from privlake.functions.text import canonical, value_hash
 from privlake.operators import detect, merge, ner, policy, protect
 
@@ -29,7 +29,7 @@ def source_positions(analysed: DataFrame) -> DataFrame:
 def detected_rows(analysed: DataFrame, salt: str, id_col: str = "id", pages: Column | None = None) -> DataFrame:
     """Rows of the entity table: hashes, never values."""
     none = F.lit(None).cast("array<struct<numero:int,debut:int,fin:int>>")
-    d = analysed.select(F.col(id_col).alias("document_id"), F.explode("entites").alias("e"), (none if pages is None else pages).alias("_p"))
+    d = analysed.select(F.col(id_col).alias("document_id"), F.explode(entries(F.col("entites"))).alias("e"), (none if pages is None else pages).alias("_p"))
     page = page_of(F.col("e.debut"), F.col("_p"))
     return d.select(
         "document_id", F.col("e.type_entite").alias("type_entite"), value_hash(canonical(F.col("e.valeur")), salt).alias("empreinte_valeur"),

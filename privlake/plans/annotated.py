@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from privlake.functions import text as tx
+from privlake.functions.spans import entries
 from privlake.operators import catalog, detect, evaluate, merge, protect, statistics as st
 from privlake.plans import analysis, reports
-from privlake.plans.registry import SALT, query, rows, today
+from privlake.plans.registry import SALT, query, rows, spread, today
 from privlake.schema import ENTITIES_DDL, LEVEL_OF_TYPE, policy_matrix
 
 #: field -> (entity type, value)
@@ -54,7 +55,7 @@ def spans_of(letter: tuple[str, ...], fields: tuple[str, ...] = BY_RULES) -> str
 
 def letters(spark, d, letter: tuple[str, ...] = WHOLE) -> DataFrame:
     """(c_custkey, id, c_mktsegment, texte)."""
-    return rows(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("id"), "c_mktsegment", F.expr(text_of(letter)).alias("texte"))
+    return spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", F.col("c_custkey").cast("string").alias("id"), "c_mktsegment", F.expr(text_of(letter)).alias("texte"))
 
 
 def annotations(spark, d, letter: tuple[str, ...] = WHOLE, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
@@ -65,14 +66,14 @@ def annotations(spark, d, letter: tuple[str, ...] = WHOLE, fields: tuple[str, ..
             kind, value = FIELDS[f]
             before = F.length(F.expr(f"concat({', '.join(map(_value, letter[:i]))})"))
             one.append(F.struct(F.lit(kind).alias("type"), F.expr(value).alias("valeur"), before.alias("debut"), (before + F.length(F.expr(value))).alias("fin"), F.lit(LEVEL_OF_TYPE[kind]).alias("niveau")))
-    return rows(spark, d, "customer").select("c_custkey", F.explode(F.array(*one)).alias("e")).select("c_custkey", "e.*")
+    return spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", F.explode(F.array(*one)).alias("e")).select("c_custkey", "e.*")
 
 
 @query(f"SELECT c_custkey, type_entite, debut, fin, valeur, niveau, 'regle' AS methode, 'critique' AS niveau_max FROM ({spans_of(WHOLE)})")
 def letter_entities(spark, d):
     """Detection, arbitration and classification find exactly what was written."""
     done = merge.analyse(detect.detect(letters(spark, d), today=today()))
-    return done.select("c_custkey", "niveau_max", F.inline("entites")).drop("score", "valide")
+    return done.select("c_custkey", "niveau_max", F.inline(entries(F.col("entites")))).drop("score", "valide")
 
 
 @query(f"SELECT c_custkey::varchar AS document_id, type_entite, sha256(lower(valeur) || '{SALT}') AS empreinte_valeur, debut AS position_debut, fin AS position_fin, niveau AS niveau_sensibilite, 'regle' AS methode FROM ({spans_of(SHORT)})")
@@ -87,7 +88,7 @@ def source_spans(spark, d):
     """The same entities in positions of the untidy source."""
     untidy = letters(spark, d, SHORT).withColumn("texte", F.replace("texte", F.lit(" "), F.lit(" \t ")))
     done = analysis.source_positions(analysis.analyse_texts(untidy, today=today()))
-    return done.select("c_custkey", F.inline("entites")).select("c_custkey", "type_entite", "debut", "fin")
+    return done.select("c_custkey", F.inline(entries(F.col("entites")))).select("c_custkey", "type_entite", "debut", "fin")
 
 
 _NOISY = "concat('Reçu de client', cast(c_custkey AS string), ' @exemple .sn le compte SN92SN0100152000048500000765 et la carte 4539578763621487 du ', " + FIELDS["ne"][1] + ", ' fin')"
@@ -100,7 +101,7 @@ UNION ALL SELECT c_custkey, 'CARTE_BANCAIRE', '4539578763621487', (8 + length(m)
 UNION ALL SELECT c_custkey, 'DATE_NAISSANCE', ne, (8 + length(m) + 11 + 28 + 13 + 16 + 4)::int, 99, true FROM t""")
 def ocr_letter_entities(spark, d):
     """Misread numbers stay with less certainty; an address torn apart is found on the repaired text and led back."""
-    noisy = rows(spark, d, "customer").select("c_custkey", F.expr(_NOISY).alias("texte"))
+    noisy = spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", F.expr(_NOISY).alias("texte"))
     done = detect.detect_ocr(noisy, today=today()).select("c_custkey", F.inline(merge.arbitrate(F.col("candidats"))))
     return done.select("c_custkey", "type_entite", "valeur", "debut", F.round(F.col("score") * 100).cast("int").alias("score"), "valide")
 
@@ -112,10 +113,10 @@ _FAR = "repeat('x ', CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 150 END)"
 def names_in_context(spark, d):
     """A person's name rises near two kinds of identifiers, not 300 characters away."""
     text = f"concat({FIELDS['nom'][1]}, ' ', {_FAR}, {FIELDS['ne'][1]}, ', CNI ', {FIELDS['piece'][1]})"
-    docs = rows(spark, d, "customer").select("c_custkey", "c_name", F.expr(text).alias("texte"))
+    docs = spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", "c_name", F.expr(text).alias("texte"))
     name = F.array(F.struct(F.lit("NOM_PERSONNE"), F.lit(0), F.length("c_name"), F.col("c_name"), F.lit(0.85), F.lit("ner"), F.lit(False))).cast(ENTITIES_DDL)
     docs = detect.detect(docs, today=today()).withColumn("candidats", detect.union_of([F.col("candidats"), name]))
-    return merge.analyse(docs).select("c_custkey", F.inline("entites")).where("type_entite = 'NOM_PERSONNE'").select("c_custkey", "niveau", "methode")
+    return merge.analyse(docs).select("c_custkey", F.inline(entries(F.col("entites")))).where("type_entite = 'NOM_PERSONNE'").select("c_custkey", "niveau", "methode")
 
 
 def _token(field: str, prefix: str) -> str:
@@ -145,7 +146,7 @@ FROM ({spans_of(SHORT)})""")
 def pseudonym_table(spark, d):
     """A row for each value, which only the key gives back."""
     done = merge.analyse(detect.detect(letters(spark, d, SHORT), today=today()))
-    one = protect.with_hashes(done.select(F.explode("entites").alias("e")), SALT)
+    one = protect.with_hashes(done.select(F.explode(entries(F.col("entites"))).alias("e")), SALT)
     key = F.unhex(F.lit(tx.cipher_key("000102030405060708090a0b0c0d0e0f").hex()))
     table = protect.pseudonym_rows(one, key)
     return table.select("empreinte_valeur", tx.decrypt(F.col("valeur_chiffree"), key).alias("clair"), "jeton")

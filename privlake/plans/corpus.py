@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from privlake.functions.spans import folded
+from privlake.functions.spans import entries, folded
 from privlake.operators import catalog, detect, evaluate, merge
-from privlake.plans.registry import query, rows, today
+from privlake.plans.registry import query, rows, spread, today
 from privlake.schema import LEVEL_OF_TYPE, literal_map
 
 SEED = 42
@@ -146,7 +146,7 @@ def oracle_rows() -> str:
 
 
 def _made(spark, d) -> DataFrame:
-    return documents(rows(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    return documents(spread(rows(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id"))
 
 
 @query(f"{oracle_rows()} SELECT id, type_document, texte FROM t")
@@ -158,7 +158,7 @@ def corpus_texts(spark, d):
 @query(f"{oracle_rows()} SELECT s.id, type, valeur, debut, fin, niveau, true AS exact FROM s")
 def corpus_annotations(spark, d):
     """Every annotation, and that the text has the value where it says."""
-    e = _made(spark, d).select("id", "texte", F.inline("entites"))
+    e = _made(spark, d).select("id", "texte", F.inline(entries(F.col("entites"))))
     return e.withColumn("exact", F.substr("texte", F.col("debut") + 1, F.col("fin") - F.col("debut")) == F.col("valeur")).drop("texte")
 
 
@@ -168,8 +168,8 @@ def corpus_recall(spark, d):
     """Exact recall of the rules by type: whole for what has a form, none for names."""
     made = catalog.materialise(_made(spark, d))
     number = lambda df, c: df.select("doc", "type_entite", "debut", "fin", F.monotonically_increasing_id().alias(c))
-    wanted = catalog.materialise(number(made.select(F.col("id").cast("string").alias("doc"), F.inline("entites")).withColumnRenamed("type", "type_entite"), "i"))
-    found = merge.analyse(detect.detect(made.select("id", "texte"), today=today())).select(F.col("id").cast("string").alias("doc"), F.inline("entites"))
+    wanted = catalog.materialise(number(made.select(F.col("id").cast("string").alias("doc"), F.inline(entries(F.col("entites")))).withColumnRenamed("type", "type_entite"), "i"))
+    found = merge.analyse(detect.detect(made.select("id", "texte"), today=today())).select(F.col("id").cast("string").alias("doc"), F.inline(entries(F.col("entites"))))
     hits = evaluate.match(wanted, catalog.materialise(number(found, "j")))
     r = wanted.join(hits.select("doc", "i", F.lit(1).alias("oui")), ["doc", "i"], "left").where("type_entite <> 'ADRESSE_POSTALE'")
     return r.groupBy("type_entite").agg(F.count(F.lit(1)).alias("attendus"), F.count("oui").alias("trouves"))

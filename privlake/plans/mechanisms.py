@@ -10,7 +10,7 @@ from privlake.operators import catalog, detect, merge, overlap, policy, similar
 from privlake.operators.selection import order_statistics
 from privlake.plans import corpus
 from privlake.plans.operations import _documents
-from privlake.plans.registry import query, rows
+from privlake.plans.registry import query, rows, spread
 from privlake.schema import ENTITIES_DDL, POLICY, policy_matrix
 from privlake.sources.files import extract, list_files, write_files
 from privlake.streaming import retries
@@ -147,9 +147,9 @@ SELECT c_custkey, numero::int AS numero, ((numero - 1) * n)::int AS debut, (CASE
 def pages_of_texts(spark, d):
     """Three untidy pages a customer: their bounds in the normalised text, the place there of each page's number, and its page."""
     page = lambda k: F.concat(F.lit(f"Page  {k} de "), F.col("c_name"), F.lit("\n\n" if k < 3 else ""))
-    c = rows(spark, d, "customer").select("c_custkey", F.concat(*[page(k) for k in (1, 2, 3)]).alias("source"), F.array(*[F.length(page(k)) for k in (1, 2, 3)]).alias("longueurs"))
+    c = spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", F.concat(*[page(k) for k in (1, 2, 3)]).alias("source"), F.array(*[F.length(page(k)) for k in (1, 2, 3)]).alias("longueurs"))
     c = c.withColumn("x", normalise("source")).withColumn("pages", sp.page_bounds(F.col("longueurs"), F.col("x.map_offsets")))
-    c = c.select("c_custkey", "x", "longueurs", "pages", F.posexplode("pages").alias("k", "p"))
+    c = c.select("c_custkey", "x", "longueurs", "pages", F.posexplode(sp.entries(F.col("pages"))).alias("k", "p"))
     before = F.aggregate(F.slice("longueurs", 1, F.col("k")), F.lit(0), lambda a, n: a + n)
     c = c.withColumn("position", sp.from_source(before + 6, F.col("x.map_offsets")))
     return c.select("c_custkey", "p.numero", "p.debut", "p.fin", "position", sp.page_of(F.col("position"), F.col("pages")).alias("page"))
@@ -204,8 +204,8 @@ def files_written_and_listed(spark, d):
 @query(f"{corpus.oracle_rows()} SELECT id, true AS trouvee FROM s WHERE type = 'ADRESSE_POSTALE'")
 def corpus_addresses(spark, d):
     """Whether the rules find something in each address of the corpus: a join of written and found intervals."""
-    made = catalog.materialise(corpus.documents(rows(spark, d, "customer").select(F.col("c_custkey").alias("id"))))
-    wanted = made.select("id", F.inline("entites")).where("type = 'ADRESSE_POSTALE'").select("id", "debut", "fin")
+    made = catalog.materialise(corpus.documents(spread(rows(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")))
+    wanted = made.select("id", F.inline(sp.entries(F.col("entites")))).where("type = 'ADRESSE_POSTALE'").select("id", "debut", "fin")
     found = made.select("id", F.inline(detect.addresses(F.col("texte")))).select("id", "debut", "fin")
     hit = overlap.overlap_join(wanted, found, ["id"]).select("gauche.*").distinct().withColumn("trouvee", F.lit(True))
     return wanted.join(hit, ["id", "debut", "fin"], "left").select("id", F.coalesce("trouvee", F.lit(False)).alias("trouvee"))
