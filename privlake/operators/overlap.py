@@ -29,15 +29,20 @@ def _bin(x: Column, level: Column) -> Column:
     return F.floor(x / F.element_at(F.array(*[F.lit(WIDTH * FAN**k).cast("long") for k in range(LEVELS)]), level + 1))
 
 
-def _placed(df: DataFrame, side: str, keys: list[str], a: str, b: str, own: bool) -> DataFrame:
-    """Rows (keys, niveau, seau, side) at an interval's own level, or at all levels above it."""
+def _levels(df: DataFrame, a: str, b: str) -> list[int]:
+    """The levels that intervals of ``df`` have: ``LEVELS`` numbers at most."""
+    d = df.select(F.col(a).cast("long").alias("_a"), F.col(b).cast("long").alias("_b")).where("_a <= _b")
+    return sorted(r[0] for r in d.select(_level(F.col("_a"), F.col("_b"))).distinct().collect())
+
+
+def _placed(df: DataFrame, side: str, keys: list[str], a: str, b: str, others: list[int] | None = None) -> DataFrame:
+    """Rows (keys, niveau, seau, side) at an interval's own level, or at those of ``others`` above it."""
     d = df.select(*keys, F.struct("*").alias(side), F.col(a).cast("long").alias("_a"), F.col(b).cast("long").alias("_b")).where("_a <= _b")
     level = _level(F.col("_a"), F.col("_b"))
-    if own:
+    if others is None:
         d = d.withColumn("niveau", level)
     else:
-        above = F.sequence(level + 1, F.lit(LEVELS - 1))
-        d = d.withColumn("niveau", F.explode(F.when(level < LEVELS - 1, above).otherwise(F.array().cast("array<int>"))))
+        d = d.withColumn("niveau", F.explode(F.filter(F.array(*map(F.lit, others)), lambda k: k > level)))
     last = F.greatest("_a", F.col("_b") - 1)
     bins = F.sequence(_bin(F.col("_a"), F.col("niveau")), _bin(last, F.col("niveau")))
     return d.withColumn("seau", F.explode(bins)).withColumnRenamed("_a", f"{side}_a").withColumnRenamed("_b", f"{side}_b")
@@ -50,9 +55,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     limit, or that end before they start, meet nothing.
     """
     on = [*keys, "niveau", "seau"]
-    l0, l1 = (_placed(left, "gauche", keys, start, end, own) for own in (True, False))
-    r0, r1 = (_placed(right, "droite", keys, start, end, own) for own in (True, False))
-    d = l0.join(r0, on).unionByName(l0.join(r1, on)).unionByName(l1.join(r0, on))
+    l0, r0 = _placed(left, "gauche", keys, start, end), _placed(right, "droite", keys, start, end)
+    d = l0.join(r0, on)
+    # the shorter goes to the levels only that longer ones of the other side have
+    of_left, of_right = _levels(left, start, end), _levels(right, start, end)
+    if of_left and of_right and of_left[-1] > of_right[0]:
+        d = d.unionByName(l0.join(_placed(right, "droite", keys, start, end, of_left), on))
+    if of_left and of_right and of_right[-1] > of_left[0]:
+        d = d.unionByName(_placed(left, "gauche", keys, start, end, of_right).join(r0, on))
     hit = (F.col("gauche_a") < F.col("droite_b")) & (F.col("droite_a") < F.col("gauche_b"))
     told = _bin(F.greatest("gauche_a", "droite_a"), F.col("niveau")) == F.col("seau")
     return d.where(hit & told).select("gauche", "droite")

@@ -206,6 +206,6 @@ def corpus_addresses(spark, d):
     """Whether the rules find something in each address of the corpus: a join of written and found intervals."""
     made = catalog.materialise(corpus.documents(spread(rows(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")))
     wanted = made.select("id", F.inline(sp.entries(F.col("entites")))).where("type = 'ADRESSE_POSTALE'").select("id", "debut", "fin")
-    found = made.select("id", F.inline(detect.addresses(F.col("texte")))).select("id", "debut", "fin")
+    found = catalog.materialise(made.select("id", F.inline(detect.addresses(F.col("texte")))).select("id", "debut", "fin"))
     hit = overlap.overlap_join(wanted, found, ["id"]).select("gauche.*").distinct().withColumn("trouvee", F.lit(True))
     return wanted.join(hit, ["id", "debut", "fin"], "left").select("id", F.coalesce("trouvee", F.lit(False)).alias("trouvee"))
