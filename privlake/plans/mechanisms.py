@@ -59,6 +59,9 @@ def retry_transitions(spark, d):
     finally:
         spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
     log = spark.read.schema(retries.TRANSITIONS).parquet(f"{path}/out")
+    last = _outcomes(spark, d).agg(F.max(F.unix_micros("instant"))).first()[0]
+    if last is not None:
+        log = log.unionByName(retries.ended(log, F.timestamp_micros(F.lit(last - 1_000_000))))
     return log.select("document_id", "etat", "essais", F.unix_micros("instant").alias("instant"))
 
 

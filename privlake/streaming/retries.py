@@ -142,9 +142,24 @@ def fold(events: DataFrame, until=None) -> DataFrame:
     return known.groupBy("document_id").applyInPandas(run, TRANSITIONS)
 
 
-def waiting(log: DataFrame) -> DataFrame:
-    """(document_id, essais, pret_le) of the queue that a log of transitions leaves: each document's last one, if it isn't an end."""
+def _last(log: DataFrame) -> DataFrame:
+    """(document_id, x): each document's last transition."""
     # at one instant a wait ends before its task is handed out, and that before the task ends
     rank = F.when(F.col("etat").isin("abandonne", "termine"), 2).when(F.col("etat") == "attend", 0).otherwise(1)
-    d = log.groupBy("document_id").agg(F.max(F.struct("instant", rank.alias("r"), "etat", "essais")).alias("x"))
+    return log.groupBy("document_id").agg(F.max(F.struct("instant", rank.alias("r"), "etat", "essais")).alias("x"))
+
+
+def waiting(log: DataFrame) -> DataFrame:
+    """(document_id, essais, pret_le) of the queue that a log of transitions leaves: each document's last one, if it isn't an end."""
+    d = _last(log)
     return d.where(~F.col("x.etat").isin("abandonne", "termine")).select("document_id", "x.essais", F.col("x.instant").alias("pret_le"))
+
+
+def ended(log: DataFrame, until) -> DataFrame:
+    """The transitions (``reprise``) that a log still lacks of waits that end by ``until`` (a column of one value).
+
+    A watermark counts whole milliseconds and instants microseconds: a wait that ends in the watermark's last millisecond
+    has no timer fired, though it is over.
+    """
+    over = _last(log).where((F.col("x.etat") == "attend") & (F.col("x.instant") <= until))
+    return over.select("document_id", F.lit("reprise").alias("etat"), "x.essais", "x.instant")
