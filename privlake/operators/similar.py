@@ -7,18 +7,26 @@ the other.  Each value sends its Q * d + 1 rarest grams (by a count over both si
 it may have: two similar values share one of those.  The rest is a filter by length and by number of
 common grams, and then the distance itself.
 
-Values too short for that (Q * d grams or fewer) meet by length: they send their length, and every value
-sends the lengths of the short values that could be similar to it.  Equal values are compared once and come back to
-their rows afterwards, so a value that a third of the rows hold costs no more than another.
+Values too short for that (Q * d grams or fewer) meet by length: they send their length, and the other side's values
+send the lengths of the short values that could be similar to them.  A pair meets by length once at most, so nothing is sorted out
+afterwards.  Equal values are compared once and come back to their rows afterwards, so a value that a third of the rows
+hold costs no more than another.
+
+All that is for keys with many rows.  A key with at most ``FEW`` rows on each side is a small group, whose pairs are
+compared as they are: one join by key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from privlake.operators.catalog import materialise
 
 Q = 2
+#: Rows of a key, on each side, up to which its pairs are compared as they are.
+FEW = 64
 
 
 def _edits(length: Column, tolerance: float) -> Column:
@@ -51,21 +59,43 @@ def _signed(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     common = by_gram.groupBy("signe").agg(F.count(F.lit(1)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy("cote", *keys, "v").orderBy("_n", "signe"))
     rare = by_gram.join(common, "signe").withColumn("_r", rank).where(F.col("_r") <= Q * _edits(n, tolerance) + 1)
-    lengths = F.sequence(F.ceil(n * (1 - tolerance) - 1e-9).cast("int"), F.floor(n / (1 - tolerance) + 1e-9).cast("int"))
-    short = F.transform(F.filter(lengths, lambda m: _short(m, tolerance)), lambda m: F.concat(F.lit("="), m.cast("string")))
     names = ["cote", *keys, "v", "grammes", "signe"]
-    return rare.select(*names).unionByName(values.withColumn("signe", F.explode(short)).select(*names))
+    return rare.select(*names)
+
+
+def _lengths(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """(cote, keys, v, signe): the lengths by which pairs with a short value meet, those with a short left one by its length alone."""
+    n = F.length("v")
+    around = F.sequence(F.ceil(n * (1 - tolerance) - 1e-9).cast("int"), F.floor(n / (1 - tolerance) + 1e-9).cast("int"))
+    sent = lambda side: F.transform(F.filter(around, lambda m: _short(m, tolerance)), lambda m: F.concat(F.lit(f"{side}="), m.cast("string")))
+    own = lambda side: F.array(F.concat(F.lit(f"{side}="), n.cast("string")))
+    left = F.when(_short(n, tolerance), own("g")).otherwise(sent("d"))
+    right = F.when(_short(n, tolerance), F.concat(sent("g"), own("d"))).otherwise(sent("g"))
+    return values.select("cote", *keys, "v", F.explode(F.when(F.col("cote") == "g", left).otherwise(right)).alias("signe"))
+
+
+def _edits_of_pair(tolerance: float) -> Column:
+    return F.floor(F.greatest(F.length("g"), F.length("d")) * tolerance + 1e-9).cast("int")
 
 
 def candidates(left: DataFrame, right: DataFrame, keys: list[str], col: str, tolerance: float) -> DataFrame:
     """(keys, g, d): pairs of distinct values that the signs, the lengths and the common grams let through."""
     values = materialise(_distinct(left, keys, col, "g").unionByName(_distinct(right, keys, col, "d")))
     signed = materialise(_signed(values, keys, tolerance))
-    one = lambda side: signed.where(F.col("cote") == side).select(*keys, "signe", F.col("v").alias(side), F.col("grammes").alias(f"{side}g"))
-    longer, shorter = F.greatest(F.length("g"), F.length("d")), F.least(F.length("g"), F.length("d"))
-    edits = F.floor(longer * tolerance + 1e-9)
-    near = (longer - shorter <= edits) & (F.size(F.array_except("gg", "dg")) <= Q * edits)
-    return one("g").join(one("d"), [*keys, "signe"]).where(near).select(*keys, "g", "d").distinct()
+    short = materialise(_lengths(values, keys, tolerance))
+    edits = _edits_of_pair(tolerance)
+    close = F.greatest(F.length("g"), F.length("d")) - F.least(F.length("g"), F.length("d")) <= edits
+
+    # few bytes of values make many pairs: by size alone they would be one task's
+    spark = values.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def met(by: DataFrame, *more: str) -> DataFrame:
+        one = lambda side: by.where(F.col("cote") == side).select(*keys, "signe", F.col("v").alias(side), *[F.col(c).alias(f"{side}g") for c in more])
+        return one("g").repartition(tasks, *keys, "signe").join(one("d").repartition(tasks, *keys, "signe"), [*keys, "signe"]).where(close)
+
+    by_gram = met(signed, "grammes").where(F.size(F.array_except("gg", "dg")) <= Q * edits).select(*keys, "g", "d").distinct()
+    return by_gram.unionByName(met(short).select(*keys, "g", "d"))
 
 
 def similar_join(left: DataFrame, right: DataFrame, keys: list[str], col: str, tolerance: float = 0.25) -> DataFrame:
@@ -73,14 +103,22 @@ def similar_join(left: DataFrame, right: DataFrame, keys: list[str], col: str, t
 
     Two empty values are equal (1.0), one is like nothing; rows with a null key or value meet nothing.  ``tolerance`` is below 1.
     """
-    pairs = candidates(left.where(F.length(col) > 0), right.where(F.length(col) > 0), keys, col, tolerance)
-    longer = F.greatest(F.length("g"), F.length("d"))
-    edits = F.floor(longer * tolerance + 1e-9).cast("int")
-    distance = F.levenshtein("g", "d")
-    pairs = pairs.withColumn("score", 1 - distance / longer).where((F.col("score") >= 1 - tolerance) & (distance <= edits))
-    empty = lambda df: df.where(F.length(col) == 0).select(*keys).distinct()
-    none = empty(left).join(empty(right), keys).select(*keys, F.lit("").alias("g"), F.lit("").alias("d"), F.lit(1.0).alias("score"))
-    pairs = pairs.unionByName(none)
-    l = left.select(*keys, F.col(col).alias("g"), F.struct("*").alias("gauche"))  # noqa: E741
-    r = right.select(*keys, F.col(col).alias("d"), F.struct("*").alias("droite"))
-    return pairs.join(l, [*keys, "g"]).join(r, [*keys, "d"]).select("gauche", "droite", "score")
+    filled = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.length(col) > 0))
+    many = lambda df: filled(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys)
+    large = materialise(many(left).unionByName(many(right)).distinct())
+    edits, longer = _edits_of_pair(tolerance), F.greatest(F.length("g"), F.length("d"))
+    rows = lambda df, name, side: df.select(*keys, F.col(col).alias(name), F.struct(*df.columns).alias(side))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        alike = (longer - F.least(F.length("g"), F.length("d")) <= edits) & (F.levenshtein("g", "d") <= edits)
+        return pairs.where(alike).withColumn("score", 1 - F.levenshtein("g", "d") / longer).where(F.col("score") >= 1 - tolerance)
+
+    small = lambda df, name, side: rows(filled(df).join(large, keys, "left_anti"), name, side)
+    found = [scored(small(left, "g", "gauche").join(small(right, "d", "droite"), keys)).select("gauche", "droite", "score")]
+    empty = lambda df, side: df.where(F.length(col) == 0).select(*keys, F.struct(*df.columns).alias(side))
+    found.append(empty(left, "gauche").join(empty(right, "droite"), keys).select("gauche", "droite", F.lit(1.0).alias("score")))
+    if not large.isEmpty():
+        l, r = (filled(df).join(large, keys, "left_semi") for df in (left, right))  # noqa: E741
+        pairs = scored(candidates(l, r, keys, col, tolerance))
+        found.append(pairs.join(rows(l, "g", "gauche"), [*keys, "g"]).join(rows(r, "d", "droite"), [*keys, "d"]).select("gauche", "droite", "score"))
+    return reduce(DataFrame.unionByName, found)
