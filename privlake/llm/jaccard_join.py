@@ -55,6 +55,8 @@ BITS_A_SET, MOST_BITS = 32, 1 << 28
 #: Elements of a block of a component, and of a block that members beside their pivot are compared with.
 BLOCK_ELEMENTS, GROUP_ELEMENTS = 2_000_000, 4_000_000
 DOCS_A_BLOB = 2000
+#: Pairs of lists that are written out at a time, before those whose sizes don't fit go.
+PAIRS_AT_ONCE = 1_000_000
 BATCH_ROWS = 2000
 
 # --- sets ---
@@ -304,6 +306,26 @@ def _postings(sets: DataFrame, heavy, small: int, parts: int, similarity) -> Dat
     return sets.mapInArrow(run, "part int, blob binary")
 
 
+def _packed_pairs(index, kinds, begin, count, size, similarity):
+    """2 * (x * sets + y) + (1 if by a subset) of each pair of sets in a list of at most LIST_PAIRS whose sizes fit, one
+    number for each list that has it."""
+    import numpy as np
+
+    a, b = similarity
+    pairs, found = (count >= 2) & (count <= LIST_PAIRS), [np.zeros(0, dtype=np.int64)]
+    for k in np.unique(count[pairs]).tolist():
+        first = begin[pairs & (count == k)]
+        i, j = np.triu_indices(k, 1)
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for at in range(0, len(first), step):
+            part = first[at : at + step]
+            rows = index[part[:, None] + np.arange(k)]
+            x, y, subset = rows[:, i].ravel().astype(np.int64), rows[:, j].ravel(), np.repeat(kinds[part] == 1, len(i))
+            fits = (b * size[x] >= a * size[y]) & (b * size[y] >= a * size[x])
+            found.append((x[fits] * len(size) + y[fits]) * 2 + subset[fits])
+    return np.concatenate(found)
+
+
 def _edges(postings: DataFrame, similarity) -> DataFrame:
     """Rows (a, b, na, nb, slack, c, tie): pairs of sets with the lists they share; ties (a the pivot, c 0); and, with
     a = b, the number c of a set's lists that became ties."""
@@ -316,7 +338,7 @@ def _edges(postings: DataFrame, similarity) -> DataFrame:
         sid, size, tied, keys, index, kinds, tp, ti = ([] for _ in range(8))
         base = 0
         for blob in group.column("blob"):
-            data = blob.as_py()
+            data = blob.as_buffer()  # not a copy
             m, n, t = np.frombuffer(data, dtype=np.uint32, count=3).tolist()
             at = 12
             for to, kind, count, shift in ((sid, "<i8", m, 0), (size, "<i4", m, 0), (tied, "<i4", m, 0), (keys, "<u8", n, 0), (index, "<u4", n, base), (kinds, "u1", n, 0), (tp, "<i8", t, 0), (ti, "<u4", t, base)):
@@ -336,24 +358,15 @@ def _edges(postings: DataFrame, similarity) -> DataFrame:
         keys, kinds, index, new = keys[once], kinds[once], index[once], new[once]
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, len(index)))
-        x, y, c = [], [], []
-        pairs = (count >= 2) & (count <= LIST_PAIRS)
-        for k in np.unique(count[pairs]).tolist():
-            rows = index[begin[pairs & (count == k)][:, None] + np.arange(k)]
-            subset = kinds[begin[pairs & (count == k)]] == 1
-            i, j = np.triu_indices(k, 1)
-            x.append(rows[:, i].ravel())
-            y.append(rows[:, j].ravel())
-            c.append(np.repeat(np.where(subset, 1 << 20, 1), len(i)))  # a shared subset is a candidate by itself
         out = []
-        if x:
-            x, y, c = map(np.concatenate, (x, y, c))
-            x, y = x.astype(np.int64), y.astype(np.int64)
-            a, b = similarity
-            fits = (b * size[x] >= a * size[y]) & (b * size[y] >= a * size[x])
-            pair, at = np.unique(x[fits] * len(sid) + y[fits], return_inverse=True)
-            x, y, c = pair // len(sid), pair % len(sid), np.bincount(at, c[fits], len(pair)).astype(np.int64)
+        if len(packed := _packed_pairs(index, kinds, begin, count, size, similarity)):
+            packed.sort()
+            at = np.flatnonzero(np.concatenate([[True], packed[1:] >> 1 != packed[:-1] >> 1]))
+            c = np.add.reduceat(np.where(packed & 1, 1 << 20, 1), at)  # a shared subset is a candidate by itself
+            pair = packed[at] >> 1
+            x, y = pair // len(sid), pair % len(sid)
             out.append((sid[x], sid[y], size[x], size[y], np.minimum(tied[x], tied[y]), c, np.zeros(len(x), dtype=bool)))
+        del packed
         big = count > LIST_PAIRS
         member = index[np.repeat(big, count)]
         pivot = np.concatenate([tp, np.repeat(sid[index[begin[big]]], count[big])])
