@@ -89,8 +89,13 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def page_of(position: Column, pages: Column) -> Column:
     """The number of the page (array of numero, debut, fin) that holds a position; 1 beside all pages; null without pages."""
-    hit = F.filter(pages, lambda p: (p["debut"] <= position) & (position < p["fin"]))
-    return F.when(F.size(pages) > 0, F.coalesce(F.try_element_at(hit, F.lit(1))["numero"], F.lit(1)))
+
+    def of(at: Column) -> Column:
+        """``at``: the position, computed once."""
+        hit = F.filter(pages, lambda p: (p["debut"] <= at) & (at < p["fin"]))
+        return F.when(F.size(pages) > 0, F.coalesce(F.try_element_at(hit, F.lit(1))["numero"], F.lit(1)))
+
+    return F.element_at(F.transform(F.array(position), of), 1)
 
 
 def to_source(position: Column, offsets: Column) -> Column:
@@ -108,7 +113,9 @@ def from_source(offset: Column, offsets: Column) -> Column:
         more = s["lo"] < s["hi"]
         return F.struct(F.when(more & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(more & ~below, mid).otherwise(s["hi"]).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), whole, halve, lambda s: s["lo"])
+    # as many halvings as the size has bits
+    steps = F.length(F.bin(F.coalesce(F.size(offsets), F.lit(0))))
+    return F.aggregate(F.sequence(F.lit(1), F.least(steps, F.lit(32))), whole, halve, lambda s: s["lo"])
 
 
 def compose(inner: Column, outer: Column) -> Column:
