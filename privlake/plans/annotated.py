@@ -58,13 +58,17 @@ def letters(spark, d, letter: tuple[str, ...] = WHOLE) -> DataFrame:
 
 def annotations(spark, d, letter: tuple[str, ...] = WHOLE, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """(c_custkey, type, debut, fin, valeur, niveau), a row for each field."""
-    one = []
-    for i, f in enumerate(letter):
+    # each value is made once, in a projection of its own; a place is the sum of the lengths before it
+    made = spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", *[F.expr(FIELDS[f][1]).alias(f) for f in letter if f in FIELDS])
+    one, before = [], F.lit(0)
+    for f in letter:
+        value = F.col(f) if f in FIELDS else F.expr(f)
+        after = before + F.length(value)
         if f in fields:
-            kind, value = FIELDS[f]
-            before = F.length(F.expr(f"concat({', '.join(map(_value, letter[:i]))})"))
-            one.append(F.struct(F.lit(kind).alias("type"), F.expr(value).alias("valeur"), before.alias("debut"), (before + F.length(F.expr(value))).alias("fin"), F.lit(LEVEL_OF_TYPE[kind]).alias("niveau")))
-    return spread(rows(spark, d, "customer"), "c_custkey").select("c_custkey", F.explode(F.array(*one)).alias("e")).select("c_custkey", "e.*")
+            kind = FIELDS[f][0]
+            one.append(F.struct(F.lit(kind).alias("type"), value.alias("valeur"), before.alias("debut"), after.alias("fin"), F.lit(LEVEL_OF_TYPE[kind]).alias("niveau")))
+        before = after
+    return made.select("c_custkey", F.explode(F.array(*one)).alias("e")).select("c_custkey", "e.*")
 
 
 @query(f"SELECT c_custkey, type_entite, debut, fin, valeur, niveau, 'regle' AS methode, 'critique' AS niveau_max FROM ({spans_of(WHOLE)})")
