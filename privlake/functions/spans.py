@@ -9,6 +9,10 @@ SPAN = "array<struct<debut:int,fin:int,valeur:string>>"
 
 #: Elements that one inner fold appends one by one; the blocks are then joined, so appending stays near linear.
 BLOCK = 256
+#: Matches up to which each is placed by itself.
+FEW = 8
+#: Set around the matches of a text that hasn't got it.
+MARK = "\x01"
 
 
 def folded(rows: Column, start: Column, step, out_type: str) -> Column:
@@ -36,6 +40,11 @@ def folded(rows: Column, start: Column, step, out_type: str) -> Column:
     return F.coalesce(bound, F.array().cast(out_type))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's argument is, an expression is at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def entries(array: Column) -> Column:
     """``array`` as a generator (``inline``, ``explode``) should take it where it is costly to compute.
 
@@ -49,20 +58,48 @@ def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None)
     """Array of (debut, fin, valeur) of all matches of ``pattern``; of its last group if ``group`` is its number,
     which must end where the match ends.
 
-    A match starts after the pieces and matches before it.  Texts without a match
-    cost one search, and those without a match of the simpler pattern ``needs``, which every match holds, only that one.
+    A match starts after the pieces and matches before it.  One replacement sets each match between two marks, and the
+    marks cut the text; only texts that have the mark, and groups, search for the matches and for the pieces between
+    them.  Texts without a match of the simpler pattern ``needs``, which every match holds, cost one search for that.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    value = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("all"), value.alias("value"))
-
-    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
-        end = at + F.length(x["gap"]) + F.length(x["all"])
-        one = F.struct((end - F.length(x["value"])).alias("debut"), end.alias("fin"), x["value"].alias("valeur"))
-        return F.coalesce(end, at), one, x["all"].isNotNull()
-
-    any_ = text.rlike(pattern) if needs is None else text.rlike(needs) & text.rlike(pattern)
-    return F.when(any_, folded(rows, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+
+    def searched() -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), 0)
+        value = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
+        rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("all"), value.alias("value"))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+            end = at + F.length(x["gap"]) + F.length(x["all"])
+            one = F.struct((end - F.length(x["value"])).alias("debut"), end.alias("fin"), x["value"].alias("valeur"))
+            return F.coalesce(end, at), one, x["all"].isNotNull()
+
+        return F.when(text.rlike(pattern), folded(rows, F.lit(0), step, SPAN)).otherwise(none)
+
+    def marked(pieces: Column) -> Column:
+        """``pieces``: those between matches and the matches in turn."""
+
+        def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+            end = at + F.length(x["piece"])
+            return end, F.struct(at.alias("debut"), end.alias("fin"), x["piece"].alias("valeur")), x["match"]
+
+        def alone(k: Column) -> Column:
+            """The match after ``k`` pieces, by their lengths: gathering costs more than counting a few of them again."""
+            at = F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda at, x: at + F.length(x))
+            one = lambda at: F.struct(at.alias("debut"), (at + F.length(F.element_at(pieces, k + 1))).alias("fin"), F.element_at(pieces, k + 1).alias("valeur"))
+            return once(at, one)
+
+        rows = F.transform(pieces, lambda x, i: F.struct(x.alias("piece"), (i % 2 == 1).alias("match")))
+        few = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)), alone)
+        return F.when(F.size(pieces) == 1, none).when(F.size(pieces) <= 2 * FEW + 1, few).otherwise(folded(rows, F.lit(0), step, SPAN))
+
+    if group:
+        out = searched()
+    else:
+        cut = once(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), marked)
+        out = F.when(F.contains(text, F.lit(MARK)), searched()).otherwise(cut)
+    possible = text.isNotNull() if needs is None else text.rlike(needs)
+    return F.when(possible, out).otherwise(none)
 
 
 def trimmed(found: Column, chars: str) -> Column:

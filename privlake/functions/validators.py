@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from privlake.functions.spans import once
 from privlake.schema import literal_map
 
 # --- fixed values: IBAN length by country ---
@@ -56,13 +57,16 @@ def card_valid(value: Column) -> Column:
 
 def phone_valid(value: Column) -> Column:
     """Length of the national number by calling code, longest code first; 8 to 15 digits for others, 8 to 10 without a code."""
-    c = F.regexp_replace(F.regexp_replace(value, r"(?U)[\s.\-()/]", ""), "^00", "+")
-    rest, ok = F.substr(c, F.lit(2)), None
-    for code, lengths in sorted(NATIONAL_LENGTH.items(), key=lambda x: -len(x[0])):
-        fits = (F.length(rest) - len(code)).isin(*lengths)
-        ok = F.when(rest.startswith(code), fits) if ok is None else ok.when(rest.startswith(code), fits)
-    ok = ok.otherwise(F.length(rest).between(8, 15))
-    return F.coalesce(F.when(c.rlike(r"^\+[0-9]+$"), ok).otherwise(c.rlike("^[0-9]{8,10}$")), F.lit(False))
+
+    def of(c: Column) -> Column:
+        rest, ok = F.substr(c, F.lit(2)), None
+        for code, lengths in sorted(NATIONAL_LENGTH.items(), key=lambda x: -len(x[0])):
+            fits = (F.length(c) - 1 - len(code)).isin(*lengths)
+            ok = F.when(rest.startswith(code), fits) if ok is None else ok.when(rest.startswith(code), fits)
+        ok = ok.otherwise(F.length(rest).between(8, 15))
+        return F.coalesce(F.when(c.rlike(r"^\+[0-9]+$"), ok).otherwise(c.rlike("^[0-9]{8,10}$")), F.lit(False))
+
+    return once(F.regexp_replace(F.regexp_replace(value, r"(?U)[\s.\-()/]", ""), "^00", "+"), of)
 
 
 def parsed_date(value: Column) -> Column:
@@ -83,13 +87,15 @@ def parsed_date(value: Column) -> Column:
 
 def birth_date_valid(value: Column, today: Column) -> Column:
     """A real date from 1900 to ``today`` (a parameter: results don't depend on the clock)."""
-    d = parsed_date(value)
-    return F.coalesce((F.year(d) >= FIRST_YEAR) & (d <= today), F.lit(False))
+    return once(parsed_date(value), lambda d: F.coalesce((F.year(d) >= FIRST_YEAR) & (d <= today), F.lit(False)))
 
 
 def identity_valid(value: Column, country: str | None = None) -> Column:
     """National identity number by length and start; of any known country without one."""
-    c = F.upper(F.regexp_replace(value, r"(?U)[\s.\-]", ""))
     forms = [IDENTITY[country]] if country in IDENTITY else list(IDENTITY.values())
-    fits = [(F.length(c) == n) & c.rlike(f"^{start}") for n, start in forms]
-    return F.coalesce((F.length(c) >= 8) & reduce(lambda a, b: a | b, fits), F.lit(False))
+
+    def of(c: Column) -> Column:
+        fits = [(F.length(c) == n) & c.rlike(f"^{start}") for n, start in forms]
+        return F.coalesce((F.length(c) >= 8) & reduce(lambda a, b: a | b, fits), F.lit(False))
+
+    return once(F.upper(F.regexp_replace(value, r"(?U)[\s.\-]", "")), of)
