@@ -8,12 +8,14 @@ needs its row alone: no shuffle, and any row can be made again by itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
 
-from privlake.functions.spans import entries, folded
+from pyspark.sql import Column, DataFrame, functions as F
+
+from privlake.functions.spans import entries, once
 from privlake.operators import catalog, detect, evaluate, merge
 from privlake.plans.registry import query, rows, spread, today
-from privlake.schema import LEVEL_OF_TYPE, literal_map
+from privlake.schema import LEVEL_OF_TYPE
 
 SEED = 42
 _FIRST = ("Awa", "Moussa", "Fatou", "Kofi", "Adjoa", "Ibrahima", "Mariam", "Yao", "Sena", "Rokia", "Ousmane", "Esi")
@@ -109,23 +111,44 @@ def _name_sql() -> str:
     return f"split_part('{'|'.join(TEMPLATES)}', '|', gabarit + 1)"
 
 
+def _used() -> dict[str, set[int]]:
+    """Column -> numbers of the document types that have it, itself or in a field made of it."""
+    layers, of = _values(_spark_draw), {f: {k for k, t in enumerate(TEMPLATES.values()) if f in t} for f in TYPE_OF}
+    for layer in reversed(layers):
+        for name, x in layer.items():
+            for word in set(re.findall(r"\b[a-z]\w*\b", re.sub("'[^']*'", "", x))):
+                of.setdefault(word, set()).update(of.get(name, ()))
+    return of
+
+
+def _apart(name: str) -> Column:
+    """The column, through a lambda: Spark then makes its projection's code in many methods, else in one that is too
+    long for the machine's compiler and so is interpreted."""
+    return once(F.col(name), lambda x: x).alias(name)
+
+
 def documents(ids: DataFrame) -> DataFrame:
-    """(id, type_document, texte, entites) for each ``id``; entites: type, valeur, debut, fin, niveau."""
-    d = ids.select("id", F.expr(f"cast(id % {len(TEMPLATES)} AS int) AS gabarit"))
+    """(id, type_document, texte, entites) for each ``id``; entites: type, valeur, debut, fin, niveau.
+
+    A value is made once, where the document's type has it; a place is the sum of the lengths before it.
+    """
+    d, used = ids.select("id", F.expr(f"cast(id % {len(TEMPLATES)} AS int) AS gabarit")), _used()
     for layer in _values(_spark_draw):
-        d = d.selectExpr("*", *[f"{x} AS {name}" for name, x in layer.items()])
-    piece = lambda p: f"named_struct('type', {repr(TYPE_OF[p]) if p in TYPE_OF else 'cast(NULL AS string)'}, 'valeur', {_piece(p)})"
-    cases = " ".join(f"WHEN {k} THEN array({', '.join(map(piece, t))})" for k, t in enumerate(TEMPLATES.values()))
-    pieces = F.transform(F.expr(f"CASE gabarit {cases} END"), lambda x: x.withField("valeur", F.translate(x["valeur"], "¶", "\n")))
-    d = d.select("id", F.expr(_name_sql()).alias("type_document"), pieces.alias("morceaux"))
-
-    def step(at, x):
-        end = at + F.length(x["valeur"])
-        one = F.struct(x["type"].alias("type"), x["valeur"].alias("valeur"), at.alias("debut"), end.alias("fin"), F.element_at(literal_map(LEVEL_OF_TYPE), x["type"]).alias("niveau"))
-        return end, one, x["type"].isNotNull()
-
-    spans = folded(F.col("morceaux"), F.lit(0), step, "array<struct<type:string,valeur:string,debut:int,fin:int,niveau:string>>")
-    return d.select("id", "type_document", F.array_join(F.transform("morceaux", lambda x: x["valeur"]), "").alias("texte"), spans.alias("entites"))
+        d = d.select(_apart("id"), *d.columns[1:], *[F.expr(f"CASE WHEN gabarit IN ({', '.join(map(str, sorted(used[name])))}) THEN {x} END AS {name}") for name, x in layer.items()])
+    d = d.select(_apart("id"), *d.columns[1:], *[F.length(f).alias(f"n_{f}") for f in TYPE_OF])
+    cases = []
+    for k, pieces in enumerate(TEMPLATES.values()):
+        spans, plain, before = [], 0, ""
+        for p in pieces:
+            if p in TYPE_OF:
+                at = f"{plain}{before}"
+                spans.append(f"named_struct('type', '{TYPE_OF[p]}', 'valeur', {p}, 'debut', {at}, 'fin', {at} + n_{p}, 'niveau', '{LEVEL_OF_TYPE[TYPE_OF[p]]}')")
+                before += f" + n_{p}"
+            else:
+                plain += len(p)
+        cases.append(f"WHEN {k} THEN array({', '.join(spans)})")
+    entites = F.expr(f"CASE gabarit {' '.join(cases)} ELSE array() END").cast("array<struct<type:string,valeur:string,debut:int,fin:int,niveau:string>>")
+    return d.select(_apart("id"), F.expr(_name_sql()).alias("type_document"), F.translate(F.expr(_text_sql()), "¶", "\n").alias("texte"), entites.alias("entites"))
 
 
 def oracle_rows() -> str:
