@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 
 from privlake.llm import lm_scoring, word_contexts as wc
+from pyspark import TaskContext
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,3 +103,28 @@ def test_word_order_counts_without_copies(spark):
     out = {x.doc_id: x for x in lm_scoring.score(df).collect()}
     tokens = sum(out[i].n_tokens for i in fresh)
     assert (sum(out[i].score for i in fresh) - sum(out[k].score for k in mixed)) / tokens > 0.1
+
+
+def test_tables_are_summed_and_learnt_off_the_driver(spark, monkeypatch):
+    """op3_lm_scoring: sums over two parts of the texts are those over all, and the driver gets states and costs only."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(("ab", "cd", "ef", "gh", f"w{r.randint(0, 90)}")) for _ in range(r.randint(0, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = sorted({w.encode() for _, t in rows for w in t.split()} | {b""})
+    head = spark.sparkContext.broadcast((b"".join(words), np.array(list(map(len, words)))))
+    code, bits = wc.Code([sum(t.split().count(w.decode()) for _, t in rows) or len(rows) for w in words], 5000), wc.table_bits(5000)
+    coded = lambda texts: lm_scoring._coded(head, texts)
+    sent = spark.sparkContext.broadcast(code)
+    first = wc.summed(docs.where("doc_id % 3 > 0").select("text"), coded, bits, sent).cache()
+    found = spark.sparkContext.broadcast(wc.gathered(first, bits))
+    both = wc.summed(docs.where("doc_id % 3 = 0").select("text"), coded, bits, sent, found, first).cache()
+    tables, texts = [np.zeros(1 << b, dtype=np.uint64) for b in bits], docs.select("text").toArrow()["text"]
+    for codes, lengths in coded(texts):
+        wc.count(tables, code, code.of(codes), wc.hashes(wc.before_in(codes, lengths)), bits)
+    for got, want in zip(wc.gathered(both, bits), wc.state_tables([tuple(x.astype(np.float32) for x in wc.unpacked(t)) for t in tables]), strict=True):
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    learnt = wc.learnt_costs(both)
+    assert len(learnt) == 2 * wc.CELLS and (learnt < 0).all()
+    monkeypatch.setattr(wc, "costs_of", lambda h, of=wc.costs_of: of(h) if TaskContext.get() else None)
+    monkeypatch.setattr(wc, "states", lambda order, ones, zeros, of=wc.states: of(order, ones, zeros) if len(ones) < 2 else None)
+    assert lm_scoring.score(docs).where("score < 0").count() == len(rows)
