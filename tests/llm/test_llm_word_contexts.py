@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from privlake.llm import lm_scoring, word_contexts as wc
 from pyspark import TaskContext
@@ -128,3 +129,13 @@ def test_tables_are_summed_and_learnt_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(wc, "costs_of", lambda h, of=wc.costs_of: of(h) if TaskContext.get() else None)
     monkeypatch.setattr(wc, "states", lambda order, ones, zeros, of=wc.states: of(order, ones, zeros) if len(ones) < 2 else None)
     assert lm_scoring.score(docs).where("score < 0").count() == len(rows)
+
+
+def test_counts_are_packed_by_byte():
+    for most, width in ((0, 1), (255, 1), (256, 2), (70_000, 4), (1 << 40, 8)):
+        both = np.array([[0, 1, most], [2, 0, most // 3]], dtype=np.uint64)
+        got, data = wc.packed(both)
+        assert got == width and (wc.counts_of(data, 3, got) == both).all()
+    sparse = np.random.default_rng(2).integers(0, 1000, (2, wc.CHUNK)) // 998
+    as_they_were = (sparse[0].astype(np.uint64) + (sparse[1].astype(np.uint64) << np.uint64(32))).tobytes()
+    assert len(wc.packed(sparse.astype(np.uint64))[1]) < 0.8 * len(pa.compress(as_they_were, codec="zstd", asbytes=True))
