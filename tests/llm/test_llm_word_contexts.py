@@ -117,7 +117,7 @@ def test_tables_are_summed_and_learnt_off_the_driver(spark, monkeypatch):
     coded = lambda texts: lm_scoring._coded(head, texts)
     sent = spark.sparkContext.broadcast(code)
     first = wc.summed(docs.where("doc_id % 3 > 0").select("text"), coded, bits, sent).cache()
-    found = spark.sparkContext.broadcast(wc.gathered(first, bits))
+    found = spark.sparkContext.broadcast((wc.sent(wc.gathered(first, bits)),))
     both = wc.summed(docs.where("doc_id % 3 = 0").select("text"), coded, bits, sent, found, first).cache()
     tables, texts = [np.zeros(1 << b, dtype=np.uint64) for b in bits], docs.select("text").toArrow()["text"]
     for codes, lengths in coded(texts):
