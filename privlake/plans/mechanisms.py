@@ -102,9 +102,9 @@ def exact_percentiles(spark, d):
 SELECT i, j, levenshtein(l.v, r.v)::int AS distance FROM l JOIN r USING (doc) WHERE 1 - levenshtein(l.v, r.v) / greatest(length(l.v), length(r.v)) >= 0.6""")
 def similar_customers(spark, d):
     """Values and misread values of a nation's customers that are at least 0.6 alike."""
-    c = rows(spark, d, "customer")
+    c = spread(rows(spark, d, "customer"), "c_custkey")
     v = F.substr(F.md5(F.col("c_custkey").cast("string")), F.lit(1), (6 + F.col("c_custkey") % 9).cast("int"))
-    left = c.select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("i"), v.alias("v"))
+    left = catalog.materialise(c.select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("i"), v.alias("v")))
     right = left.select("doc", F.col("i").alias("j"), F.concat(F.substr("v", F.lit(1), F.lit(2)), F.lit("zz"), F.substr("v", F.lit(4))).alias("v"))
     pairs = similar.similar_join(left, right, ["doc"], "v", 0.4).select("gauche.i", "droite.j", F.col("gauche.v").alias("a"), F.col("droite.v").alias("b"))
     return pairs.select("i", "j", F.levenshtein("a", "b").alias("distance"))
