@@ -171,7 +171,8 @@ def _by_pieces(values: DataFrame, keys: list[str], tolerance: float, tasks: int)
     marked = values.join(crowds, keys, "left").withColumns({"masque": F.when(F.col("foules").isNotNull(), mask), "sac": _bag(letters)})
     marked = materialise(marked.repartition(tasks, "v"))
     cut = F.udf(lambda m: _cuts(m, common, tolerance), "dits array<int>, lieux array<struct<n: int, q: int, p: int, l: int>>")
-    cuts = materialise(marked.select("masque").where("masque IS NOT NULL").distinct().withColumn("c", cut("masque")))
+    masks = marked.select("masque").where("masque IS NOT NULL").distinct().repartition(tasks, "masque")  # 1 to 70 ms each, few or many
+    cuts = materialise(masks.withColumn("c", cut("masque")))
     left, right = marked.where("cote = 'g'"), marked.where("cote = 'd'").join(cuts, "masque", "left")
 
     at = cuts.select(F.explode("c.lieux").alias("x")).groupBy(F.col("x.n").alias("n")).agg(F.collect_set(F.struct("x.q", "x.l")).alias("lieux"))
